@@ -23,6 +23,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), default_path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op7_byte_bpe)}
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridleaf.llm import token_file
+    from gridleaf.llm.shared import scratch
+
+    folder = scratch(spark, "op8")
+    token_file.write(table(spark, sf_dir, "documents"), folder, default_path("byte_bpe_50k.json"))
+    return token_file.read(spark, folder, digest_only=True)
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op7_byte_bpe, op8_token_ids)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -32,6 +32,12 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, folder, digest_only=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op7_byte_bpe, op8_token_ids)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridleaf.llm.simhash import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op7_byte_bpe, op8_token_ids, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}

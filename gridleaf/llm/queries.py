@@ -17,6 +17,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridleaf.llm.quality_rules import apply_rules
+
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridleaf.llm.tree_bpe import round_trip
 
@@ -38,6 +44,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op7_byte_bpe, op8_token_ids, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_quality_rules, op7_byte_bpe, op8_token_ids, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -11,6 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridleaf.llm.language_id import held_out, identify, learn
+
+    documents = table(spark, sf_dir, "documents")
+    found = identify(documents, learn(documents, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridleaf.llm.token_count import count_tokens
 
@@ -44,6 +52,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_quality_rules, op7_byte_bpe, op8_token_ids, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_quality_rules, op7_byte_bpe, op8_token_ids, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridleaf.llm.pretoken import default_path
 
@@ -25,6 +26,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
 
 
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridleaf.llm.quality_crf import fit, held_out, score
+
+    documents = table(spark, sf_dir, "documents")
+    found = score(documents, fit(documents, table(spark, sf_dir, "labels"), ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridleaf.llm.quality_rules import apply_rules
 
@@ -52,6 +61,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_quality_rules, op7_byte_bpe, op8_token_ids, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_crf, op4_quality_rules, op7_byte_bpe, op8_token_ids, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}

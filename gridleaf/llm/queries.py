@@ -40,6 +40,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridleaf.llm.chat import read_back, render_turns
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return read_back(render_turns(rows.unionByName(added)))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridleaf.llm.tree_bpe import round_trip
 
@@ -61,6 +70,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_crf, op4_quality_rules, op7_byte_bpe, op8_token_ids, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_crf, op4_quality_rules, op6_chat_format, op7_byte_bpe, op8_token_ids, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -41,8 +41,6 @@ HEAD = struct.Struct("<4sQQ")
 BLOCK_HEAD = 7
 #: Ids after which a frame is closed, at the end of a document.
 FRAME_IDS = 262_144
-#: Pre-tokens of which a worker keeps the ids; beyond it starts afresh.
-KNOWN = 600_000
 
 
 def pack_lanes(values: np.ndarray, width: int) -> np.ndarray:
@@ -151,7 +149,7 @@ def decode_frame(payload: bytes, start: int = 0, stop: int | None = None) -> np.
 
 
 class IdEncoder:
-    """Ids of texts by the tokenizers library, one library call per pre-token it has not met."""
+    """Ids of texts by the tokenizers library, which sees each pre-token it has not met once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -159,26 +157,36 @@ class IdEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t["content"] for t in pretoken.load_json(path)[2]]
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+        self.line_break = self.library("\n")
+        self.table = pretoken.PieceTable(self.encode, b"".join)
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, tokens: list[str]) -> list[bytes]:
+        """Ids of pre-tokens.  Those without line breaks go to the library line by line in one text, each a pre-token there as well."""
+        plain = [i for i, t in enumerate(tokens) if not t.isspace() and "\n" not in t]
+        out = [b""] * len(tokens)
+        if len(self.line_break) == 4:
+            for at in range(0, len(plain), 20_000):
+                part = plain[at : at + 20_000]
+                found = self.tokenizer.encode_batch_fast(["\n".join([tokens[i] for i in part])], add_special_tokens=False)[0].ids
+                ids = np.array(found, dtype="<u4")
+                cuts = np.flatnonzero(ids == np.frombuffer(self.line_break, dtype="<u4")[0])
+                raw = ids.tobytes()
+                for i, a, b in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
+                    out[i] = raw[a:b]
+        for i in set(range(len(tokens))).difference(plain) if len(self.line_break) == 4 else range(len(tokens)):
+            out[i] = self.library(tokens[i])
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        whole = [any(s in t for s in self.specials) for t in texts]
-        parts = [[] if w else pretoken.split(t) for w, t in zip(whole, texts, strict=True)]
-        words = set().union(*parts)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = words
-        if new:
-            listed = list(new)
-            self.known.update(zip(listed, self.pieces(listed), strict=True))
-        get = self.known.__getitem__
-        return [self.pieces([t])[0] if w else b"".join(map(get, p)) for w, t, p in zip(whole, texts, parts, strict=True)]
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.specials)}
+        out = self.table([t for i, t in enumerate(texts) if i not in whole])
+        for i in sorted(whole):
+            out.insert(i, self.library(texts[i]))
+        return out
 
 
 @functools.lru_cache(maxsize=2)

@@ -3,8 +3,8 @@
 Pre-tokens that are not yet known are held together as one ragged numpy array.
 In each round every sequence applies its own lowest-rank pair, all sequences at
 once; sequences without a pair left are finished and their surviving symbols are
-counted.  Counts of pre-tokens are kept in a bounded table of each Python worker,
-so a pre-token is merged once, not once per occurrence.
+counted.  Counts of pieces of text are kept in a bounded table of each Python worker,
+so a pre-token is merged when it is new there, not once per occurrence.
 
 Null and empty texts have 0 tokens.  Special strings (``<|endoftext|>``) inside a
 text count as one token, as the library does by default.  Texts of any length are
@@ -22,8 +22,6 @@ from pyspark.sql import DataFrame
 from gridleaf.llm import pretoken
 from gridleaf.llm.shared import map_texts
 
-#: Pre-tokens of which a worker keeps the count; beyond it starts afresh.
-KNOWN = 400_000
 #: Bytes of new pre-tokens that are merged at once.
 AT_ONCE = 4_000_000
 NONE = np.int64(1 << 40)
@@ -98,46 +96,39 @@ class RaggedMerger:
 
 
 class Counter:
-    """Token counts of texts, with a bounded table of known pre-tokens."""
+    """Token counts of texts."""
 
     def __init__(self, path: str):
         self.merger = RaggedMerger(path)
-        self.known: dict[str, int] = {}
         self.special = regex.compile("|".join(map(regex.escape, self.merger.specials))) if self.merger.specials else None
+        self.table = pretoken.PieceTable(self.encode, sum)
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > KNOWN:
-            self.known.clear()
-        part, size = [], 0
+    def encode(self, words: list[str]) -> list[int]:
+        out: list[int] = []
+        part: list[bytes] = []
+        size = 0
         for word in words:
-            part.append(word)
-            size += len(word)
+            part.append(word.encode())
+            size += len(part[-1])
             if size > AT_ONCE:
-                self.known.update(zip(part, self.merger.counts([w.encode() for w in part]).tolist(), strict=True))
+                out += self.merger.counts(part).tolist()
                 part, size = [], 0
-        if part:
-            self.known.update(zip(part, self.merger.counts([w.encode() for w in part]).tolist(), strict=True))
+        return out + self.merger.counts(part).tolist() if part else out
 
     def __call__(self, texts: list[str]) -> list[int]:
-        specials, split_texts = [], []
-        for text in texts:
-            n = 0
-            words: list[str] = []
+        pieces, owner, found = [], [], [0] * len(texts)
+        for i, text in enumerate(texts):
             if self.special is not None and any(s in text for s in self.merger.specials):
-                pieces = self.special.split(text)
-                n = len(pieces) - 1
-                for piece in pieces:
-                    words += pretoken.split(piece)
+                parts = self.special.split(text)
+                found[i] = len(parts) - 1
+                pieces += parts
+                owner += [i] * len(parts)
             else:
-                words = pretoken.split(text)
-            specials.append(n)
-            split_texts.append(words)
-        known = self.known
-        new = set().union(*split_texts).difference(known)
-        if new:
-            self.learn(set().union(*split_texts) if len(known) + len(new) > KNOWN else new)
-        get = self.known.__getitem__
-        return [n + sum(map(get, words)) for n, words in zip(specials, split_texts, strict=True)]
+                pieces.append(text)
+                owner.append(i)
+        for i, n in zip(owner, self.table(pieces), strict=True):
+            found[i] += n
+        return found
 
 
 @functools.lru_cache(maxsize=4)

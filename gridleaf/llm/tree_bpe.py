@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,8 +22,6 @@ from pyspark.sql import DataFrame
 from gridleaf.llm import pretoken
 from gridleaf.llm.shared import map_texts
 
-#: Pre-tokens of which a worker keeps the ids; beyond it starts afresh.
-KNOWN = 300_000
 #: Widest tree that shares an array, and the cells of one such array.
 WIDE = 128
 CELLS = 1_000_000
@@ -49,15 +46,15 @@ class TreeEncoder:
         keys = np.array([(a << 20) | b for a, b in self.pairs], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.made = keys[order], np.array(list(self.pairs.values()), dtype=np.int64)[order]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.table = pretoken.PieceTable(self.encode_tokens, b"".join)
 
     def leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
         want = (left << 20) | right
         i = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[i] == want, (self.made[i] << 32) | at, FREE)
 
-    def encode_alike(self, words: list[bytes], width: int) -> list[tuple[int, ...]]:
-        """Pre-tokens of at most ``width`` bytes (a power of two), side by side."""
+    def encode_alike(self, words: list[bytes], width: int) -> list[bytes]:
+        """Pre-tokens of at most ``width`` bytes (a power of two), side by side: their little-endian 32-bit ids."""
         n = len(words)
         size = np.fromiter(map(len, words), dtype=np.int64, count=n)
         column = np.arange(width)
@@ -103,11 +100,11 @@ class TreeEncoder:
                 for s in spots:
                     tree[live, s] = np.minimum(tree[live, 2 * s], tree[live, 2 * s + 1])
             live = live[tree[live, 1] < FREE]
-        flat = raw[:, :width][inside].tolist()
-        ends = np.cumsum(inside.sum(axis=1)).tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        flat = raw[:, :width][inside].astype("<u4").tobytes()
+        ends = np.cumsum(4 * inside.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def encode_long(self, word: bytes) -> tuple[int, ...]:
+    def encode_long(self, word: bytes) -> list[int]:
         """One pre-token of any length."""
         n = len(word)
         width = 1 << (n - 1).bit_length()
@@ -155,38 +152,35 @@ class TreeEncoder:
         while at < n:
             out.append(ids[at])
             at = after[at]
-        return tuple(out)
+        return out
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > KNOWN:
-            self.known.clear()
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for word in words:
+    def encode_tokens(self, words: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of pre-tokens."""
+        out = [b""] * len(words)
+        by_width: dict[int, list[tuple[int, bytes]]] = {}
+        for i, word in enumerate(words):
             raw = word.encode()
             rank = self.ranks.get(raw)
             if rank is not None:
-                self.known[word] = (rank,)  # a whole pre-token of the vocabulary is not merged
+                out[i] = rank.to_bytes(4, "little")  # a whole pre-token of the vocabulary is not merged
             elif len(raw) > WIDE:
-                self.known[word] = self.encode_long(raw)
+                out[i] = np.array(self.encode_long(raw), dtype="<u4").tobytes()
             else:
-                by_width.setdefault(1 << max(1, (len(raw) - 1).bit_length()), []).append((word, raw))
+                by_width.setdefault(1 << max(1, (len(raw) - 1).bit_length()), []).append((i, raw))
         for width, found in by_width.items():
             step = max(1, CELLS // width)
-            for i in range(0, len(found), step):
-                part = found[i : i + step]
-                ids = self.encode_alike([raw for _, raw in part], width)
-                self.known.update((word, x) for (word, _), x in zip(part, ids, strict=True))
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        split_texts = [pretoken.split(t) for t in texts]
-        new = set().union(*split_texts).difference(self.known)
-        if new:
-            self.learn(set().union(*split_texts) if len(self.known) + len(new) > KNOWN else new)
-        get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, words))) for words in split_texts]
+            for j in range(0, len(found), step):
+                part = found[j : j + step]
+                for (i, _), ids in zip(part, self.encode_alike([raw for _, raw in part], width), strict=True):
+                    out[i] = ids
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts."""
+        return [np.frombuffer(x, dtype="<u4") for x in self.table(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return b"".join([self.bytes_of[i] for i in ids])
 
 
 @functools.lru_cache(maxsize=4)
@@ -201,7 +195,7 @@ def decimals(path: str) -> list[str]:
 
 def encode(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", into: str = "ids") -> DataFrame:
     """keys and the array of ids of every text."""
-    return map_texts(df, list(keys), text, f"{into} array<int>", lambda texts: [encoder(path).encode_batch(texts)])
+    return map_texts(df, list(keys), text, f"{into} array<int>", lambda texts: [[x.astype(np.int32) for x in encoder(path).encode_batch(texts)]])
 
 
 def decode(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -227,7 +221,7 @@ def round_trip(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), te
     def step(texts: list[str]) -> list:
         own, names = encoder(path), decimals(path).__getitem__
         counts, ids_sha, text_sha = [], [], []
-        for ids in own.encode_batch(texts):
+        for ids in map(np.ndarray.tolist, own.encode_batch(texts)):
             counts.append(len(ids))
             ids_sha.append(hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest())
             text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())

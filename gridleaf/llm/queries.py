@@ -64,12 +64,18 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, folder, digest_only=True)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridleaf.llm.decontaminate import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridleaf.llm.simhash import dedup
 
     return dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_crf, op4_quality_rules, op6_chat_format, op7_byte_bpe, op8_token_ids, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_crf, op4_quality_rules, op6_chat_format, op7_byte_bpe, op8_token_ids, op9_decontaminate, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -76,8 +76,9 @@ def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, step: Call
     """Append what ``step`` gives for each chunk of texts to the key columns.
 
     ``step`` takes a list of texts (null: empty) and returns one list or array per
-    column of ``schema``.  Only the key and text columns reach Python.  Key columns
-    keep their names and types; a key of the same name as a new column is an error.
+    column of ``schema``.  Only the key and text columns reach Python (a text column that
+    is also a key only once).  Key columns keep their names and types; a key of the
+    same name as a new column is an error.
     """
     from pyspark.sql import types as T
 
@@ -90,14 +91,39 @@ def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, step: Call
 
     arrow = to_arrow_schema(out)
     n = len(keys)
+    at = keys.index(text) if text in keys else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, n):
-                texts = [t or "" for t in part.column(n).to_pylist()]
+            for part in chunks(batch, at):
+                texts = [t or "" for t in part.column(at).to_pylist()]
                 found = step(texts)
                 columns = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
                 columns += [pa.array(c, type=arrow.field(n + i).type) for i, c in enumerate(found)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.select(*keys, df[text].alias("__text")).mapInArrow(run, out)
+    return df.select(*keys, *([] if text in keys else [df[text].alias("__text")])).mapInArrow(run, out)
+
+
+class Memo:
+    """Values of strings, worked out in batches and kept in two generations of bounded size."""
+
+    def __init__(self, work_out: Callable[[list[str]], list], limit: int = 300_000):
+        self.work_out, self.limit = work_out, limit
+        self.now, self.old = {}, {}
+
+    def __call__(self, words: list[str]) -> list:
+        found = list(map(self.now.get, words))
+        missing = [i for i, v in enumerate(found) if v is None]
+        if missing:
+            wanted = {words[i] for i in missing}
+            if len(self.now) + len(wanted) > self.limit:
+                self.now, self.old = {}, self.now
+            old = self.old.get
+            again = {w: v for w in wanted if (v := old(w)) is not None}
+            new = list(wanted.difference(again))
+            again.update(zip(new, self.work_out(new), strict=True))
+            self.now.update(again)
+            for i in missing:
+                found[i] = again[words[i]]
+        return found

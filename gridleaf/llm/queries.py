@@ -40,6 +40,85 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: When page 0 was captured, how far captures lie apart, and when each page is asked for again.
+CAPTURE_0, CAPTURE_STEP, AGAIN_AFTER = 1_704_067_200, 60, 30 * 86_400
+
+
+def page_archive(row: tuple) -> bytes:
+    """A WARC file of a page (html, page_id, url): a full capture, and a later not-modified revisit.
+
+    Every 11th capture is a failure (503), every 7th has no ETag, every 14th no date either.
+    """
+    import datetime
+    import hashlib
+    from email.utils import formatdate
+
+    from gridleaf.llm.warc import NOT_MODIFIED, Http, Record
+
+    html, page_id, url = row
+    page, body = page_id or 0, (html or "").encode()
+    at = CAPTURE_0 + CAPTURE_STEP * page
+    tags = [("ETag", f'"{hashlib.md5(body).hexdigest()}"')] if page % 7 else []
+    tags += [("Last-Modified", formatdate(at, usegmt=True))] if page % 14 else []
+
+    def record(kind: str, when: int, http: Http, reason: str, *fields: tuple[str, str]) -> bytes:
+        date = datetime.datetime.fromtimestamp(when, datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        named = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:{kind}:{page}>"), ("WARC-Date", date), *([("WARC-Target-URI", url)] if url else []), *fields, ("Content-Type", "application/http; msgtype=response")]
+        return Record(named, http.to_bytes(reason)).to_bytes()
+
+    full = Http(200 if page % 11 else 503, [("Content-Type", "text/html; charset=utf-8"), *tags, ("Cache-Control", "max-age=60"), ("Content-Length", str(len(body)))], body)
+    again = Http(304, [*tags, ("Cache-Control", "max-age=600"), ("Content-Length", "0"), ("Vary", "Accept")])
+    return record("response", at, full, "OK" if page % 11 else "Unavailable") + record("revisit", at + AGAIN_AFTER, again, "Not Modified", ("WARC-Profile", NOT_MODIFIED))
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridleaf.llm.warc import map_records, resolve
+
+    pages = table(spark, sf_dir, "pages").select("html", "page_id", "url")
+    found = resolve(map_records(pages, page_archive))
+    page = [F.regexp_extract(c, "([0-9]+)>$", 1).cast("long") for c in ("record_id", "refers_to")]
+    headers = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"], F.lit("\n"))), "")
+    return found.select(page[0].alias("page_id"), "canonical", "verdict", page[1].alias("refers_to"), "body_bytes", "body_sha256", headers.alias("headers"))
+
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, html, regexp_replace(trim(url), '#.*$', '') AS u FROM pages
+), q AS (
+  SELECT page_id, html,
+    regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^(www[0-9]*|m)\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|ref|gclid|fbclid|sessionid|sid|phpsessid|jsessionid)(=.*)?$'))), '&') AS query
+  FROM p
+), c AS (
+  SELECT page_id, html, CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical,
+    CASE WHEN page_id % 7 <> 0 THEN '"' || md5(html) || '"' END AS etag,
+    CASE WHEN page_id % 14 <> 0 THEN strftime(make_timestamp((1704067200 + 60 * page_id) * 1000000), '%a, %d %b %Y %H:%M:%S GMT') END AS modified
+  FROM q
+), m AS (
+  SELECT a.page_id, max(b.page_id) AS refers FROM c a JOIN c b ON a.canonical = b.canonical AND b.page_id % 11 <> 0 AND b.page_id < a.page_id + 43200 GROUP BY a.page_id
+), v AS (
+  SELECT a.page_id, a.canonical, m.refers, b.html, a.etag, a.modified, b.etag AS b_etag, b.modified AS b_modified,
+    CASE WHEN m.refers IS NULL THEN 'missing'
+         WHEN a.etag IS NOT NULL AND b.etag IS NOT NULL THEN CASE WHEN a.etag = b.etag THEN 'resolved' ELSE 'mismatch' END
+         WHEN a.modified IS NOT NULL AND b.modified IS NOT NULL THEN CASE WHEN a.modified = b.modified THEN 'resolved' ELSE 'mismatch' END
+         ELSE 'unverified' END AS verdict
+  FROM c a LEFT JOIN m USING (page_id) LEFT JOIN c b ON b.page_id = m.refers
+)
+SELECT page_id, canonical, verdict, refers AS refers_to,
+  CASE WHEN ok THEN octet_length(encode(html))::BIGINT END AS body_bytes,
+  CASE WHEN ok THEN sha256(html) END AS body_sha256,
+  CASE WHEN ok THEN 'content-type: text/html; charset=utf-8' || chr(10)
+    || CASE WHEN b_etag IS NOT NULL THEN 'etag: ' || coalesce(etag, b_etag) || chr(10) ELSE '' END
+    || CASE WHEN b_modified IS NOT NULL THEN 'last-modified: ' || coalesce(modified, b_modified) || chr(10) ELSE '' END
+    || 'cache-control: max-age=600' || chr(10) || 'content-length: ' || octet_length(encode(html)) || chr(10)
+    || CASE WHEN b_etag IS NULL AND etag IS NOT NULL THEN 'etag: ' || etag || chr(10) ELSE '' END
+    || CASE WHEN b_modified IS NULL AND modified IS NOT NULL THEN 'last-modified: ' || modified || chr(10) ELSE '' END
+    || 'vary: Accept' || chr(10) END AS headers
+FROM (SELECT *, verdict IN ('resolved', 'unverified') AS ok FROM v)
+"""
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridleaf.llm.chat import read_back, render_turns
 
@@ -76,6 +155,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_crf, op4_quality_rules, op6_chat_format, op7_byte_bpe, op8_token_ids, op9_decontaminate, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_crf, op4_quality_rules, op5_warc_revisits, op6_chat_format, op7_byte_bpe, op8_token_ids, op9_decontaminate, op10_simhash)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc_revisits": OP5_SQL}

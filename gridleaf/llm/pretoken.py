@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import base64
 import json
-from itertools import chain
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The pattern of public_tokenizers.PATTERN with its blanks spelled as the Unicode
@@ -50,86 +54,59 @@ def cut_piece(piece: str) -> list[str]:
     """Pre-tokens of a piece; a word, alone or with a mark after it, is cut without the pattern."""
     if piece.isalpha():
         return [" " + piece]
+    if piece[0] == MARK:
+        return [piece[1:]]
     word, mark = piece[:-1], piece[-1]
     if mark in ".,;:!?" and word.isalpha():
         return [" " + word, mark]
     return split(piece if piece[0] == "\n" else " " + piece)
 
 
-class PieceTable:
-    """Values of texts, put together from known values of their pieces.
+#: White space other than single blanks and line breaks between other characters (RE2).
+OTHER_BLANKS = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x02]"
+#: Stands before a mark that is cut from the word before it.
+MARK = "\x02"
+WORD_AND_MARK = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,;:!?])( |$)"
+#: Rows and characters that are cut at once: the more, the fewer pieces are asked for again.
+AT_ONCE = (8192, 6_000_000)
+#: Pieces of which a worker keeps the value, in each of two generations.
+KNOWN = 600_000
 
-    A single blank or line break between other characters always ends a pre-token, so
-    a text without other white space is cut there by plain string methods, which is
-    several times faster than the pattern; the pattern runs on pieces not met yet and on
-    texts with other white space.  A piece starting with a line break stands for itself,
-    any other piece for itself with a blank before.
 
-    ``encode`` gives the values of pre-tokens, ``join`` puts values together.  Each table
-    holds two generations of at most ``limit`` entries: what was not asked for in a whole
-    generation is forgotten, so memory is bounded and frequent pieces stay.
+@dataclass
+class Pieces:
+    """Texts cut into pieces at every single blank or line break.
+
+    Such white space between other characters always ends a pre-token, so the tokens of
+    a text are those of its pieces: words with the blank, or starting with the line
+    break, before them.  A mark between a letter and white space is a pre-token too and
+    becomes a piece of its own.  The first piece of a text starts with a line break that
+    is not in the text.  Texts with other white space, with special strings or without
+    a character stand ``alone`` and have no pieces.
     """
 
-    def __init__(self, encode, join, limit: int = 250_000):
-        self.encode, self.join, self.limit = encode, join, limit
-        self.pieces, self.old_pieces = {}, {}
-        self.tokens, self.old_tokens = {}, {}
-
-    def token_values(self, tokens: list[str]) -> list:
-        """Values of pre-tokens."""
-        found = list(map(self.tokens.get, tokens))
-        missing = [i for i, v in enumerate(found) if v is None]
-        if missing:
-            wanted = {tokens[i] for i in missing}
-            if len(self.tokens) + len(wanted) > self.limit:
-                self.tokens, self.old_tokens = {}, self.tokens
-            old = self.old_tokens.get
-            again = {t: v for t in wanted if (v := old(t)) is not None}
-            new = list(wanted.difference(again))
-            again.update(zip(new, self.encode(new), strict=True))
-            self.tokens.update(again)
-            for i in missing:
-                found[i] = again[tokens[i]]
-        return found
-
-    def piece_values(self, pieces: list[str]) -> list:
-        found = list(map(self.pieces.get, pieces))
-        missing = [i for i, v in enumerate(found) if v is None]
-        if missing:
-            wanted = {pieces[i] for i in missing}
-            if len(self.pieces) + len(wanted) > self.limit:
-                self.pieces, self.old_pieces = {}, self.pieces
-            old = self.old_pieces.get
-            again = {p: v for p in wanted if (v := old(p)) is not None}
-            new = list(wanted.difference(again))
-            cut = list(map(cut_piece, new))
-            values = self.token_values(list(chain.from_iterable(cut)))
-            at = 0
-            for piece, tokens in zip(new, cut, strict=True):
-                end = at + len(tokens)
-                again[piece] = values[at] if end - at == 1 else self.join(values[at:end])
-                at = end
-            self.pieces.update(again)
-            for i in missing:
-                found[i] = again[pieces[i]]
-        return found
-
-    def __call__(self, texts: list[str]) -> list:
-        """The value of each text."""
-        heads, sizes, pieces = [], [], []
-        for text in texts:
-            if " ".join(text.split()) == text.replace("\n", " "):
-                parts = text.replace("\n", " \n").split(" ")
-                heads.append(split(parts[0]))
-                sizes.append(len(parts) - 1)
-                pieces += parts[1:]
-            else:
-                heads.append(split(text))
-                sizes.append(0)
-        lead = self.token_values(list(chain.from_iterable(heads)))
-        rest = self.piece_values(pieces)
-        out, i, j = [], 0, 0
-        for head, size in zip(heads, sizes, strict=True):
-            out.append(self.join(lead[i : i + len(head)] + rest[j : j + size]))
-            i, j = i + len(head), j + size
-        return out
+    alone: np.ndarray
+    distinct: list[str]
+    codes: np.ndarray
+    bounds: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array, specials: list[str] = ()) -> Pieces:
+        alone = pc.match_substring_regex(texts, OTHER_BLANKS)
+        for special in specials:
+            alone = pc.or_(alone, pc.match_substring(texts, special))
+        lined = pc.replace_substring(texts.filter(pc.invert(alone)), "\n", " \n")
+        marked = pc.replace_substring_regex(lined, WORD_AND_MARK, rf"\1 {MARK}\2\3")
+        listed = pc.split_pattern(pc.binary_join_element_wise("\n", marked, ""), " ")
+        coded = listed.flatten().dictionary_encode()
+        bounds = np.r_[0, np.cumsum(pc.list_value_length(listed).to_numpy())].astype(np.int64)
+        return cls(alone.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), coded.indices.to_numpy(), bounds)
+
+    def joined(self, values: list[bytes], skip: int) -> Iterator[np.ndarray]:
+        """Unsigned 32-bit ids of the texts that do not stand alone, from the ids of the distinct pieces; the first ``skip`` ids of each are not the text's."""
+        size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        ends = np.r_[0, np.cumsum(size[self.codes])]
+        known = pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), np.frombuffer(b"".join(values), dtype="<u4"))
+        flat = known.take(pa.array(self.codes)).flatten().to_numpy()
+        cuts = ends[self.bounds].tolist()
+        return (flat[a + skip : b] for a, b in zip(cuts, cuts[1:], strict=False))

@@ -54,17 +54,17 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def chunks(batch: pa.RecordBatch, text: int | None = None) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: int | None = None, most_rows: int = CHUNK_ROWS, most_chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, bounded in rows and in characters of column ``text``."""
     start, total = 0, batch.num_rows
     if text is None:
-        for start in range(0, total, CHUNK_ROWS):
-            yield batch.slice(start, CHUNK_ROWS)
+        for start in range(0, total, most_rows):
+            yield batch.slice(start, most_rows)
         return
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
     held = 0
     for i, n in enumerate(sizes):
-        if i > start and (i - start >= CHUNK_ROWS or held + n > CHUNK_CHARS):
+        if i > start and (i - start >= most_rows or held + n > most_chars):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
@@ -72,39 +72,42 @@ def chunks(batch: pa.RecordBatch, text: int | None = None) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, step: Callable[[list[str]], list]) -> DataFrame:
+def map_column(df: DataFrame, keys: list[str], text: str, schema: str, step: Callable[[pa.Array], list], size: tuple[int, int] = (CHUNK_ROWS, CHUNK_CHARS)) -> DataFrame:
     """Append what ``step`` gives for each chunk of texts to the key columns.
 
-    ``step`` takes a list of texts (null: empty) and returns one list or array per
-    column of ``schema``.  Only the key and text columns reach Python (a text column that
-    is also a key only once).  Key columns keep their names and types; a key of the
+    ``step`` takes an Arrow column of texts (null: empty) and returns one list or array
+    per column of ``schema``.  Only the key and text columns reach Python (a text column
+    that is also a key only once).  Key columns keep their names and types; a key of the
     same name as a new column is an error.
     """
     from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     new = T._parse_datatype_string(schema)
     clash = set(keys) & set(new.names)
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be there twice")
     out = T.StructType([df.schema[k] for k in keys] + list(new.fields))
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(out)
     n = len(keys)
     at = keys.index(text) if text in keys else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, at):
-                texts = [t or "" for t in part.column(at).to_pylist()]
-                found = step(texts)
+            for part in chunks(batch, at, *size):
+                found = step(pa.compute.fill_null(part.column(at), ""))
                 columns = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
-                columns += [pa.array(c, type=arrow.field(n + i).type) for i, c in enumerate(found)]
+                columns += [c.cast(arrow.field(n + i).type) if isinstance(c, pa.Array) else pa.array(c, type=arrow.field(n + i).type) for i, c in enumerate(found)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.select(*keys, *([] if text in keys else [df[text].alias("__text")])).mapInArrow(run, out)
 
 
+def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, step: Callable[[list[str]], list]) -> DataFrame:
+    """``map_column`` with a step that takes a list of texts."""
+    return map_column(df, keys, text, schema, lambda texts: step(texts.to_pylist()))
+
+
 class Memo:
     """Values of strings, worked out in batches and kept in two generations of bounded size."""
 
@@ -116,12 +119,14 @@ class Memo:
         found = list(map(self.now.get, words))
         missing = [i for i, v in enumerate(found) if v is None]
         if missing:
-            wanted = {words[i] for i in missing}
-            if len(self.now) + len(wanted) > self.limit:
+            if len(self.now) + len(missing) > self.limit:
                 self.now, self.old = {}, self.now
             old = self.old.get
-            again = {w: v for w in wanted if (v := old(w)) is not None}
-            new = list(wanted.difference(again))
+            again = dict.fromkeys([words[i] for i in missing])
+            if self.old:
+                for w in again:
+                    again[w] = old(w)
+            new = [w for w, v in again.items() if v is None]
             again.update(zip(new, self.work_out(new), strict=True))
             self.now.update(again)
             for i in missing:

@@ -16,11 +16,13 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from gridleaf.llm import pretoken
-from gridleaf.llm.shared import map_texts
+from gridleaf.llm.shared import Memo, map_column
 
 #: Bytes of new pre-tokens that are merged at once.
 AT_ONCE = 4_000_000
@@ -101,34 +103,42 @@ class Counter:
     def __init__(self, path: str):
         self.merger = RaggedMerger(path)
         self.special = regex.compile("|".join(map(regex.escape, self.merger.specials))) if self.merger.specials else None
-        self.table = pretoken.PieceTable(self.encode, sum)
+        self.pieces = Memo(self.count_pieces, pretoken.KNOWN)
 
-    def encode(self, words: list[str]) -> list[int]:
+    def count_tokens(self, tokens: list[str]) -> list[int]:
+        """Symbols of pre-tokens."""
         out: list[int] = []
         part: list[bytes] = []
         size = 0
-        for word in words:
-            part.append(word.encode())
+        for token in tokens:
+            part.append(token.encode())
             size += len(part[-1])
             if size > AT_ONCE:
                 out += self.merger.counts(part).tolist()
                 part, size = [], 0
         return out + self.merger.counts(part).tolist() if part else out
 
-    def __call__(self, texts: list[str]) -> list[int]:
-        pieces, owner, found = [], [], [0] * len(texts)
-        for i, text in enumerate(texts):
-            if self.special is not None and any(s in text for s in self.merger.specials):
-                parts = self.special.split(text)
-                found[i] = len(parts) - 1
-                pieces += parts
-                owner += [i] * len(parts)
-            else:
-                pieces.append(text)
-                owner.append(i)
-        for i, n in zip(owner, self.table(pieces), strict=True):
-            found[i] += n
-        return found
+    def count_pieces(self, pieces: list[str]) -> list[int]:
+        cut = list(map(pretoken.cut_piece, pieces))
+        tokens = list(set().union(*cut))
+        count = dict(zip(tokens, self.count_tokens(tokens), strict=True)).__getitem__
+        return [count(c[0]) if len(c) == 1 else sum(map(count, c)) for c in cut]
+
+    def count_text(self, text: str) -> int:
+        parts = self.special.split(text) if self.special is not None else [text]
+        tokens = [t for p in parts for t in pretoken.split(p)]
+        distinct = list(set(tokens))
+        count = dict(zip(distinct, self.count_tokens(distinct), strict=True)).__getitem__
+        return len(parts) - 1 + sum(map(count, tokens))
+
+    def __call__(self, texts: pa.Array) -> list[int]:
+        """Tokens of each text of an Arrow column without nulls."""
+        cut = pretoken.Pieces.of(texts, self.merger.specials)
+        counts = np.array(self.pieces(cut.distinct), dtype=np.int64)
+        ends = np.r_[0, np.cumsum(counts[cut.codes])] if len(counts) else np.zeros(1, dtype=np.int64)
+        # The line break put before a text is one token of its own.
+        rest = iter((np.diff(ends[cut.bounds]) - 1).tolist())
+        return [self.count_text(texts[i].as_py()) if own else next(rest) for i, own in enumerate(cut.alone)]
 
 
 @functools.lru_cache(maxsize=4)
@@ -139,8 +149,8 @@ def counter(path: str) -> Counter:
 def count_tokens(df: DataFrame, path: str, limit: int = 512, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every text."""
 
-    def step(texts: list[str]) -> list:
+    def step(texts: pa.Array) -> list:
         tokens = counter(path)(texts)
-        return [[len(t.encode()) for t in texts], tokens, [n > limit for n in tokens]]
+        return [pc.binary_length(texts), tokens, [n > limit for n in tokens]]
 
-    return map_texts(df, list(keys), text, "n_bytes long, n_tokens long, over_limit boolean", step)
+    return map_column(df, list(keys), text, "n_bytes long, n_tokens long, over_limit boolean", step, pretoken.AT_ONCE)

@@ -17,10 +17,11 @@ import functools
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gridleaf.llm import pretoken
-from gridleaf.llm.shared import map_texts
+from gridleaf.llm.shared import Memo, map_column
 
 #: Widest tree that shares an array, and the cells of one such array.
 WIDE = 128
@@ -46,7 +47,7 @@ class TreeEncoder:
         keys = np.array([(a << 20) | b for a, b in self.pairs], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.made = keys[order], np.array(list(self.pairs.values()), dtype=np.int64)[order]
-        self.table = pretoken.PieceTable(self.encode_tokens, b"".join)
+        self.pieces = Memo(self.encode_pieces, pretoken.KNOWN)
 
     def leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
         want = (left << 20) | right
@@ -175,9 +176,24 @@ class TreeEncoder:
                     out[i] = ids
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts."""
-        return [np.frombuffer(x, dtype="<u4") for x in self.table(texts)]
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        cut = list(map(pretoken.cut_piece, pieces))
+        tokens = list(set().union(*cut))
+        ids = dict(zip(tokens, self.encode_tokens(tokens), strict=True)).__getitem__
+        return [ids(c[0]) if len(c) == 1 else b"".join(map(ids, c)) for c in cut]
+
+    def encode_text(self, text: str) -> np.ndarray:
+        words = pretoken.split(text)
+        tokens = list(set(words))
+        ids = dict(zip(tokens, self.encode_tokens(tokens), strict=True)).__getitem__
+        return np.frombuffer(b"".join(map(ids, words)), dtype="<u4")
+
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of an Arrow column without nulls."""
+        cut = pretoken.Pieces.of(texts)
+        # The line break put before a text is one pre-token of one byte.
+        rest = cut.joined(self.pieces(cut.distinct), 1)
+        return [self.encode_text(texts[i].as_py()) if own else next(rest) for i, own in enumerate(cut.alone)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -195,12 +211,11 @@ def decimals(path: str) -> list[str]:
 
 def encode(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", into: str = "ids") -> DataFrame:
     """keys and the array of ids of every text."""
-    return map_texts(df, list(keys), text, f"{into} array<int>", lambda texts: [[x.astype(np.int32) for x in encoder(path).encode_batch(texts)]])
+    return map_column(df, list(keys), text, f"{into} array<int>", lambda texts: [[x.astype(np.int32) for x in encoder(path).encode_batch(texts)]], pretoken.AT_ONCE)
 
 
 def decode(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), ids: str = "ids", into: str = "decoded") -> DataFrame:
     """keys and the decoded bytes (binary) of an array of ids; null: no bytes."""
-    import pyarrow as pa
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -218,7 +233,7 @@ def decode(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), ids: s
 def round_trip(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 of every text."""
 
-    def step(texts: list[str]) -> list:
+    def step(texts: pa.Array) -> list:
         own, names = encoder(path), decimals(path).__getitem__
         counts, ids_sha, text_sha = [], [], []
         for ids in map(np.ndarray.tolist, own.encode_batch(texts)):
@@ -227,4 +242,4 @@ def round_trip(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), te
             text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
         return [counts, ids_sha, text_sha]
 
-    return map_texts(df, list(keys), text, "n_tokens long, ids_sha256 string, decoded_sha256 string", step)
+    return map_column(df, list(keys), text, "n_tokens long, ids_sha256 string, decoded_sha256 string", step, pretoken.AT_ONCE)

@@ -132,9 +132,13 @@ def features(text: str) -> tuple[int, ...]:
     return (n, chars, int((histogram * _SYMBOL).sum()), n_dup, repeat_words(words), n_lines, int(upper), int(letters), int(histogram[48:58].sum()), same, max(map(len, words), default=0))
 
 
+def feature_columns(texts: list[str]) -> list:
+    return list(zip(*map(features, texts), strict=True))
+
+
 def measure(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and the features of every text."""
-    return map_texts(df, [key], text, FEATURES, lambda texts: list(zip(*map(features, texts), strict=True)))
+    return map_texts(df, [key], text, FEATURES, feature_columns)
 
 
 def base_failed(min_words: int = MIN_WORDS, percent: int = REPEAT_PERCENT) -> Column:

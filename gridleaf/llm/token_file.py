@@ -27,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridleaf.llm import pretoken
-from gridleaf.llm.shared import chunks
+from gridleaf.llm.shared import Memo, chunks
 
 BLOCK = 256
 PERCENTILE = 0.9
@@ -149,7 +150,10 @@ def decode_frame(payload: bytes, start: int = 0, stop: int | None = None) -> np.
 
 
 class IdEncoder:
-    """Ids of texts by the tokenizers library, which sees each pre-token it has not met once."""
+    """Ids of texts by the tokenizers library, which sees each piece of text that is new once.
+
+    New pieces go to the library as lines of one text, texts that stand alone go there whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -158,35 +162,30 @@ class IdEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t["content"] for t in pretoken.load_json(path)[2]]
         self.line_break = self.library("\n")
-        self.table = pretoken.PieceTable(self.encode, b"".join)
+        self.pieces = Memo(self.encode_pieces, pretoken.KNOWN)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, tokens: list[str]) -> list[bytes]:
-        """Ids of pre-tokens.  Those without line breaks go to the library line by line in one text, each a pre-token there as well."""
-        plain = [i for i, t in enumerate(tokens) if not t.isspace() and "\n" not in t]
-        out = [b""] * len(tokens)
-        if len(self.line_break) == 4:
-            for at in range(0, len(plain), 20_000):
-                part = plain[at : at + 20_000]
-                found = self.tokenizer.encode_batch_fast(["\n".join([tokens[i] for i in part])], add_special_tokens=False)[0].ids
-                ids = np.array(found, dtype="<u4")
-                cuts = np.flatnonzero(ids == np.frombuffer(self.line_break, dtype="<u4")[0])
-                raw = ids.tobytes()
-                for i, a, b in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-                    out[i] = raw[a:b]
-        for i in set(range(len(tokens))).difference(plain) if len(self.line_break) == 4 else range(len(tokens)):
-            out[i] = self.library(tokens[i])
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.specials)}
-        out = self.table([t for i, t in enumerate(texts) if i not in whole])
-        for i in sorted(whole):
-            out.insert(i, self.library(texts[i]))
-        return out
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        if len(self.line_break) != 4:
+            return [self.library(p if p[0] == "\n" else p[1:] if p[0] == pretoken.MARK else " " + p) for p in pieces]
+        out: list[bytes] = []
+        leads = "\n" + pretoken.MARK
+        (mark,) = struct.unpack("<I", self.line_break)
+        for at in range(0, len(pieces), 2000):
+            lines = [p[1:] if p[0] in leads else " " + p for p in pieces[at : at + 2000]]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = 4 * np.flatnonzero(ids == mark)
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)]
+        return [self.line_break + ids if p[0] == "\n" else ids for p, ids in zip(pieces, out, strict=True)]
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text of an Arrow column without nulls."""
+        cut = pretoken.Pieces.of(texts, self.specials)
+        rest = cut.joined(self.pieces(cut.distinct), len(self.line_break) // 4)
+        return [np.frombuffer(self.library(texts[i].as_py()), dtype="<u4") if own else next(rest) for i, own in enumerate(cut.alone)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -204,22 +203,22 @@ def frames(df: DataFrame, path: str, end_id: int = 0, key: str = "doc_id", text:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    end = struct.pack("<I", end_id)
+    end = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, frame, first = TaskContext.get().partitionId(), 0, 0
         keys, lengths, parts, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            payload = encode_frame(np.frombuffer(b"".join(parts), dtype="<u4"))
+            payload = encode_frame(np.concatenate(parts))
             columns = [[shard], [frame], [first], [lengths], [payload], [keys]]
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for part in chunks(batch, 1):
-                for k, ids in zip(part.column(0).to_pylist(), id_encoder(path)([t or "" for t in part.column(1).to_pylist()]), strict=True):
+            for part in chunks(batch, 1, *pretoken.AT_ONCE):
+                for k, ids in zip(part.column(0).to_pylist(), id_encoder(path)(pc.fill_null(part.column(1), "")), strict=True):
                     keys.append(k)
-                    lengths.append(len(ids) // 4 + 1)
+                    lengths.append(len(ids) + 1)
                     parts += (ids, end)
                     held += lengths[-1]
                     if held >= FRAME_IDS:

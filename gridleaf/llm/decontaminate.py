@@ -17,7 +17,7 @@ combined for larger windows and classes.
 The items are a table of queries.  They reach the executors in blocks of a bounded
 number and size, as many passes over the documents as there are blocks.
 
-Words are split at white space, in lower case, without marks at either end.  A text of
+Words are split at blanks (ASCII white space, U+00A0), in lower case, without marks at either end.  A text of
 1 to 4 words is one shingle, its whole sequence; null texts and texts without words
 have none, find nothing and are not found.  Repeated items count once; rows of
 documents are searched each on its own.
@@ -30,11 +30,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridleaf.llm.shared import Memo, map_texts
+from gridleaf.llm.shared import Memo, map_column
 
 WORDS = 5
 SHARE = 0.8
@@ -43,6 +45,8 @@ SMALLEST = 8
 #: Items, and characters of items, of one block.
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 20_000_000
+#: Rows and characters that are searched at once.
+CHUNK = (8192, 4_000_000)
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -71,15 +75,16 @@ def shingles(words: list[str]) -> set[str]:
 
 
 def normal_words(text: str) -> list[str]:
-    return [w for w in map(normal, text.split()) if w]
+    return [w for w in (normal(x.decode()) for x in text.replace("\xa0", " ").encode().split()) if w]
 
 
-def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles, text after text, and how many each text has."""
-    split = [t.split() for t in texts]
-    flat = [w for words in split for w in words]
-    hashes = np.fromiter(word_hashes()(flat), dtype=np.uint64, count=len(flat))
-    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), dtype=np.int64, count=len(split)))
+    split = pc.ascii_split_whitespace(pc.replace_substring(texts, "\xa0", " "))
+    coded = split.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    hashes = np.fromiter(word_hashes()(distinct), dtype=np.uint64, count=len(distinct))[coded.indices.to_numpy()]
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
     there = hashes != 0
     hashes, owner = hashes[there], owner[there]
     size = np.bincount(owner, minlength=len(texts))
@@ -114,7 +119,7 @@ class Items:
             if own:
                 by_class[max(SMALLEST, 1 << (len(own) - 1).bit_length())].append(i)
         self.classes = sorted(by_class)
-        hashes, count = shingle_hashes(texts)
+        hashes, count = shingle_hashes(pa.array(texts, type=pa.string()))
         starts = np.r_[0, np.cumsum(count)]
         #: For each class and hash function: sorted minima, their items, a filter of high bits.
         self.minima: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -127,7 +132,7 @@ class Items:
                 seen[(low >> np.uint64(48)).astype(np.int64)] = True
                 self.minima[size].append((low[order], np.array(members)[order], seen))
 
-    def candidates(self, texts: list[str]) -> dict[int, set[int]]:
+    def candidates(self, texts: pa.Array) -> dict[int, set[int]]:
         """For texts with any: the items that share a minimum with one of their windows."""
         out: dict[int, set[int]] = defaultdict(set)
         hashes, count = shingle_hashes(texts)
@@ -168,11 +173,11 @@ class Items:
                     out[int(owner[i])].update(items[a:b].tolist())
         return out
 
-    def found(self, texts: list[str]) -> list[list[dict]]:
+    def found(self, texts: pa.Array) -> list[list[dict]]:
         """For each text the items it contains, verified: place in the block, shared and all shingles."""
         out: list[list[dict]] = [[] for _ in texts]
         for i, items in self.candidates(texts).items():
-            own = shingles(normal_words(texts[i]))
+            own = shingles(normal_words(texts[i].as_py()))
             for item in sorted(items):
                 shared = len(self.shingles[item] & own)
                 if shared >= SHARE * len(self.shingles[item]):
@@ -180,7 +185,7 @@ class Items:
         return out
 
 
-HITS = "hits array<struct<item long, shared long, size long>>"
+HITS = "array<struct<item long, shared long, size long>>"
 
 
 def mark(df: DataFrame, items: DataFrame, keys: list[str], text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -192,7 +197,7 @@ def mark(df: DataFrame, items: DataFrame, keys: list[str], text: str = "text", i
     for b in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
         block = Items([r["i"] for r in rows], [r["t"] for r in rows])
-        out = map_texts(out, [*dict.fromkeys([*columns, text])], text, f"__{HITS[:4]}{b} {HITS.split(' ', 1)[1]}", lambda texts, block=block: [block.found(texts)])
+        out = map_column(out, [*dict.fromkeys([*columns, text])], text, f"__hits{b} {HITS}", lambda texts, block=block: [block.found(texts)], CHUNK)
         columns.append(f"__hits{b}")
     return out.select(*keys, F.concat(*columns[len(keys) :]).alias("hits"))
 

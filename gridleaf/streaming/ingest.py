@@ -16,14 +16,14 @@ from pyspark.sql.types import StructType
 
 def process_stream(spark: SparkSession, path: str, schema: StructType, key: str, at: str, ttl_seconds: int) -> DataFrame:
     """Events from a folder of Parquet files, each key once while its time to live runs, with expires_at."""
-    events = spark.readStream.schema(schema).parquet(path)
+    events = spark.readStream.schema(schema).parquet(path).withColumn(at, F.col(at).cast("timestamp"))
     once = events.withWatermark(at, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark([key])
     return once.withColumn("expires_at", F.timestamp_seconds(F.unix_micros(at) / 1e6 + ttl_seconds))
 
 
 def activity(events: DataFrame, at: str, by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and their values by time window; windows close when the watermark passes."""
-    windowed = events.withWatermark(at, late).groupBy(F.window(at, width), by)
+    windowed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, width), by)
     return windowed.agg(F.count("*").alias("n"), F.sum("value").alias("value")).select("window.start", by, "n", "value")
 
 

@@ -46,7 +46,7 @@ SMALLEST = 8
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 20_000_000
 #: Rows and characters that are searched at once.
-CHUNK = (8192, 4_000_000)
+CHUNK = (4096, 2_000_000)
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -63,7 +63,7 @@ def _hash_words(words: list[str]) -> list[int]:
 
 @functools.lru_cache(maxsize=1)
 def word_hashes() -> Memo:
-    return Memo(_hash_words)
+    return Memo(_hash_words, 200_000)
 
 
 def shingles(words: list[str]) -> set[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and characters that one step of a Python map holds as Python objects.
 CHUNK_ROWS = 1024
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 
 #: A word is a run of anything but the ASCII blanks; ``bytes.split()`` splits the same way.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -72,6 +73,15 @@ def chunks(batch: pa.RecordBatch, text: int | None = None, most_rows: int = CHUN
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Give freed memory back: a Python worker lives on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it freed
+
+
 def map_column(df: DataFrame, keys: list[str], text: str, schema: str, step: Callable[[pa.Array], list], size: tuple[int, int] = (CHUNK_ROWS, CHUNK_CHARS)) -> DataFrame:
     """Append what ``step`` gives for each chunk of texts to the key columns.
 
@@ -99,6 +109,7 @@ def map_column(df: DataFrame, keys: list[str], text: str, schema: str, step: Cal
                 columns = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
                 columns += [c.cast(arrow.field(n + i).type) if isinstance(c, pa.Array) else pa.array(c, type=arrow.field(n + i).type) for i, c in enumerate(found)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        release()
 
     return df.select(*keys, *([] if text in keys else [df[text].alias("__text")])).mapInArrow(run, out)
 
@@ -109,13 +120,22 @@ def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, step: Call
 
 
 class Memo:
-    """Values of strings, worked out in batches and kept in two generations of bounded size."""
+    """Values of strings, worked out in batches and kept in two generations of bounded size.
+
+    A worker keeps one such table: the one in use empties the one used before it.
+    """
+
+    in_use: Memo | None = None
 
     def __init__(self, work_out: Callable[[list[str]], list], limit: int = 300_000):
         self.work_out, self.limit = work_out, limit
         self.now, self.old = {}, {}
 
     def __call__(self, words: list[str]) -> list:
+        if Memo.in_use is not self:
+            if Memo.in_use is not None:
+                Memo.in_use.now, Memo.in_use.old = {}, {}
+            Memo.in_use = self
         found = list(map(self.now.get, words))
         missing = [i for i, v in enumerate(found) if v is None]
         if missing:

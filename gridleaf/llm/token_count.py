@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from gridleaf.llm import pretoken
 from gridleaf.llm.shared import Memo, map_column
 
+#: Pieces of which a worker keeps the count, in each of two generations.
+KNOWN = 400_000
 #: Bytes of new pre-tokens that are merged at once.
 AT_ONCE = 4_000_000
 NONE = np.int64(1 << 40)
@@ -103,7 +105,7 @@ class Counter:
     def __init__(self, path: str):
         self.merger = RaggedMerger(path)
         self.special = regex.compile("|".join(map(regex.escape, self.merger.specials))) if self.merger.specials else None
-        self.pieces = Memo(self.count_pieces, pretoken.KNOWN)
+        self.pieces = Memo(self.count_pieces, KNOWN)
 
     def count_tokens(self, tokens: list[str]) -> list[int]:
         """Symbols of pre-tokens."""

@@ -23,6 +23,10 @@ from pyspark.sql import DataFrame
 from gridleaf.llm import pretoken
 from gridleaf.llm.shared import Memo, map_column
 
+#: Pieces of which a worker keeps the ids, in each of two generations.
+KNOWN = 200_000
+#: Rows and characters that are encoded at once.
+CHUNK = (4096, 3_000_000)
 #: Widest tree that shares an array, and the cells of one such array.
 WIDE = 128
 CELLS = 1_000_000
@@ -47,7 +51,7 @@ class TreeEncoder:
         keys = np.array([(a << 20) | b for a, b in self.pairs], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.made = keys[order], np.array(list(self.pairs.values()), dtype=np.int64)[order]
-        self.pieces = Memo(self.encode_pieces, pretoken.KNOWN)
+        self.pieces = Memo(self.encode_pieces, KNOWN)
 
     def leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
         want = (left << 20) | right
@@ -211,7 +215,7 @@ def decimals(path: str) -> list[str]:
 
 def encode(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", into: str = "ids") -> DataFrame:
     """keys and the array of ids of every text."""
-    return map_column(df, list(keys), text, f"{into} array<int>", lambda texts: [[x.astype(np.int32) for x in encoder(path).encode_batch(texts)]], pretoken.AT_ONCE)
+    return map_column(df, list(keys), text, f"{into} array<int>", lambda texts: [[x.astype(np.int32) for x in encoder(path).encode_batch(texts)]], CHUNK)
 
 
 def decode(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -242,4 +246,4 @@ def round_trip(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), te
             text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
         return [counts, ids_sha, text_sha]
 
-    return map_column(df, list(keys), text, "n_tokens long, ids_sha256 string, decoded_sha256 string", step, pretoken.AT_ONCE)
+    return map_column(df, list(keys), text, "n_tokens long, ids_sha256 string, decoded_sha256 string", step, CHUNK)

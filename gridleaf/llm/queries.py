@@ -72,10 +72,11 @@ def page_archive(row: tuple) -> bytes:
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridleaf.llm.shared import written
     from gridleaf.llm.warc import map_records, resolve
 
     pages = table(spark, sf_dir, "pages").select("html", "page_id", "url")
-    found = resolve(map_records(pages, page_archive))
+    found = resolve(written(map_records(pages, page_archive), "records"))
     page = [F.regexp_extract(c, "([0-9]+)>$", 1).cast("long") for c in ("record_id", "refers_to")]
     headers = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"], F.lit("\n"))), "")
     return found.select(page[0].alias("page_id"), "canonical", "verdict", page[1].alias("refers_to"), "body_bytes", "body_sha256", headers.alias("headers"))

@@ -184,6 +184,11 @@ def detect_tables(gray: np.ndarray, settings: Settings = Settings()) -> list[dic
     return tables_in(table_mask(k.to_gray(gray), settings), settings)
 
 
+def table_line_mask(mask: np.ndarray, box: Box, padding: int = 0) -> np.ndarray:
+    """A table's part of the line mask, padded if wished."""
+    return crop(mask, (box[0] - padding, box[1] - padding, box[2] + padding, box[3] + padding))
+
+
 def remove_table_lines(image: np.ndarray, mask: np.ndarray, box: Box, padding: int = 2, fill: int = 255) -> np.ndarray:
     """A copy of the image with a table's lines painted over."""
     out = image.copy()

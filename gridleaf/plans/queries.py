@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridleaf.functions import entities as e
 from gridleaf.functions import geometry as g
 from gridleaf.operators import detect, grid, ocr, raster, spatial, tables
 from gridleaf.plans import acts, store
-from gridleaf.schema import IMAGE, TEXT, struct
+from gridleaf.schema import HEADER, IMAGE, TEXT, struct
 from gridleaf.sources import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,6 +200,34 @@ def cell_padding(spark, sf):
     return part_cells(spark, sf).select("ord", padded.alias("c")).select("ord", F.col("c.bbox.x_min").alias("x_min"), F.col("c.bbox.y_max").alias("y_max"), total.alias("blob_x"))
 
 
+@query(CELLS + ", w AS (SELECT *, lead(x0) OVER o AS bx0, lead(y0) OVER o AS by0, lead(x1) OVER o AS bx1, lead(y1) OVER o AS by1 FROM c WINDOW o AS (PARTITION BY table_id ORDER BY ord)) SELECT ord, (greatest(0, least(x1, bx1) - greatest(x0, bx0)) * greatest(0, least(y1, by1) - greatest(y0, by0)))::DOUBLE AS shared FROM w WHERE bx0 IS NOT NULL")
+def cell_intersect(spark, sf):
+    """The area each cell shares with the next one of its table."""
+    after = F.lead("bbox").over(Window.partitionBy("table_id").orderBy("ord"))
+    return part_cells(spark, sf).withColumn("after", after).where("after is not null").select("ord", g.intersect(F.col("bbox"), F.col("after")).alias("shared"))
+
+
+def nested_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """One nested table per brand, its box around its cells."""
+    cell = F.struct("row", "col", "colspan", "rowspan", "value", "bbox", "blobs")
+    around = [f(f"bbox.{s}") for s, f in (("x_min", F.min), ("y_min", F.min), ("x_max", F.max), ("y_max", F.max))]
+    found = part_cells(spark, sf).groupBy("table_id").agg(g.bbox(*around).alias("bbox"), F.array_sort(F.collect_list(F.struct("ord", cell.alias("c")))).alias("cells"))
+    return found.select("table_id", F.struct("bbox", F.lit(8).alias("num_rows"), F.lit(6).alias("num_cols"), F.col("cells.c").alias("cells")).alias("t"))
+
+
+@query(CELLS + "SELECT table_id, (max(x1) - min(x0))::DOUBLE AS w, (max(y1) - min(y0))::DOUBLE AS h, ((max(x1) - min(x0)) * (max(y1) - min(y0)))::DOUBLE AS area, (min(x0) + max(x1)) / 2 AS cx, (min(y0) + max(y1)) / 2 AS cy FROM c GROUP BY table_id")
+def table_dims(spark, sf):
+    box = F.col("t.bbox")
+    return nested_tables(spark, sf).select("table_id", g.width(box).alias("w"), g.height(box).alias("h"), g.area(box).alias("area"), g.center_x(box).alias("cx"), g.center_y(box).alias("cy"))
+
+
+@query(CELLS + "SELECT table_id, min(x0) - 4 AS x_min, max(y1) + 4 AS y_max, (min_by(x0, ord) - 4)::DOUBLE AS first_x, bool_and(r < 8 AND c < 6 AND r + rs <= 8 AND c + cs <= 6) AS structure_ok FROM c GROUP BY table_id")
+def table_padding(spark, sf):
+    padded = e.table_padding(F.col("t"), 4)
+    out = nested_tables(spark, sf).select("table_id", padded.alias("p"), e.structure_ok(F.col("t")).alias("structure_ok"))
+    return out.select("table_id", F.col("p.bbox.x_min").alias("x_min"), F.col("p.bbox.y_max").alias("y_max"), F.get(F.col("p.cells"), F.lit(0))["bbox"]["x_min"].alias("first_x"), "structure_ok")
+
+
 def _listed(axis: str, merged: bool) -> str:
     at, span, n = ("r", "rs", 8) if axis == "row" else ("c", "cs", 6)
     last = f"least({at} + {span}, {n}) - 1" if merged else at
@@ -278,6 +306,25 @@ def paragraph_merge(spark, sf):
     return m.select("doc_id", "id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("bbox.x_max").alias("x_max"), F.col("bbox.y_max").alias("y_max"), F.size("blobs").cast("bigint").alias("blobs"))
 
 
+@query(LINES + "SELECT doc_id, i::BIGINT AS ord, (-3.0)::DOUBLE AS x_min, y1 + 3 AS y_max, 2::BIGINT AS type, trim(t) = '' AND length(regexp_replace(t, '[\\s\\x{A0}\\x{85}\\p{Z}]+', '', 'g')) = 0 AS empty FROM p")
+def paragraph_padding(spark, sf):
+    p = doc_paragraphs(spark, sf).withColumn("p", F.struct("id", "text", F.lit(HEADER).alias("type"), "bbox", "blobs"))
+    out = p.select("doc_id", *big("ord"), e.paragraph_padding(F.col("p"), 3).alias("q"))
+    return out.select("doc_id", "ord", F.col("q.bbox.x_min").alias("x_min"), F.col("q.bbox.y_max").alias("y_max"), F.col("q.type").cast("bigint").alias("type"), e.is_blank(F.col("q.text")).alias("empty"))
+
+
+@query("SELECT doc_id, (n_chars * 200 / 72.0)::DOUBLE AS pixels FROM documents")
+def page_pixel_size(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", documents.pixel_size(F.col("n_chars").cast("double"), 200).alias("pixels"))
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AS accepted, CASE WHEN doc_id % 2 = 0 THEN octet_length(encode('%PDF' || coalesce(text, '')))::BIGINT END AS size FROM documents WHERE doc_id IS NOT NULL")
+def act_submit(spark, sf):
+    raw = F.concat(F.when(F.col("doc_id") % 2 == 0, "%PDF").otherwise("GIF8"), F.coalesce("text", F.lit("")))
+    asked = read(spark, sf, "documents").where("doc_id is not null").select("doc_id", documents.encode_base64(raw.cast("binary")).alias("document"))
+    return acts.submit(asked).select("doc_id", "accepted", F.octet_length("pdf").cast("bigint").alias("size"))
+
+
 @query("SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^[\\s\\x{A0}\\x{85}\\p{Z}]+|[\\s\\x{A0}\\x{85}\\p{Z}]+$', '', 'g')) > 10 AS has_text FROM documents")
 def text_layer(spark, sf):
     return read(spark, sf, "documents").select("doc_id", documents.has_text_layer(F.col("text")).alias("has_text"))

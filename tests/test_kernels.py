@@ -175,3 +175,23 @@ def test_settings_from_dict():
         s.table_detector.min_table_area = 1
     with pytest.raises(ValueError):
         detect.detect_lines(np.zeros((3, 3), dtype=np.uint8), 2, "diagonal")
+
+
+def test_canvas():
+    from gridleaf.operators.drawing import Canvas
+
+    page = np.full((20, 30), 255, dtype=np.uint8)
+    for mode, columns in (("left", {5}), ("right", {35}), ("both", {5, 35}), ("auto", {35})):
+        canvas = Canvas(page, page[:10], mode)
+        canvas.box((5, 5, 15, 15), (1, 2, 3), 1)
+        assert canvas.image.shape == (20, 60, 3)
+        assert {int(x) for x in np.flatnonzero((canvas.image[7] == (1, 2, 3)).all(axis=1)) if x % 30 == 5} == columns
+    Canvas(page).box((-50, -50, 500, 500))
+    with pytest.raises(ValueError):
+        Canvas(page, None, "top")
+
+
+def test_line_mask_of_a_table():
+    mask = np.arange(100, dtype=np.uint8).reshape(10, 10)
+    assert (detect.table_line_mask(mask, (2, 3, 5, 6)) == mask[3:6, 2:5]).all()
+    assert detect.table_line_mask(mask, (2, 3, 5, 6), 5).shape == (10, 10)

@@ -84,8 +84,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 @functools.lru_cache(maxsize=1)
-def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each 23-bit word: its codeword's index, and the indices near it with how many there are."""
+def golay() -> np.ndarray:
+    """The index of the codeword that each 23-bit word decodes to."""
     polynomial = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the code
 
     def syndrome(words: np.ndarray) -> np.ndarray:
@@ -99,14 +99,16 @@ def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     leader = np.full(2048, -1, dtype=np.int64)
     leader[syndrome(errors)] = errors
     assert (leader >= 0).all(), "not the perfect code"
-    words = np.arange(1 << 23, dtype=np.int64)
-    index = ((words ^ leader[syndrome(words)]) >> 11).astype(np.int16)
-    return index, leader, errors
+    index = np.empty(1 << 23, dtype=np.int16)
+    for at in range(0, 1 << 23, 1 << 19):  # in parts, for the sake of memory
+        words = np.arange(at, at + (1 << 19), dtype=np.int64)
+        index[words] = (words ^ leader[syndrome(words)]) >> 11
+    return index
 
 
 def near(words: np.ndarray) -> np.ndarray:
     """(n, 6) codeword indices near each word; repeats of the first where there is one only."""
-    index = golay()[0]
+    index = golay()
     out = np.empty((24, len(words)), dtype=np.int16)
     out[0] = index[words]
     for bit in range(23):
@@ -122,7 +124,7 @@ def near(words: np.ndarray) -> np.ndarray:
 
 def keys(fps: np.ndarray, third: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The keys of unsigned fingerprints and the index of the fingerprint of each."""
-    index = golay()[0]
+    index = golay()
     parts = [((fps >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     around = [near(p) for p in parts]
     own = [index[p].astype(np.int64) for p in parts]
@@ -232,8 +234,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     least = marked.groupBy("fp").agg(F.min(key).alias("__least"))
     distinct = written(least, "distinct")
     found = components(links(distinct, distinct.count() > THIRD_ABOVE))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lead = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
+    # Both sides of the join by root are tables: a root of very many fingerprints can be split.
+    rooted = written(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    lead = written(rooted.groupBy("root").agg(F.min("__least").alias("component_id")), "lead")
     placed = rooted.join(lead, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(placed, "fp").select(key, digits, "component_id")

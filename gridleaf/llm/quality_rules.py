@@ -11,8 +11,9 @@ labelled clean (quality 1), split by a hash of their key:
   Clopper-Pearson bound of the rate at which a setting, all rules together, rejects
   clean documents must not exceed ``alpha``.  The first failure ends the ladder (a
   fixed sequence, which needs no further correction), the strata share ``delta``
-  (Bonferroni).  The last setting that passed is used; if none did, the stratum has
-  no rules but the base ones.
+  (Bonferroni).  Of the settings that passed, all of which the bound covers, the one is
+  used that rejects the most other documents less clean ones, by share, the most lenient
+  of equals; if none passed, the stratum has no rules but the base ones.
 
 So, with probability ``1 - delta`` over the holdout, the rules reject at most a
 fraction ``alpha`` of the clean documents of every stratum.
@@ -202,10 +203,10 @@ def _rejected(cutoffs: dict[tuple[int, str], float], rules: Sequence[Rule], band
 def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, key: str = "doc_id", rules: Sequence[Rule] = RULES, bands: Sequence[int] = BANDS) -> Fitted:
     """Cutoffs for ``measured`` (features) from ``labels`` (key, quality); counts alone reach the driver."""
     known = labels.where("quality is not null").groupBy(key).agg(F.min("quality").alias("quality"))
-    clean = measured.join(known.where("quality = 1").select(key), key).where(~base_failed())
-    clean = clean.withColumn("band", stratum(bands)).withColumn("tune", F.expr(f"pmod(xxhash64({key}), {TUNE_PART}) = 0"))
+    rated = measured.join(known, key).where(~base_failed())
+    rated = rated.withColumn("band", stratum(bands)).withColumn("tune", F.expr(f"pmod(xxhash64({key}), {TUNE_PART}) = 0"))
     counted = [F.count_if(F.expr(r.measure) > c).alias(f"{r.name}:{i}") for r in rules for i, c in enumerate(r.cutoffs)]
-    tuned = {row["band"]: row for row in clean.where("tune").groupBy("band").agg(F.count("*").alias("n"), *counted).collect()}
+    tuned = {row["band"]: row for row in rated.where("tune and quality = 1").groupBy("band").agg(F.count("*").alias("n"), *counted).collect()}
     ladder: list[dict[tuple[int, str], float]] = []
     for share in LADDER:
         setting = {}
@@ -215,16 +216,21 @@ def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
                 if passing:
                     setting[band, rule.name] = passing[0]
         ladder.append(setting)
-    tests = [F.count_if(_rejected(setting, rules, bands)).alias(f"level:{i}") for i, setting in enumerate(ladder)]
-    tested = {row["band"]: row for row in clean.where("not tune").groupBy("band").agg(F.count("*").alias("n"), *tests).collect()}
+    good = F.col("quality") == 1
+    tests = [F.count_if(_rejected(setting, rules, bands) & side).alias(f"{name}:{i}") for i, setting in enumerate(ladder) for name, side in (("clean", good), ("other", ~good))]
+    sizes = [F.count_if(good).alias("clean"), F.count_if(~good).alias("other")]
     cutoffs, bounds = {}, {}
-    for band, row in tested.items():
-        for level, setting in enumerate(ladder):
-            bound = upper_bound(row[f"level:{level}"], row["n"], delta / (len(bands) + 1))
+    for row in rated.where("not tune").groupBy("band").agg(*sizes, *tests).collect():
+        band, passed = row["band"], []
+        for level in range(len(ladder)):
+            bound = upper_bound(row[f"clean:{level}"], row["clean"], delta / (len(bands) + 1))
             if bound > alpha:
                 break
-            bounds[band] = bound
-            cutoffs.update({k: c for k, c in setting.items() if k[0] == band})
+            gain = row[f"other:{level}"] / max(row["other"], 1) - row[f"clean:{level}"] / row["clean"]
+            passed.append((gain, -level, bound))
+        if passed:
+            _, level, bounds[band] = max(passed)
+            cutoffs.update({k: c for k, c in ladder[-level].items() if k[0] == band})
     return Fitted(cutoffs, bounds, tuple(rules), tuple(bands))
 
 

@@ -129,6 +129,25 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(render_turns(rows.unionByName(added)))
 
 
+#: A field is escaped if it holds a control string, a backslash that would escape what follows, or one at its end.
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS o,
+    CASE WHEN regexp_matches(role, '</?s>|\[/?INST\]|\\[\\<\[]|\\$') THEN length(regexp_replace(replace(role, '\', '\\'), '(</?s>|\[/?INST\])', '-\1', 'g')) ELSE length(role) END AS r,
+    CASE WHEN regexp_matches(text, '</?s>|\[/?INST\]|\\[\\<\[]|\\$') THEN length(regexp_replace(replace(text, '\', '\\'), '(</?s>|\[/?INST\])', '-\1', 'g')) ELSE length(text) END AS x
+  FROM t
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY o)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY o)) AS loss_sha256,
+  sum(r + x + length('<s>[INST][/INST]</s>'))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridleaf.llm.tree_bpe import round_trip
 
@@ -150,6 +169,20 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP9_SQL = r"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'i', item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, list_filter(list_transform(regexp_split_to_array(lower(replace(text, chr(160), ' ')), '[ \t\n\x0b\f\r]+'),
+    lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda x: x <> '') AS w FROM t WHERE text IS NOT NULL
+), s AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT id, count(*) AS size FROM s WHERE kind = 'i' GROUP BY id),
+h AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM s d JOIN s i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, shared::BIGINT AS shared, size::BIGINT AS size, shared / size::DOUBLE AS containment FROM h JOIN n ON n.id = item_id WHERE shared >= 0.8 * size
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridleaf.llm.simhash import dedup
 
@@ -158,4 +191,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_crf, op4_quality_rules, op5_warc_revisits, op6_chat_format, op7_byte_bpe, op8_token_ids, op9_decontaminate, op10_simhash)}
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_revisits": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_warc_revisits": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_decontaminate": OP9_SQL}

@@ -354,6 +354,12 @@ def test_search_query(spark, sf):
     assert {(r["doc_id"], r["item_id"]) for r in q.op9_decontaminate(spark, sf).collect()} == want
 
 
+def test_search_query_matches_sql(spark, sf):
+    from tests.compare import check
+
+    check(spark, sf, q.QUERIES["op9_decontaminate"], q.ORACLE_SQL["op9_decontaminate"])
+
+
 def test_items_and_texts_agree_on_hashes():
     hashes, count = decontaminate.shingle_hashes(pa.array(["a b c d e f", "A, b c. d e", "a b", "", "a b c d e f"]))
     assert count.tolist() == [2, 1, 1, 0, 2]

@@ -66,6 +66,10 @@ def test_chat_query(spark, sf):
         assert (found[i]["n_turns"], found[i]["turns_sha256"], found[i]["loss_chars"], found[i]["loss_sha256"]) == (len(turns), turns_by_hand(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_query_matches_sql(spark, sf):
+    check(spark, sf, q.QUERIES["op6_chat_format"], q.ORACLE_SQL["op6_chat_format"])
+
+
 # WARC.
 
 

@@ -204,7 +204,7 @@ def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
     """Cutoffs for ``measured`` (features) from ``labels`` (key, quality); counts alone reach the driver."""
     known = labels.where("quality is not null").groupBy(key).agg(F.min("quality").alias("quality"))
     rated = measured.join(known, key).where(~base_failed())
-    rated = rated.withColumn("band", stratum(bands)).withColumn("tune", F.expr(f"pmod(xxhash64({key}), {TUNE_PART}) = 0"))
+    rated = rated.withColumn("band", stratum(bands)).withColumn("tune", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % TUNE_PART == 0)
     counted = [F.count_if(F.expr(r.measure) > c).alias(f"{r.name}:{i}") for r in rules for i, c in enumerate(r.cutoffs)]
     tuned = {row["band"]: row for row in rated.where("tune and quality = 1").groupBy("band").agg(F.count("*").alias("n"), *counted).collect()}
     ladder: list[dict[tuple[int, str], float]] = []

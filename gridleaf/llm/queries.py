@@ -71,6 +71,48 @@ def page_archive(row: tuple) -> bytes:
     return record("response", at, full, "OK" if page % 11 else "Unavailable") + record("revisit", at + AGAIN_AFTER, again, "Not Modified", ("WARC-Profile", NOT_MODIFIED))
 
 
+def _op4_sql() -> str:
+    """Features, tuning, testing and verdicts of operator 4 with its default parameters."""
+    from gridleaf.llm import quality_rules as r
+
+    blanks = r"[ \t\n\x0b\f\r]"
+    measures = " UNION ALL ".join(f"SELECT doc_id, band, tune, quality, '{rule.name}' AS rule, {rule.measure.replace('/', '::DOUBLE /')} AS m FROM rated" for rule in r.RULES)
+    every = " UNION ALL ".join(f"SELECT doc_id, '{rule.name}' AS rule, {rule.measure.replace('/', '::DOUBLE /')} AS m FROM b WHERE NOT base_failed" for rule in r.RULES)
+    grid = ", ".join(f"('{rule.name}', {i}, {c}::DOUBLE)" for rule in r.RULES for i, c in enumerate(rule.cutoffs))
+    ladder = ", ".join(f"({i}, {share}::DOUBLE)" for i, share in enumerate(r.LADDER))
+    band = " + ".join(f"CASE WHEN n_words > {b} THEN 1 ELSE 0 END" for b in r.BANDS)
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{blanks}+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) AS l FROM t),
+x AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+y AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM x) WHERE n > 1),
+z AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM y) GROUP BY doc_id),
+f AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(z.n, 0)::BIGINT AS n_repeat_words,
+  len(l)::BIGINT AS n_lines, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g'))::BIGINT AS n_upper, length(regexp_replace(text, '[^\p{{L}}]', '', 'g'))::BIGINT AS n_letters,
+  length(regexp_replace(text, '[^0-9]', '', 'g'))::BIGINT AS n_digits, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1]))::BIGINT AS n_same_word,
+  coalesce(list_max(list_transform(w, lambda x: octet_length(encode(x)))), 0)::BIGINT AS longest_word FROM w LEFT JOIN z USING (doc_id)),
+b AS (SELECT *, n_words < {r.MIN_WORDS} OR 100 * n_repeat_words > {r.REPEAT_PERCENT} * n_words AS base_failed, {band} AS band FROM f),
+k AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+rated AS (SELECT b.*, quality, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {r.TUNE_PART} = 0 AS tune FROM b JOIN k USING (doc_id) WHERE NOT base_failed),
+m AS ({measures}),
+g AS (SELECT * FROM (VALUES {grid}) v(rule, i, cutoff)), s AS (SELECT * FROM (VALUES {ladder}) v(level, share)),
+n AS (SELECT band, count(*) AS n FROM rated WHERE tune AND quality = 1 GROUP BY band),
+c AS (SELECT m.band, g.rule, g.i, g.cutoff, count(*) FILTER (m.m > g.cutoff) AS hit FROM m JOIN g ON g.rule = m.rule WHERE m.tune AND m.quality = 1 GROUP BY ALL),
+set AS (SELECT s.level, c.band, c.rule, arg_min(c.cutoff, c.i) AS cutoff FROM c JOIN n ON n.band = c.band JOIN s ON c.hit <= s.share * n.n GROUP BY ALL),
+bad AS (SELECT DISTINCT set.level, m.doc_id FROM m JOIN set ON set.band = m.band AND set.rule = m.rule AND m.m > set.cutoff WHERE NOT m.tune),
+u AS (SELECT s.level, q.band, count(*) FILTER (quality = 1) AS clean, count(*) FILTER (quality <> 1) AS other,
+  count(*) FILTER (quality = 1 AND bad.doc_id IS NOT NULL) AS k, count(*) FILTER (quality <> 1 AND bad.doc_id IS NOT NULL) AS j
+  FROM s CROSS JOIN (SELECT * FROM rated WHERE NOT tune) q LEFT JOIN bad ON bad.level = s.level AND bad.doc_id = q.doc_id GROUP BY ALL),
+e AS (SELECT *, clean > k AND (SELECT sum(exp(lgamma(clean + 1.0) - lgamma(i + 1.0) - lgamma(clean - i + 1.0) + i * ln(0.05) + (clean - i) * ln(0.95))) FROM (SELECT unnest(range(0, k + 1)) AS i)) <= 0.05 / {len(r.BANDS) + 1} AS ok FROM u),
+o AS (SELECT *, bool_and(ok) OVER (PARTITION BY band ORDER BY level) AS passed, j::DOUBLE / greatest(other, 1) - k::DOUBLE / greatest(clean, 1) AS gain FROM e),
+best AS (SELECT band, level FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY gain DESC, level) AS r FROM o WHERE passed) WHERE r = 1),
+rej AS (SELECT DISTINCT a.doc_id FROM ({every}) a JOIN b USING (doc_id) JOIN best ON best.band = b.band JOIN set ON set.band = b.band AND set.level = best.level AND set.rule = a.rule AND a.m > set.cutoff)
+SELECT b.* EXCLUDE (band), NOT base_failed AND rej.doc_id IS NULL AS kept FROM b LEFT JOIN rej USING (doc_id)
+"""
+
+
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridleaf.llm.shared import written
     from gridleaf.llm.warc import map_records, resolve
@@ -191,4 +233,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_crf, op4_quality_rules, op5_warc_revisits, op6_chat_format, op7_byte_bpe, op8_token_ids, op9_decontaminate, op10_simhash)}
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_revisits": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_decontaminate": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _op4_sql(), "op5_warc_revisits": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_decontaminate": OP9_SQL}

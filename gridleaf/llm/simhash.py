@@ -212,6 +212,8 @@ def links(distinct: DataFrame, third: bool = False) -> DataFrame:
 
         rows = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             waiting.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
             rows += batch.num_rows
             if rows < 200_000 or waiting[-1][0][-1] == (held_k[0] if len(held_k) else waiting[0][0][0]):

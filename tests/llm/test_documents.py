@@ -146,6 +146,12 @@ def test_rules_query(spark, sf):
         assert r["base_failed"] == (n < 50 or 100 * repeat > 50 * n) and not (r["base_failed"] and r["kept"])
 
 
+def test_rules_query_matches_sql(spark, sf):
+    from tests.compare import check
+
+    check(spark, sf, q.QUERIES["op4_quality_rules"], q.ORACLE_SQL["op4_quality_rules"])
+
+
 # Quality classifier.
 
 

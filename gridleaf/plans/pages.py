@@ -23,8 +23,12 @@ def analyze(pages: DataFrame, words: DataFrame, page: list[str], settings: Setti
     """page, tables, paragraphs, metadata of every page image.
 
     ``pages``: page columns and image; ``words``: page columns, ord, text, confidence, bbox.
+    Detection and recognition are costly and each is used more than once, so what they give
+    (boxes and texts, no images) is persisted on the executors; what a lost one held is made
+    anew.  ``spark.catalog.clearCache()`` frees it.
     """
-    tables = detect.page_tables(pages, page, settings)
+    tables = detect.page_tables(pages, page, settings).persist()
+    words, sizes = words.persist(), pages.select(*page, "image.height", "image.width").persist()
     boxes = tables.select(*page, F.col("table.id").alias("table_id"), F.col("table.bbox").alias("bbox"))
     sure = spatial.confident(words)
     filled = spatial.fill_cells(detect.table_cells(tables, page), sure, page, ["table_id", "ord"])
@@ -32,9 +36,9 @@ def analyze(pages: DataFrame, words: DataFrame, page: list[str], settings: Setti
     cells = filled.groupBy(*page, "table_id").agg(F.array_sort(F.collect_list(F.struct("ord", cell.alias("cell")))).alias("c"))
     whole = tables.withColumn("table_id", F.col("table.id")).join(cells, [*page, "table_id"], "left").withColumn("table", F.col("table").withField("cells", F.col("c.cell")))
     by_page = whole.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(*(F.col(f"table.bbox.{s}").alias(s) for s in ("y_min", "x_min")), F.col("table").cast(TABLE).alias("table")))).alias("t"))
-    heights = pages.select(*page, F.col("image.height").cast("double").alias("page_height"))
+    heights = sizes.select(*page, F.col("height").cast("double").alias("page_height"))
     texts = paragraphs_of(sure, boxes, heights, page).groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("ord", "paragraph"))).alias("p"))
-    joined = pages.select(*page, "image.height", "image.width").join(by_page, page, "left").join(texts, page, "left")
+    joined = sizes.join(by_page, page, "left").join(texts, page, "left")
     metadata = F.create_map(F.lit("height"), F.col("height").cast("string"), F.lit("width"), F.col("width").cast("string"))
     return joined.select(
         *page,

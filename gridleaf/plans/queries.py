@@ -686,7 +686,8 @@ def ruled_pages(spark: SparkSession, sf: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_pylist([{"page": i, "image": detect.image_dict(_ruled_page(i))} for i in batch.column(0).to_pylist()], schema=arrow)
 
-    return read(spark, sf, "supplier").select("s_suppkey").mapInArrow(draw, out)
+    # Few keys make many pixels: spread them over all cores before drawing.
+    return read(spark, sf, "supplier").select("s_suppkey").repartition(spark.sparkContext.defaultParallelism).mapInArrow(draw, out)
 
 
 @query("SELECT s_suppkey AS page, 1::BIGINT AS n, (2 + s_suppkey % 3)::BIGINT AS num_rows, (2 + s_suppkey % 4)::BIGINT AS num_cols, ((2 + s_suppkey % 3) * (2 + s_suppkey % 4))::BIGINT AS num_cells FROM supplier WHERE 50 * (2 + s_suppkey % 4) + 4 >= 150")

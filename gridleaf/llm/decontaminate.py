@@ -3,7 +3,7 @@
 An item is found in a document if at least ``SHARE`` of the item's distinct word
 shingles (five words) are among the document's.  Plain MinHash cannot see a short item in a
 long document, whose signature the item hardly touches, so both sides are partitioned
-by size.  Items fall in classes of up to 2, 4, 8, ... shingles.  For each class M that
+by size.  Items fall in classes of up to 1, 2, 4, 8, ... shingles.  For each class M that
 has items, every document is covered by windows of 2 M shingles, M apart: an item of
 the class that stands in the document stands whole in some window and is at least a
 fifth of it.  Window and item are candidates if any of ``HASHES`` minima agree; at
@@ -25,8 +25,6 @@ documents are searched each on its own.
 
 from __future__ import annotations
 
-import functools
-import re
 from collections import defaultdict
 
 import numpy as np
@@ -36,34 +34,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridleaf.llm.shared import Memo, map_column
+from gridleaf.llm.shared import map_column
 
 WORDS = 5
 SHARE = 0.8
 HASHES = 64
-SMALLEST = 8
 #: Items, and characters of items, of one block.
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 20_000_000
 #: Rows and characters that are searched at once.
-CHUNK = (4096, 2_000_000)
+CHUNK = (4096, 3_000_000)
 
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_EDGES = r"^[^\pL\pN]+|[^\pL\pN]+$"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def normal(word: str) -> str:
-    return _EDGES.sub("", word.lower())
+def split_words(texts: pa.Array) -> pa.Array:
+    """Lists of words, not normal yet."""
+    return pc.ascii_split_whitespace(pc.replace_substring(texts, "\xa0", " "))
 
 
-def _hash_words(words: list[str]) -> list[int]:
-    """Hashes of normal forms as 64-bit numbers; 0: nothing is left of the word."""
-    return [(xxhash.xxh64_intdigest(w, 7) | 1) if (w := normal(x)) else 0 for x in words]
-
-
-@functools.lru_cache(maxsize=1)
-def word_hashes() -> Memo:
-    return Memo(_hash_words, 200_000)
+def normal(words: pa.Array) -> list[str]:
+    """Words in lower case without marks at either end; nothing may be left."""
+    return pc.replace_substring_regex(pc.utf8_lower(words), _EDGES, "").to_pylist()
 
 
 def shingles(words: list[str]) -> set[str]:
@@ -75,15 +68,16 @@ def shingles(words: list[str]) -> set[str]:
 
 
 def normal_words(text: str) -> list[str]:
-    return [w for w in (normal(x.decode()) for x in text.replace("\xa0", " ").encode().split()) if w]
+    return [w for w in normal(split_words(pa.array([text])).flatten()) if w]
 
 
 def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles, text after text, and how many each text has."""
-    split = pc.ascii_split_whitespace(pc.replace_substring(texts, "\xa0", " "))
+    split = split_words(texts)
     coded = split.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    hashes = np.fromiter(word_hashes()(distinct), dtype=np.uint64, count=len(distinct))[coded.indices.to_numpy()]
+    digest = xxhash.xxh64_intdigest
+    distinct = [digest(w, 7) | 1 if w else 0 for w in normal(coded.dictionary)]
+    hashes = np.array(distinct, dtype=np.uint64)[coded.indices.to_numpy()]
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
     there = hashes != 0
     hashes, owner = hashes[there], owner[there]
@@ -102,9 +96,9 @@ def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return total[place < count[owner]], count
 
 
-def hash_functions() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(2016)
-    return rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+def hash_functions() -> np.ndarray:
+    """Odd factors: each orders the (well mixed) shingle hashes in its own way."""
+    return np.random.default_rng(2016).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Items:
@@ -113,11 +107,11 @@ class Items:
     def __init__(self, ids: list, texts: list[str]):
         self.ids = ids
         self.shingles = [shingles(normal_words(t)) for t in texts]
-        self.factors, self.masks = hash_functions()
+        self.factors = hash_functions()
         by_class: dict[int, list[int]] = defaultdict(list)
         for i, own in enumerate(self.shingles):
             if own:
-                by_class[max(SMALLEST, 1 << (len(own) - 1).bit_length())].append(i)
+                by_class[1 << (len(own) - 1).bit_length()].append(i)
         self.classes = sorted(by_class)
         hashes, count = shingle_hashes(pa.array(texts, type=pa.string()))
         starts = np.r_[0, np.cumsum(count)]
@@ -125,8 +119,8 @@ class Items:
         self.minima: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for size, members in by_class.items():
             self.minima[size] = []
-            for factor, mask in zip(self.factors, self.masks, strict=True):
-                low = np.array([((hashes[starts[i] : starts[i + 1]] ^ mask) * factor).min() for i in members], dtype=np.uint64)
+            for factor in self.factors:
+                low = np.array([(hashes[starts[i] : starts[i + 1]] * factor).min() for i in members], dtype=np.uint64)
                 order = np.argsort(low)
                 seen = np.zeros(1 << 16, dtype=bool)
                 seen[(low >> np.uint64(48)).astype(np.int64)] = True
@@ -140,23 +134,24 @@ class Items:
             return out
         # Blocks of the smallest class, then of each double size; the last block of a text may be short.
         layers = []
-        size, blocks = SMALLEST, -(-count // SMALLEST)
+        size = self.classes[0]
+        blocks = -(-count // size)
         starts = np.r_[0, np.cumsum(count)[:-1]]
-        begins = np.repeat(starts, blocks) + SMALLEST * (np.arange(blocks.sum()) - np.repeat(np.r_[0, np.cumsum(blocks)[:-1]], blocks))
+        begins = np.repeat(starts, blocks) + size * (np.arange(blocks.sum()) - np.repeat(np.r_[0, np.cumsum(blocks)[:-1]], blocks))
         while True:
             owner = np.repeat(np.arange(len(texts)), blocks)
             layers.append((size, owner))
             if size >= self.classes[-1]:
                 break
             size, blocks = size * 2, -(-blocks // 2)
-        halves = []
+        halves, product = [], np.empty_like(hashes)
         for (_, now), (_, then) in zip(layers, layers[1:], strict=False):
             first = np.flatnonzero(np.r_[True, now[1:] != now[:-1]])
             place = np.arange(len(now)) - np.repeat(first, np.diff(np.r_[first, len(now)]))
             halves.append(np.flatnonzero(place % 2 == 0))
             assert len(halves[-1]) == len(then)
-        for f, (factor, mask) in enumerate(zip(self.factors, self.masks, strict=True)):
-            low = np.minimum.reduceat((hashes ^ mask) * factor, begins)
+        for f, factor in enumerate(self.factors):
+            low = np.minimum.reduceat(np.multiply(hashes, factor, out=product), begins)
             for layer, (size, owner) in enumerate(layers):
                 if layer:
                     low = np.minimum.reduceat(low, halves[layer - 1])

@@ -308,14 +308,18 @@ def test_dedup_query(spark, sf):
 # Decontamination.
 
 
+def brute_shingles(text):
+    words = [re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()) for w in re.split(r"[ \t\n\x0b\f\r\xa0]+", text or "")]
+    words = [w for w in words if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def brute_hits(docs, items):
+    wanted = [(i, brute_shingles(x)) for i, x in items]
     out = set()
     for d, t in docs:
-        own = decontaminate.shingles(decontaminate.normal_words(t or ""))
-        for i, x in items:
-            s = decontaminate.shingles(decontaminate.normal_words(x or ""))
-            if s and len(s & own) >= 0.8 * len(s):
-                out.add((d, i))
+        own = brute_shingles(t)
+        out |= {(d, i) for i, s in wanted if s and len(s & own) >= 0.8 * len(s)}
     return out
 
 

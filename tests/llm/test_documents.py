@@ -410,3 +410,15 @@ def test_pipeline_edges(spark, tmp_path):
         spark.createDataFrame([(1, None, None)], LABELS).write.parquet(f"{sf}/labels.parquet")
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
         assert p.run(spark, sf).count() == 0
+
+
+def test_near_duplicates_stage_rows(spark):
+    import corpus_pipeline as p
+
+    a, b, c, d = (" ".join(f"w{k}x{i * i % 97}" for i in range(80)) for k in range(4))
+    rows = [(2, a), (2, a), (None, a), (None, b), (None, b), (5, c), (1, c), (5, d), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.near_duplicates_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(2, a), (None, b), (1, c), (5, d), (7, "")], key=str)
+    assert p.near_duplicates_stage(spark, docs.limit(0), "").count() == 0

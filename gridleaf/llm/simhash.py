@@ -16,22 +16,36 @@ Of four differing bits, some two segments have at most two between them
 have one at most.  So the keys of a fingerprint are, for each ordered pair of
 segments, the one segment itself with each codeword near the other ("even" keys),
 and for each pair the two codewords, once as its own and once with all near ones
-("odd" keys).  Fingerprints that share a key are compared.
+("odd" keys, where one of two must stand as its own).  Fingerprints that share a key
+are compared, on one path for every size of input.
+
+``wide_keys`` are, for each pair of segments, all near codewords of both: sure to meet
+up to five bits, where two segments have two each at most, and mostly up to eight.
 
 Only distinct fingerprints are compared, so exact copies cost nothing.  The members
 of a key are streamed in key order; short runs are compared by sliding the run over
-itself, long ones by a search from member to member that compares each with those
-not reached yet, and emits a spanning forest: components stay whole, and never all
-pairs of a group.
-
-Null and empty texts have fingerprint 0, linked like any other.  Null keys keep
-their row; the component id is the least non-null key of the component.
+itself, others by a table of distances or, where most of a run is close, by a search
+from member to member that compares each with those not reached yet and emits a
+spanning forest: components stay whole, and never all pairs of a group.  A run of over
+``LONG`` members is not held by its task: its key is noted, and in a second pass its
+members are dealt into blocks and each pair of blocks is compared by a task of its own.
+
+``dedup`` links by fingerprints alone.  ``near_copies`` links texts at a Jaccard
+similarity of ``SHARE`` of their distinct five-word shingles: fingerprints of the sets of
+words, which a changed word hardly moves, give the candidates by ``wide_keys``, and
+every link is verified by whole shingle sets.
+
+Null and empty texts have fingerprint 0, linked like any other.  Null keys keep their
+row; the component id is the least non-null key of the component.  Repeated rows are
+exact copies, each with a row of its own.  Ties: of equal counts a bit is not set.  Very
+long texts are hashed whole, shingle hashes summed in parts.  An empty table gives an
+empty one.  Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +60,14 @@ WORDS = 4
 SEED = 42
 BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Differing bits up to which wide keys make candidates.
+WIDE_BITS = 10
 #: Runs of a key up to this length are compared by sliding.
 SHORT = 24
-#: Distinct fingerprints above which an odd key also holds the third segment's codeword.
-THIRD_ABOVE = 1 << 25
+#: Members of a key that one task compares; longer runs are split into pairs of blocks.
+LONG = 32_768
+#: The first tag of odd keys.
+ODD = 6
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -122,49 +140,89 @@ def near(words: np.ndarray) -> np.ndarray:
     return found.T.astype(np.int64)
 
 
-def keys(fps: np.ndarray, third: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _parts(fps: np.ndarray) -> list[np.ndarray]:
+    return [((fps >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+
+
+def _distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each row without repeats, and the row of each."""
+    flat = np.concatenate(found, axis=1)
+    flat.sort(axis=1)
+    fresh = np.c_[np.ones((len(flat), 1), dtype=bool), flat[:, 1:] != flat[:, :-1]]
+    return flat[fresh], np.repeat(np.arange(len(flat)), fresh.sum(axis=1))
+
+
+def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys of unsigned fingerprints and the index of the fingerprint of each."""
-    index = golay()
-    parts = [((fps >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+    parts, n = _parts(fps), len(fps)
     around = [near(p) for p in parts]
-    own = [index[p].astype(np.int64) for p in parts]
-    n = len(fps)
     found = []
     for tag, (i, j) in enumerate(((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))):
         found.append((tag << 40) | (parts[i][:, None] << 12) | around[j])
-    for tag, (i, j, k) in enumerate(((0, 1, 2), (0, 2, 1), (1, 2, 0)), 6):
-        both = np.concatenate([((around[i][:, :, None] << 12) | around[j][:, None, :]).reshape(n, 36), ((own[i] << 12) | own[j])[:, None]], axis=1)
-        if third:
-            both = ((both[:, :, None] << 12) | around[k][:, None, :]).reshape(n, -1)
-        found.append((tag << 40) | both)
-    flat = np.concatenate(found, axis=1)
-    flat.sort(axis=1)
-    fresh = np.c_[np.ones((n, 1), dtype=bool), flat[:, 1:] != flat[:, :-1]]
-    return flat[fresh], np.repeat(np.arange(n), fresh.sum(axis=1))
+    for tag, (i, j) in enumerate(((0, 1), (0, 2), (1, 2)), ODD):  # a codeword of its own is among the near ones
+        found.append((tag << 40) | ((around[i][:, :, None] << 12) | around[j][:, None, :]).reshape(n, 36))
+    return _distinct(found)
+
+
+def own_of(key: int, fps: np.ndarray) -> np.ndarray | None:
+    """Which fingerprints have the codewords of an odd key as their own; None for an even key."""
+    tag = key >> 40
+    if tag < ODD:
+        return None
+    i, j = ((0, 1), (0, 2), (1, 2))[tag - ODD]
+    parts, index = _parts(fps), golay()
+    return ((index[parts[i]].astype(np.int64) << 12) | index[parts[j]]) == key & ((1 << 24) - 1)
+
+
+def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of segments all near codewords of both."""
+    around, n = [near(p) for p in _parts(fps)], len(fps)
+    return _distinct([(tag << 40) | ((around[i][:, :, None] << 12) | around[j][:, None, :]).reshape(n, 36) for tag, (i, j) in enumerate(((0, 1), (0, 2), (1, 2)))])
 
 
-def forest(fps: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct unsigned fingerprints (positions)."""
-    links = []
+def forest(fps: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """A spanning forest of the links among distinct unsigned fingerprints: rows of root, parent and member (positions)."""
+    links: list[np.ndarray] = []
     rest = np.arange(len(fps))
     while len(rest) > 1:
-        queue, rest = [int(rest[0])], rest[1:]
+        root = int(rest[0])
+        queue, rest = [root], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            close = np.bitwise_count(fps[rest] ^ fps[at]) <= BITS
+            close = np.bitwise_count(fps[rest] ^ fps[at]) <= bits
             if close.any():
-                reached = rest[close].tolist()
-                links += [(at, r) for r in reached]
-                queue += reached
+                reached = rest[close]
+                links.append(np.stack([np.full(len(reached), root), np.full(len(reached), at), reached], axis=1))
+                queue += reached.tolist()
                 rest = rest[~close]
-    return links
-
-
-def run_links(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among whole runs of equal sorted keys."""
+    return np.concatenate(links) if links else np.zeros((0, 3), dtype=np.int64)
+
+
+def close_pairs(fps: np.ndarray, rows: np.ndarray, bits: int, most: int) -> np.ndarray | None:
+    """All pairs of ``rows`` (positions) with any other fingerprint that are close; None if there are over ``most``."""
+    out, found = [np.zeros((0, 2), dtype=np.int64)], 0
+    step = max(1, (1 << 21) // len(fps))
+    for i in range(0, len(rows), step):
+        part = rows[i : i + step]
+        a, b = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps) <= bits)
+        a = part[a]
+        pairs = np.stack([a, b], axis=1)[a != b]
+        found += len(pairs)
+        if found > most:
+            return None
+        out.append(pairs)
+    return np.concatenate(out)
+
+
+def run_links(key: np.ndarray, fps: np.ndarray, bits: int = BITS, star: bool = False, owned: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links among whole runs of equal sorted keys.
+
+    With ``star`` a member of a long dense run is tied to the least one of its tree, which need not be close;
+    with ``owned`` only pairs of odd keys count of which one has the codewords as its own.
+    """
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
-    left, right = [], []
+    left, right = [fps[:0]], [fps[:0]]
     short = np.repeat(sizes <= SHORT, sizes) & np.repeat(sizes > 1, sizes)
     k, f = key[short], fps[short]
     for lag in range(1, SHORT):
@@ -172,62 +230,104 @@ def run_links(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         if not same.any():
             break
         a, b = f[:-lag][same], f[lag:][same]
-        close = np.bitwise_count(a ^ b) <= BITS
+        close = np.bitwise_count(a ^ b) <= bits
         left.append(a[close])
         right.append(b[close])
-    for s, n in zip(starts[sizes > SHORT], sizes[sizes > SHORT], strict=True):
-        own = np.unique(fps[s : s + n])
-        pairs = np.array(forest(own), dtype=np.int64).reshape(-1, 2)
-        left.append(own[pairs[:, 0]])
-        right.append(own[pairs[:, 1]])
-    if not left:
-        return fps[:0], fps[:0]
+    for s, n in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
+        members = np.unique(fps[s : s + n])
+        asked = own_of(int(key[s]), members) if owned else None
+        rows = np.arange(len(members)) if asked is None else np.flatnonzero(asked)
+        pairs = close_pairs(members, rows, bits, 8 * len(members))
+        if pairs is None:
+            tree = forest(members, bits)
+            pairs = tree[:, [0, 2]] if star else tree[:, [1, 2]]
+        left.append(members[pairs[:, 0]])
+        right.append(members[pairs[:, 1]])
     a, b = np.concatenate(left), np.concatenate(right)
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(distinct: DataFrame, third: bool = False) -> DataFrame:
-    """``distinct`` (fp): links (a, b) that join the same fingerprints as all links of BITS or fewer bits do."""
+def _compare(batches: Iterator[pa.RecordBatch], bits: int, star: bool, owned: bool, longest: int | None) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows (key, fp) in key order; (key, null) for each run of over ``longest`` members, which is not held."""
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    fresh, over = 0, None
+
+    def out(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if longest is not None and len(k) > longest:
+            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            sizes = np.diff(np.r_[starts, len(k)])
+            yield from noted(k[starts[sizes > longest]])
+            held = np.repeat(sizes <= longest, sizes)
+            k, f = k[held], f[held]
+        if len(k):
+            a, b = run_links(k, f, bits, star, owned)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    def noted(k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(k):
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.nulls(len(k), pa.int64())], names=["a", "b"])
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
+
+    for batch in batches:
+        k, f = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        if over is not None:
+            cut = int(np.searchsorted(k, over, "right"))
+            k, f = k[cut:], f[cut:]
+        if not len(k):
+            continue
+        over = None
+        waiting.append((k, f))
+        fresh += len(k)
+        if fresh < 200_000:
+            continue
+        k, f = joined()
+        cut = int(np.searchsorted(k, k[-1]))
+        yield from out(k[:cut], f[:cut])
+        k, f = k[cut:], f[cut:]
+        waiting, fresh = [(k, f)], 0
+        if longest is not None and len(k) > longest:
+            yield from noted(k[:1])
+            over, waiting = int(k[0]), []
+    if waiting:
+        yield from out(*joined())
+
+
+def search(distinct: DataFrame, keys_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], bits: int, star: bool = False, owned: bool = False, longest: int = LONG) -> DataFrame:
+    """``distinct`` (fp): links (a, b) of ``run_links`` over all runs of equal keys, a < b as unsigned numbers."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for i in range(0, len(fps), 2048):
-                key, at = keys(fps[i : i + 2048], third)
+                key, at = keys_of(fps[i : i + 2048])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[i : i + 2048].view(np.int64)[at])], names=["key", "fp"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = run_links(k, f)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        def joined() -> tuple[np.ndarray, np.ndarray]:
-            return np.concatenate([held_k, *(w[0] for w in waiting)]), np.concatenate([held_f, *(w[1] for w in waiting)])
-
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            waiting.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            rows += batch.num_rows
-            if rows < 200_000 or waiting[-1][0][-1] == (held_k[0] if len(held_k) else waiting[0][0][0]):
-                continue  # the run goes on
-            k, f = joined()
-            cut = np.searchsorted(k, k[-1])
-            held_k, held_f, waiting, rows = k[cut:], f[cut:], [], 0
-            yield from out(k[:cut], f[:cut])
-        k, f = joined()
-        if len(k):
-            yield from out(k, f)
+    def compared(rows: DataFrame, own: bool, most: int | None) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _compare(batches, bits, star, own, most), "a long, b long")
 
     dealt = distinct.select("fp").mapInArrow(deal, "key long, fp long")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    found = written(compared(dealt, owned, longest), "links")
+    hot = found.where("b is null").select(F.col("a").alias("key"))
+    found = found.where("b is not null")
+    if hot.isEmpty():
+        return found
+    # Members of a long run go into blocks of half its size at most; every pair of blocks is a run of its own.
+    members = written(dealt.join(hot, "key"), "long")
+    blocks = members.groupBy("key").agg(F.ceil(2 * F.count("*") / longest).alias("n"))
+    placed = members.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("fp"), "n"))
+    cells = placed.select("key", "fp", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    cells = cells.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp")
+    return found.unionByName(compared(cells, False, None))
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (fp): links (a, b) that join the same fingerprints as all links of BITS or fewer bits do."""
+    return search(distinct, keys, BITS, owned=True)
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,12 +335,10 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     marked = written(fingerprints(df.select(key, text), key, text), "fingerprints")
     least = marked.groupBy("fp").agg(F.min(key).alias("__least"))
     distinct = written(least, "distinct")
-    found = components(links(distinct, distinct.count() > THIRD_ABOVE))
+    found = components(links(distinct))
     # Both sides of the join by root are tables: a root of very many fingerprints can be split.
     rooted = written(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     lead = written(rooted.groupBy("root").agg(F.min("__least").alias("component_id")), "lead")
     placed = rooted.join(lead, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(placed, "fp").select(key, digits, "component_id")
-
-

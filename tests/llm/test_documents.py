@@ -243,24 +243,24 @@ def test_fingerprint_by_hand():
         assert simhash.fingerprint(t) == fingerprint_by_hand(t)
 
 
-@pytest.mark.parametrize("third", [False, True])
-def test_keys_meet_within_four_bits(third):
+@pytest.mark.parametrize(("keys_of", "most"), [(simhash.keys, 4), (simhash.wide_keys, 5)])
+def test_keys_meet_within_their_bits(keys_of, most):
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 2**63, 400, dtype=np.uint64)
-    for bits in (1, 2, 3, 4):
+    for bits in range(1, most + 1):
         other = fps.copy()
         for i in range(len(other)):
             for b in rng.choice(64, bits, replace=False):
                 other[i] ^= np.uint64(1) << np.uint64(b)
         sets = [collections.defaultdict(set) for _ in range(2)]
         for side, values in zip(sets, (fps, other), strict=True):
-            for key, at in zip(*(x.tolist() for x in simhash.keys(values, third)), strict=True):
+            for key, at in zip(*(x.tolist() for x in keys_of(values)), strict=True):
                 side[at].add(key)
         assert all(sets[0][i] & sets[1][i] for i in range(len(fps)))
 
 
-@pytest.mark.parametrize("third", [False, True])
-def test_links_join_what_brute_force_joins(spark, third):
+@pytest.mark.parametrize("longest", [simhash.LONG, 10])
+def test_links_join_what_brute_force_joins(spark, longest):
     rng = np.random.default_rng(5)
     center = rng.integers(0, 2**63, 30, dtype=np.uint64)
     fps = set(center.tolist()) | {0, 1, 3}
@@ -273,7 +273,7 @@ def test_links_join_what_brute_force_joins(spark, third):
     fps = np.array(sorted(fps), dtype=np.uint64)
     signed = fps.view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(5)
-    found = [(signed.index(r["a"]), signed.index(r["b"])) for r in simhash.links(df, third).collect()]
+    found = [(signed.index(r["a"]), signed.index(r["b"])) for r in simhash.search(df, simhash.keys, 4, owned=True, longest=longest).collect()]
     brute = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4]
     assert set(found) <= {tuple(sorted(p, reverse=True)) for p in brute} | set(brute) | {(j, i) for i, j in brute}
     assert find_components(len(fps), found) == find_components(len(fps), brute)
@@ -283,7 +283,40 @@ def test_forest_spans():
     rng = np.random.default_rng(9)
     fps = np.unique(np.array([int(x) for x in rng.integers(0, 1 << 12, 300)], dtype=np.uint64))
     brute = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4]
-    assert find_components(len(fps), simhash.forest(fps)) == find_components(len(fps), brute)
+    tree = simhash.forest(fps)
+    for columns in ([1, 2], [0, 2]):
+        assert find_components(len(fps), tree[:, columns].tolist()) == find_components(len(fps), brute)
+    assert {tuple(sorted(p, reverse=True)) for p in tree[:, [1, 2]].tolist()} <= set(brute)
+
+
+@pytest.mark.parametrize(("star", "owned"), [(False, False), (False, True), (True, False)])
+def test_long_runs_join_what_brute_force_joins(star, owned):
+    """One key held by many: dense runs, sparse ones, and odd keys where one of two has the codewords as its own."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**63, dtype=np.uint64)
+    for spread in (3, 30):
+        fps = np.unique(np.array([base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, spread, dtype=np.uint64)) for _ in range(300)] + [base], dtype=np.uint64))
+        key = int(simhash.keys(np.array([base], dtype=np.uint64))[0][-1])
+        brute = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4]
+        if owned:
+            own = simhash.own_of(key, fps)
+            wanted = [(i, j) for i, j in brute if own[i] or own[j]]
+        a, b = simhash.run_links(np.full(len(fps), key), fps, star=star, owned=owned)
+        found = list(zip(np.searchsorted(fps, a).tolist(), np.searchsorted(fps, b).tolist(), strict=True))
+        if owned:  # no wanted link may be lost, none may be false
+            got = find_components(len(fps), found)
+            assert all(got[i] == got[j] for i, j in wanted) and {tuple(sorted(p, reverse=True)) for p in found} <= set(brute)
+        else:
+            assert find_components(len(fps), found) == find_components(len(fps), brute)
+
+
+def test_stream_of_runs_keeps_no_long_run():
+    rng = np.random.default_rng(3)
+    key = np.sort(np.r_[np.full(300_000, 5), np.full(40, 7), rng.integers(8, 1000, 50_000), np.full(260_000, 2000)])
+    fps = rng.integers(0, 2**62, len(key), dtype=np.int64)
+    batches = (pa.RecordBatch.from_arrays([pa.array(key[i : i + 30_000]), pa.array(fps[i : i + 30_000])], names=["key", "fp"]) for i in range(0, len(key), 30_000))
+    rows = pa.Table.from_batches(list(simhash._compare(batches, 4, False, False, 1000))).to_pylist()
+    assert sorted(r["a"] for r in rows if r["b"] is None) == [5, 2000]
 
 
 def test_dedup_edges(spark):

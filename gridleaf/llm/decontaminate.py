@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridleaf.llm.shared import map_column
+from gridleaf.llm.shared import map_column, rolled
 
 WORDS = 5
 SHARE = 0.8
@@ -46,7 +46,6 @@ BLOCK_CHARS = 20_000_000
 CHUNK = (4096, 3_000_000)
 
 _EDGES = r"^[^\pL\pN]+|[^\pL\pN]+$"
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def split_words(texts: pa.Array) -> pa.Array:
@@ -82,18 +81,7 @@ def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     there = hashes != 0
     hashes, owner = hashes[there], owner[there]
     size = np.bincount(owner, minlength=len(texts))
-    total = np.zeros(len(hashes), dtype=np.uint64)
-    place = np.arange(len(hashes)) - np.r_[0, np.cumsum(size)[:-1]][owner]
-    for k in range(WORDS):
-        reach = np.zeros(len(hashes), dtype=np.uint64)
-        reach[: len(hashes) - k] = hashes[k:]
-        reach[place + k >= size[owner]] = 0
-        total = total * _FACTOR + reach
-    total ^= total >> np.uint64(31)
-    total *= np.uint64(0xBF58476D1CE4E5B9)
-    total ^= total >> np.uint64(29)
-    count = np.where(size > 0, np.maximum(size - WORDS + 1, 1), 0)
-    return total[place < count[owner]], count
+    return rolled(hashes, owner, size, WORDS)
 
 
 def hash_functions() -> np.ndarray:

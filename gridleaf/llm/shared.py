@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +74,27 @@ def chunks(batch: pa.RecordBatch, text: int | None = None, most_rows: int = CHUN
         yield batch.slice(start)
 
 
+def rolled(hashes: np.ndarray, owner: np.ndarray, size: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of so many words, text after text, and how many each text has.
+
+    ``hashes`` are those of the words, none of them 0, ``owner`` the text of each, ``size`` the words of
+    each text.  A text of fewer words has one shingle, its whole sequence; one without words has none.
+    """
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    total = np.zeros(len(hashes), dtype=np.uint64)
+    place = np.arange(len(hashes)) - np.r_[0, np.cumsum(size)[:-1]][owner]
+    for k in range(words):
+        reach = np.zeros(len(hashes), dtype=np.uint64)
+        reach[: max(0, len(hashes) - k)] = hashes[k:]
+        reach[place + k >= size[owner]] = 0
+        total = total * factor + reach
+    total ^= total >> np.uint64(31)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    total ^= total >> np.uint64(29)
+    count = np.where(size > 0, np.maximum(size - words + 1, 1), 0)
+    return total[place < count[owner]], count
+
+
 def release() -> None:
     """Give freed memory back: a Python worker lives on between tasks and stages."""
     pa.default_memory_pool().release_unused()

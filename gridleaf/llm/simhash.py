@@ -30,11 +30,6 @@ spanning forest: components stay whole, and never all pairs of a group.  A run o
 ``LONG`` members is not held by its task: its key is noted, and in a second pass its
 members are dealt into blocks and each pair of blocks is compared by a task of its own.
 
-``dedup`` links by fingerprints alone.  ``near_copies`` links texts at a Jaccard
-similarity of ``SHARE`` of their distinct five-word shingles: fingerprints of the sets of
-words, which a changed word hardly moves, give the candidates by ``wide_keys``, and
-every link is verified by whole shingle sets.
-
 Null and empty texts have fingerprint 0, linked like any other.  Null keys keep their
 row; the component id is the least non-null key of the component.  Repeated rows are
 exact copies, each with a row of its own.  Ties: of equal counts a bit is not set.  Very
@@ -60,8 +55,6 @@ WORDS = 4
 SEED = 42
 BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Differing bits up to which wide keys make candidates.
-WIDE_BITS = 10
 #: Runs of a key up to this length are compared by sliding.
 SHORT = 24
 #: Members of a key that one task compares; longer runs are split into pairs of blocks.
@@ -180,16 +173,26 @@ def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _distinct([(tag << 40) | ((around[i][:, :, None] << 12) | around[j][:, None, :]).reshape(n, 36) for tag, (i, j) in enumerate(((0, 1), (0, 2), (1, 2)))])
 
 
-def forest(fps: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """A spanning forest of the links among distinct unsigned fingerprints: rows of root, parent and member (positions)."""
+Columns = tuple[np.ndarray, ...]
+Limits = tuple[int, ...]
+
+
+def _close(columns: Columns, limits: Limits, some: np.ndarray | int, others: np.ndarray | slice) -> np.ndarray:
+    """Whether fingerprints (positions) differ in at most so many bits in every column."""
+    near_by = [np.bitwise_count(c[some] ^ c[others]) <= most for c, most in zip(columns, limits, strict=True)]
+    return functools.reduce(np.logical_and, near_by)
+
+
+def forest(columns: Columns, limits: Limits) -> np.ndarray:
+    """A spanning forest of the links among fingerprints: rows of root, parent and member (positions); a root is the first of its tree."""
     links: list[np.ndarray] = []
-    rest = np.arange(len(fps))
+    rest = np.arange(len(columns[0]))
     while len(rest) > 1:
         root = int(rest[0])
         queue, rest = [root], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            close = np.bitwise_count(fps[rest] ^ fps[at]) <= bits
+            close = _close(columns, limits, at, rest)
             if close.any():
                 reached = rest[close]
                 links.append(np.stack([np.full(len(reached), root), np.full(len(reached), at), reached], axis=1))
@@ -198,13 +201,13 @@ def forest(fps: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.concatenate(links) if links else np.zeros((0, 3), dtype=np.int64)
 
 
-def close_pairs(fps: np.ndarray, rows: np.ndarray, bits: int, most: int) -> np.ndarray | None:
+def close_pairs(columns: Columns, limits: Limits, rows: np.ndarray, most: int) -> np.ndarray | None:
     """All pairs of ``rows`` (positions) with any other fingerprint that are close; None if there are over ``most``."""
-    out, found = [np.zeros((0, 2), dtype=np.int64)], 0
-    step = max(1, (1 << 21) // len(fps))
+    out, found, n = [np.zeros((0, 2), dtype=np.int64)], 0, len(columns[0])
+    step = max(1, (1 << 21) // n)
     for i in range(0, len(rows), step):
         part = rows[i : i + step]
-        a, b = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps) <= bits)
+        a, b = np.nonzero(_close(columns, limits, part[:, None], np.arange(n)))
         a = part[a]
         pairs = np.stack([a, b], axis=1)[a != b]
         found += len(pairs)
@@ -214,120 +217,144 @@ def close_pairs(fps: np.ndarray, rows: np.ndarray, bits: int, most: int) -> np.n
     return np.concatenate(out)
 
 
-def run_links(key: np.ndarray, fps: np.ndarray, bits: int = BITS, star: bool = False, owned: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Links among whole runs of equal sorted keys.
+def run_links(key: np.ndarray, columns: Columns, limits: Limits, star: bool = False, owned: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) among whole runs of equal sorted keys, the lesser fingerprint first, without repeats.
 
     With ``star`` a member of a long dense run is tied to the least one of its tree, which need not be close;
     with ``owned`` only pairs of odd keys count of which one has the codewords as its own.
     """
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
-    left, right = [fps[:0]], [fps[:0]]
-    short = np.repeat(sizes <= SHORT, sizes) & np.repeat(sizes > 1, sizes)
-    k, f = key[short], fps[short]
+    left, right = [starts[:0]], [starts[:0]]
+    short = np.flatnonzero(np.repeat((sizes <= SHORT) & (sizes > 1), sizes))
     for lag in range(1, SHORT):
-        same = k[lag:] == k[:-lag]
+        a, b = short[:-lag], short[lag:]
+        same = key[a] == key[b]
         if not same.any():
             break
-        a, b = f[:-lag][same], f[lag:][same]
-        close = np.bitwise_count(a ^ b) <= bits
+        a, b = a[same], b[same]
+        close = _close(columns, limits, a, b)
         left.append(a[close])
         right.append(b[close])
     for s, n in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
-        members = np.unique(fps[s : s + n])
-        asked = own_of(int(key[s]), members) if owned else None
-        rows = np.arange(len(members)) if asked is None else np.flatnonzero(asked)
-        pairs = close_pairs(members, rows, bits, 8 * len(members))
+        own = [c[s : s + n] for c in columns]
+        order = np.lexsort(own[::-1])
+        own = tuple(c[order] for c in own)
+        asked = own_of(int(key[s]), own[0]) if owned else None
+        pairs = close_pairs(own, limits, np.arange(n) if asked is None else np.flatnonzero(asked), 8 * n)
         if pairs is None:
-            tree = forest(members, bits)
+            tree = forest(own, limits)
             pairs = tree[:, [0, 2]] if star else tree[:, [1, 2]]
-        left.append(members[pairs[:, 0]])
-        right.append(members[pairs[:, 1]])
+        left.append(s + order[pairs[:, 0]])
+        right.append(s + order[pairs[:, 1]])
     a, b = np.concatenate(left), np.concatenate(right)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _compare(batches: Iterator[pa.RecordBatch], bits: int, star: bool, owned: bool, longest: int | None) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of rows (key, fp) in key order; (key, null) for each run of over ``longest`` members, which is not held."""
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    # Of a pair the lesser one first; a pair that several keys or copies of a row give counts once.
+    less, same = np.zeros(len(a), dtype=bool), np.ones(len(a), dtype=bool)
+    for c in columns:
+        less |= same & (c[a] < c[b])
+        same &= c[a] == c[b]
+    a, b = np.where(less, a, b)[~same], np.where(less, b, a)[~same]
+    values = [*(c[a] for c in columns), *(c[b] for c in columns)]
+    order = np.lexsort(values[::-1])
+    fresh = np.zeros(len(order), dtype=bool)
+    for v in values:
+        fresh[1:] |= v[order][1:] != v[order][:-1]
+    fresh[:1] = True
+    return a[order][fresh], b[order][fresh]
+
+
+def _compare(batches: Iterator[pa.RecordBatch], limits: Limits, star: bool, owned: bool, longest: int | None) -> Iterator[pa.RecordBatch]:
+    """Links of rows (key, fingerprint columns) in key order: the columns of the one and of the other.
+
+    For each run of over ``longest`` members, which is not held, (key, nulls).
+    """
+    names = [f"{side}{i}" for side in "ab" for i in range(len(limits))]
+    waiting: list[list[np.ndarray]] = []
     fresh, over = 0, None
 
-    def out(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        k = rows[0]
         if longest is not None and len(k) > longest:
             starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             sizes = np.diff(np.r_[starts, len(k)])
             yield from noted(k[starts[sizes > longest]])
             held = np.repeat(sizes <= longest, sizes)
-            k, f = k[held], f[held]
-        if len(k):
-            a, b = run_links(k, f, bits, star, owned)
+            rows = [r[held] for r in rows]
+        if len(rows[0]):
+            columns = tuple(rows[1:])
+            a, b = run_links(rows[0], columns, limits, star, owned)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at].view(np.int64)) for at in (a, b) for c in columns], names=names)
 
     def noted(k: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(k):
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.nulls(len(k), pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(k), *[pa.nulls(len(k), pa.int64())] * (len(names) - 1)], names=names)
 
-    def joined() -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*waiting, strict=True)]
 
     for batch in batches:
-        k, f = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        rows = [batch.column(0).to_numpy(zero_copy_only=False), *(c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[1:])]
         if over is not None:
-            cut = int(np.searchsorted(k, over, "right"))
-            k, f = k[cut:], f[cut:]
-        if not len(k):
+            cut = int(np.searchsorted(rows[0], over, "right"))
+            rows = [r[cut:] for r in rows]
+        if not len(rows[0]):
             continue
         over = None
-        waiting.append((k, f))
-        fresh += len(k)
+        waiting.append(rows)
+        fresh += len(rows[0])
         if fresh < 200_000:
             continue
-        k, f = joined()
-        cut = int(np.searchsorted(k, k[-1]))
-        yield from out(k[:cut], f[:cut])
-        k, f = k[cut:], f[cut:]
-        waiting, fresh = [(k, f)], 0
-        if longest is not None and len(k) > longest:
-            yield from noted(k[:1])
-            over, waiting = int(k[0]), []
+        rows = joined()
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        yield from out([r[:cut] for r in rows])
+        rows = [r[cut:] for r in rows]
+        waiting, fresh = [rows], 0
+        if longest is not None and len(rows[0]) > longest:
+            yield from noted(rows[0][:1])
+            over, waiting = int(rows[0][0]), []
     if waiting:
-        yield from out(*joined())
+        yield from out(joined())
+
 
+def search(distinct: DataFrame, keys_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], limits: Limits, star: bool = False, owned: bool = False, longest: int = LONG) -> DataFrame:
+    """Links of ``run_links`` over all runs of equal keys.
 
-def search(distinct: DataFrame, keys_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], bits: int, star: bool = False, owned: bool = False, longest: int = LONG) -> DataFrame:
-    """``distinct`` (fp): links (a, b) of ``run_links`` over all runs of equal keys, a < b as unsigned numbers."""
+    ``distinct`` holds fingerprints without repeats, one long column for each of ``limits``; the
+    keys are made of the first.  A link has the columns a0, a1, ... of the one and b0, b1, ... of the other.
+    """
+    kinds = len(limits)
+    names = [f"f{i}" for i in range(kinds)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for i in range(0, len(fps), 2048):
-                key, at = keys_of(fps[i : i + 2048])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[i : i + 2048].view(np.int64)[at])], names=["key", "fp"])
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            for i in range(0, batch.num_rows, 2048):
+                key, at = keys_of(columns[0][i : i + 2048].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[i : i + 2048][at]) for c in columns)], names=["key", *names])
 
     def compared(rows: DataFrame, own: bool, most: int | None) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _compare(batches, bits, star, own, most), "a long, b long")
+        schema = ", ".join(f"{side}{i} long" for side in "ab" for i in range(kinds))
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _compare(batches, limits, star, own, most), schema)
 
-    dealt = distinct.select("fp").mapInArrow(deal, "key long, fp long")
+    dealt = distinct.mapInArrow(deal, ", ".join(f"{n} long" for n in ("key", *names)))
     found = written(compared(dealt, owned, longest), "links")
-    hot = found.where("b is null").select(F.col("a").alias("key"))
-    found = found.where("b is not null")
+    hot = found.where("b0 is null").select(F.col("a0").alias("key")).distinct()
+    found = found.where("b0 is not null")
     if hot.isEmpty():
         return found
     # Members of a long run go into blocks of half its size at most; every pair of blocks is a run of its own.
     members = written(dealt.join(hot, "key"), "long")
     blocks = members.groupBy("key").agg(F.ceil(2 * F.count("*") / longest).alias("n"))
-    placed = members.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("fp"), "n"))
-    cells = placed.select("key", "fp", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    cells = cells.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp")
+    placed = members.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64(*names), "n"))
+    cells = placed.select("key", *names, "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    cells = cells.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), *names)
     return found.unionByName(compared(cells, False, None))
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """``distinct`` (fp): links (a, b) that join the same fingerprints as all links of BITS or fewer bits do."""
-    return search(distinct, keys, BITS, owned=True)
+    return search(distinct.select("fp"), keys, (BITS,), owned=True).toDF("a", "b")
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridleaf.llm import components, decontaminate, language_id, quality_crf, quality_rules, simhash
+from gridleaf.llm import components, decontaminate, language_id, near_copies, quality_crf, quality_rules, simhash
 from gridleaf.llm import queries as q
 
 LONG = "lorem ipsum dolor sit amet " * 5000
@@ -273,7 +273,7 @@ def test_links_join_what_brute_force_joins(spark, longest):
     fps = np.array(sorted(fps), dtype=np.uint64)
     signed = fps.view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(5)
-    found = [(signed.index(r["a"]), signed.index(r["b"])) for r in simhash.search(df, simhash.keys, 4, owned=True, longest=longest).collect()]
+    found = [(signed.index(r["a"]), signed.index(r["b"])) for r in simhash.search(df, simhash.keys, (4,), owned=True, longest=longest).toDF("a", "b").collect()]
     brute = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4]
     assert set(found) <= {tuple(sorted(p, reverse=True)) for p in brute} | set(brute) | {(j, i) for i, j in brute}
     assert find_components(len(fps), found) == find_components(len(fps), brute)
@@ -283,7 +283,7 @@ def test_forest_spans():
     rng = np.random.default_rng(9)
     fps = np.unique(np.array([int(x) for x in rng.integers(0, 1 << 12, 300)], dtype=np.uint64))
     brute = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4]
-    tree = simhash.forest(fps)
+    tree = simhash.forest((fps,), (4,))
     for columns in ([1, 2], [0, 2]):
         assert find_components(len(fps), tree[:, columns].tolist()) == find_components(len(fps), brute)
     assert {tuple(sorted(p, reverse=True)) for p in tree[:, [1, 2]].tolist()} <= set(brute)
@@ -301,8 +301,7 @@ def test_long_runs_join_what_brute_force_joins(star, owned):
         if owned:
             own = simhash.own_of(key, fps)
             wanted = [(i, j) for i, j in brute if own[i] or own[j]]
-        a, b = simhash.run_links(np.full(len(fps), key), fps, star=star, owned=owned)
-        found = list(zip(np.searchsorted(fps, a).tolist(), np.searchsorted(fps, b).tolist(), strict=True))
+        found = list(zip(*(x.tolist() for x in simhash.run_links(np.full(len(fps), key), (fps,), (4,), star=star, owned=owned)), strict=True))
         if owned:  # no wanted link may be lost, none may be false
             got = find_components(len(fps), found)
             assert all(got[i] == got[j] for i, j in wanted) and {tuple(sorted(p, reverse=True)) for p in found} <= set(brute)
@@ -315,8 +314,8 @@ def test_stream_of_runs_keeps_no_long_run():
     key = np.sort(np.r_[np.full(300_000, 5), np.full(40, 7), rng.integers(8, 1000, 50_000), np.full(260_000, 2000)])
     fps = rng.integers(0, 2**62, len(key), dtype=np.int64)
     batches = (pa.RecordBatch.from_arrays([pa.array(key[i : i + 30_000]), pa.array(fps[i : i + 30_000])], names=["key", "fp"]) for i in range(0, len(key), 30_000))
-    rows = pa.Table.from_batches(list(simhash._compare(batches, 4, False, False, 1000))).to_pylist()
-    assert sorted(r["a"] for r in rows if r["b"] is None) == [5, 2000]
+    rows = pa.Table.from_batches(list(simhash._compare(batches, (4,), False, False, 1000))).to_pylist()
+    assert sorted(r["a0"] for r in rows if r["b0"] is None) == [5, 2000]
 
 
 def test_dedup_edges(spark):
@@ -338,6 +337,70 @@ def test_dedup_query(spark, sf):
     assert got == {r["doc_id"]: (f"{fps[i]:016x}", docs[want[i]]["doc_id"]) for i, r in enumerate(docs)}
 
 
+# Near copies.
+
+
+def five_word_shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+
+
+def brute_classes(texts):
+    """Least position of each text's class over all pairs with a Jaccard similarity of 0.8 or more."""
+    sets = [five_word_shingles(t) for t in texts]
+    return find_components(len(texts), [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8])
+
+
+def test_shingle_sets_by_hand():
+    texts = ["", "  ", "one", "A b C", "Ä Ö\xa0x\ny z", "a b c d e f a b c d e f", "a b c d e A B C D E"]
+    sets = [set(s) for s in near_copies.shingle_sets(pa.array(texts)).to_pylist()]
+    assert [len(s) for s in sets] == [len(five_word_shingles(t)) for t in texts]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert len(sets[i] & sets[j]) == len(five_word_shingles(a) & five_word_shingles(b))
+
+
+def copies_of(rng, words, n):
+    """Texts with one word in fifty or so changed, dropped or added."""
+    for _ in range(n):
+        w = list(words)
+        for _ in range(max(1, len(w) // 60)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], ["new%d" % rng.randrange(10**6)], [w[at], "more%d" % rng.randrange(10**6)]])
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize("limits", [{}, {"members": 6, "shingles": 1000}])
+def test_classes_against_brute_force(spark, limits):
+    rng = random.Random(21)
+    make = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(n)]
+    texts = [None, "", " ", "x", "X", "one two three", "One two  three", "one two four"]
+    for n, size in ((60, 3), (200, 40), (900, 4), (80, 2), (300, 1)):
+        base = make(n)
+        texts += [" ".join(base), *copies_of(rng, base, size)]
+        texts.append(" ".join(base[: n * 6 // 10] + make(n * 4 // 10)))  # alike, but no near copy
+    chain = make(150)
+    for _ in range(12):  # each is near the one before it, the last far from the first
+        texts.append(" ".join(chain))
+        chain = chain[2:] + make(2)
+    texts += texts[10:14]
+    rows = spark.createDataFrame([(i, t, "own", 1) for i, t in enumerate(texts)], "row long, text string, digest string, g long").repartition(4)
+    got = {r["row"]: r["component_id"] for r in near_copies.classes(rows, **limits).collect()}
+    want = brute_classes(texts)
+    assert got == dict(enumerate(want)) and len(set(want)) >= 15
+    assert near_copies.classes(rows.limit(0)).count() == 0
+
+
+def test_groups_are_compared_member_with_member():
+    rng = np.random.default_rng(7)
+    base = [np.unique(rng.integers(0, 10**6, 200)) for _ in range(4)]
+    sets = [np.unique(np.r_[b[: len(b) - rng.integers(0, 40)], rng.integers(10**7, 10**8, rng.integers(0, 20))]) for b in base for _ in range(12)]
+    similar = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
+    found = near_copies.exact_links(np.arange(len(sets)), np.arange(len(sets)), sets)
+    assert find_components(len(sets), found) == find_components(len(sets), similar) and len(similar) > 50
+    assert near_copies.exact_links(np.arange(len(sets)), np.zeros(len(sets)), sets) == []
+
+
 # Decontamination.
 
 
@@ -425,8 +488,9 @@ def test_pipeline(spark, sf):
     assert all(b <= a for a, b in zip(ids, ids[1:], strict=False))
     kept = {r["doc_id"] for r in q.op4_quality_rules(spark, sf).where("kept").collect()}
     assert ids[1] == kept
-    groups = simhash.dedup(seen[2]).collect()
-    assert ids[3] == {r["component_id"] for r in groups}
+    texts = seen[2].select("doc_id", "text").orderBy("doc_id").collect()
+    classes = brute_classes([r["text"] for r in texts])
+    assert ids[3] == {texts[c]["doc_id"] for c in classes} and len(set(classes)) < len(texts)
     found = {r["doc_id"] for r in decontaminate.search(seen[3], spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert ids[4] == ids[3] - found and ids[5] == ids[4]
     assert {tuple(r) for r in p.run(spark, sf).collect()} == {tuple(r) for r in seen[-1].collect()}
@@ -449,9 +513,10 @@ def test_near_duplicates_stage_rows(spark):
     import corpus_pipeline as p
 
     a, b, c, d = (" ".join(f"w{k}x{i * i % 97}" for i in range(80)) for k in range(4))
-    rows = [(2, a), (2, a), (None, a), (None, b), (None, b), (5, c), (1, c), (5, d), (None, None), (7, "")]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = c.replace(" w2x16 ", " other ", 1)
+    rows = [(2, a), (2, a), (None, a), (None, b), (None, b), (5, c), (1, c), (9, near), (5, d), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row long, g long")
     got = p.near_duplicates_stage(spark, docs, "")
-    assert got.columns == docs.columns
+    assert got.columns == list(p.COLUMNS)
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(2, a), (None, b), (1, c), (5, d), (7, "")], key=str)
     assert p.near_duplicates_stage(spark, docs.limit(0), "").count() == 0

@@ -217,10 +217,26 @@ def close_pairs(columns: Columns, limits: Limits, rows: np.ndarray, most: int) -
     return np.concatenate(out)
 
 
+def hub_edges(columns: Columns, tree: np.ndarray) -> np.ndarray:
+    """For each tree of a forest the edges of its hub, the member nearest to the majority of all their bits."""
+    out = [np.zeros((0, 2), dtype=np.int64)]
+    order = np.argsort(tree[:, 0], kind="stable")
+    for part in np.split(tree[order], np.flatnonzero(np.diff(tree[order, 0])) + 1):
+        if len(part):
+            members = np.r_[part[:1, 0], part[:, 2]]
+            apart = np.zeros(len(members), dtype=np.int64)
+            for c in columns:
+                bits = np.unpackbits(c[members].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+                apart += (bits != (2 * bits.sum(axis=0, dtype=np.int64) > len(members))).sum(axis=1)
+            hub = members[apart.argmin()]
+            out.append(np.stack([np.full(len(members) - 1, hub), members[members != hub]], axis=1))
+    return np.concatenate(out)
+
+
 def run_links(key: np.ndarray, columns: Columns, limits: Limits, star: bool = False, owned: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links (positions) among whole runs of equal sorted keys, the lesser fingerprint first, without repeats.
 
-    With ``star`` a member of a long dense run is tied to the least one of its tree, which need not be close;
+    With ``star`` a member of a long dense run is tied to the hub of its tree, which need not be close;
     with ``owned`` only pairs of odd keys count of which one has the codewords as its own.
     """
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -244,7 +260,7 @@ def run_links(key: np.ndarray, columns: Columns, limits: Limits, star: bool = Fa
         pairs = close_pairs(own, limits, np.arange(n) if asked is None else np.flatnonzero(asked), 8 * n)
         if pairs is None:
             tree = forest(own, limits)
-            pairs = tree[:, [0, 2]] if star else tree[:, [1, 2]]
+            pairs = hub_edges(own, tree) if star else tree[:, [1, 2]]
         left.append(s + order[pairs[:, 0]])
         right.append(s + order[pairs[:, 1]])
     a, b = np.concatenate(left), np.concatenate(right)

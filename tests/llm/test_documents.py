@@ -370,8 +370,8 @@ def copies_of(rng, words, n):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("limits", [{}, {"members": 6, "shingles": 1000}])
-def test_classes_against_brute_force(spark, limits):
+@pytest.mark.parametrize("longest", [simhash.LONG, 8])
+def test_classes_against_brute_force(spark, longest):
     rng = random.Random(21)
     make = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(n)]
     texts = [None, "", " ", "x", "X", "one two three", "One two  three", "one two four"]
@@ -385,20 +385,21 @@ def test_classes_against_brute_force(spark, limits):
         chain = chain[2:] + make(2)
     texts += texts[10:14]
     rows = spark.createDataFrame([(i, t, "own", 1) for i, t in enumerate(texts)], "row long, text string, digest string, g long").repartition(4)
-    got = {r["row"]: r["component_id"] for r in near_copies.classes(rows, **limits).collect()}
+    got = {r["row"]: r["component_id"] for r in near_copies.classes(rows, longest=longest).collect()}
     want = brute_classes(texts)
     assert got == dict(enumerate(want)) and len(set(want)) >= 15
     assert near_copies.classes(rows.limit(0)).count() == 0
 
 
-def test_groups_are_compared_member_with_member():
-    rng = np.random.default_rng(7)
-    base = [np.unique(rng.integers(0, 10**6, 200)) for _ in range(4)]
-    sets = [np.unique(np.r_[b[: len(b) - rng.integers(0, 40)], rng.integers(10**7, 10**8, rng.integers(0, 20))]) for b in base for _ in range(12)]
-    similar = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
-    found = near_copies.exact_links(np.arange(len(sets)), np.arange(len(sets)), sets)
-    assert find_components(len(sets), found) == find_components(len(sets), similar) and len(similar) > 50
-    assert near_copies.exact_links(np.arange(len(sets)), np.zeros(len(sets)), sets) == []
+def test_hub_of_a_dense_run():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 2, dtype=np.uint64)
+    columns = []
+    for c, bits in zip(base, (3, 6), strict=True):
+        columns.append(np.array([c, *(c ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, bits, replace=False).astype(np.uint64)) for _ in range(200))], dtype=np.uint64))
+    a, b = simhash.run_links(np.full(201, 9), tuple(columns), (10, 16), star=True)
+    ends = collections.Counter([*a.tolist(), *b.tolist()])
+    assert ends[0] == 200 and len(a) == 200
 
 
 # Decontamination.

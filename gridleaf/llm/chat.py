@@ -18,7 +18,8 @@ memory.  Its digests are sequential by nature, so one conversation is read by on
 task; rendering and checking, the costly part, is spread over all tasks.
 
 Null texts and roles are empty.  Null conversation ids form one conversation.  Turns
-with the same number are ordered by role, then text; repeated rows stay repeated.
+with the same number are ordered by role, then text; repeated rows stay repeated.  Texts of any length are
+rendered whole.  An empty table gives an empty one.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -107,8 +108,8 @@ def render(role: str, text: str) -> tuple[str, tuple[int, int]]:
 
 
 def render_turns(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conversation, turn, rendered, and the loss span (loss_from, loss_to) in it, null for other roles."""
-    schema = T.StructType([df.schema[conversation], df.schema[turn], *T._parse_datatype_string("rendered string, loss_from long, loss_to long").fields])
+    """conversation, turn, rendered, where its text field begins, and the loss span (loss_from, loss_to) in it, null for other roles."""
+    schema = T.StructType([df.schema[conversation], df.schema[turn], *T._parse_datatype_string("rendered string, text_from long, loss_from long, loss_to long").fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -119,7 +120,7 @@ def render_turns(df: DataFrame, conversation: str = "conv_id", turn: str = "turn
                 roles, texts = ([x or "" for x in part.column(i).to_pylist()] for i in (2, 3))
                 made = [render(r, t) for r, t in zip(roles, texts, strict=True)]
                 masked = [r == ASSISTANT for r in roles]
-                columns = [[m[0] for m in made], *([m[1][i] if own else None for m, own in zip(made, masked, strict=True)] for i in (0, 1))]
+                columns = [[m[0] for m in made], [m[1][0] for m in made], *([m[1][i] if own else None for m, own in zip(made, masked, strict=True)] for i in (0, 1))]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), part.column(1).cast(arrow.field(1).type), *(pa.array(c, type=f.type) for c, f in zip(columns, list(arrow)[2:], strict=True))], schema=arrow)
 
     return df.select(conversation, turn, role, text).mapInArrow(run, schema)
@@ -165,6 +166,11 @@ def read_back(rendered: DataFrame, conversation: str = "conv_id", turn: str = "t
             done.append((now, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), counts[2]))
             yield flush()
 
-    order = [F.col(conversation), F.col(turn), F.col("rendered")]
+    # Turns of one number by role, then text, read from the rendered turn after the shuffle.
+    head, middle = len(OPEN + BEGIN), len(END)
+    plain = lambda field: F.regexp_replace(field, r"\\([\\<\[])", "$1")
+    role = plain(F.expr(f"substring(rendered, {head + 1}, int(text_from) - {head + middle})"))
+    text = plain(F.expr(f"substring(rendered, int(text_from) + 1, length(rendered) - int(text_from) - {len(CLOSE)})"))
+    order = [F.col(conversation), F.col(turn), role, text]
     dealt = rendered.repartition(F.col(conversation)).sortWithinPartitions(*order)
     return dealt.select(conversation, "rendered", "loss_from", "loss_to").mapInArrow(run, schema)

@@ -14,18 +14,24 @@ containment of shingles, as strings, over its whole text.
 Minima of one hash function over blocks of the smallest class are computed once and
 combined for larger windows and classes.
 
-The items are a table of queries.  They reach the executors in blocks of a bounded
-number and size, as many passes over the documents as there are blocks.
+The items are a table of queries.  They reach the executors as texts in blocks of a
+bounded number and size; each block is a job of its own over the documents, whose
+result is written before the next one, so that neither the driver nor a worker ever holds
+more than a block, however large the benchmark is.  An item longer than a block is a block by itself.
 
 Words are split at blanks (ASCII white space, U+00A0), in lower case, without marks at either end.  A text of
 1 to 4 words is one shingle, its whole sequence; null texts and texts without words
-have none, find nothing and are not found.  Repeated items count once; rows of
-documents are searched each on its own.
+have none, find nothing and are not found.  Repeated items count once, items of one id and different
+texts each; rows of documents are searched each on its own.  Item ids keep their type.  Ties: all items
+that a text holds are given.  Very long texts are searched whole, a chunk at a time.  An empty table on either side
+gives no hits.  Other columns of either table are not read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridleaf.llm.shared import map_column, rolled
+from gridleaf.llm.shared import map_column, rolled, written
 
 WORDS = 5
 SHARE = 0.8
 HASHES = 64
 #: Items, and characters of items, of one block.
 BLOCK_ITEMS = 20_000
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 5_000_000
 #: Rows and characters that are searched at once.
 CHUNK = (4096, 3_000_000)
 
@@ -107,8 +113,10 @@ class Items:
         self.minima: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for size, members in by_class.items():
             self.minima[size] = []
+            own = np.concatenate([hashes[starts[i] : starts[i + 1]] for i in members])
+            at = np.r_[0, np.cumsum(count[members])[:-1]]
             for factor in self.factors:
-                low = np.array([(hashes[starts[i] : starts[i + 1]] * factor).min() for i in members], dtype=np.uint64)
+                low = np.minimum.reduceat(own * factor, at)
                 order = np.argsort(low)
                 seen = np.zeros(1 << 16, dtype=bool)
                 seen[(low >> np.uint64(48)).astype(np.int64)] = True
@@ -168,24 +176,45 @@ class Items:
         return out
 
 
-HITS = "array<struct<item long, shared long, size long>>"
+@functools.lru_cache(maxsize=1)
+def _block(ids: tuple, texts: tuple[str, ...]) -> Items:
+    """A worker makes the tables of a block once."""
+    return Items(list(ids), list(texts))
 
 
-def mark(df: DataFrame, items: DataFrame, keys: list[str], text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """keys and hits: the items found in every text (item, shared and all distinct shingles of the item)."""
-    known = items.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
+def _passes(items: DataFrame, item: str, item_text: str) -> Iterator[tuple[Callable[[pa.Array], list], str]]:
+    """For each block of items the step that finds them, and the type of what it gives."""
+    known = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
+    hits = f"array<struct<item: {known.schema['i'].dataType.simpleString()}, shared: bigint, size: bigint>>"
     n, chars = known.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
-    out, columns = df.select(*dict.fromkeys([*keys, text])), list(keys)
     for b in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        block = Items([r["i"] for r in rows], [r["t"] for r in rows])
-        out = map_column(out, [*dict.fromkeys([*columns, text])], text, f"__hits{b} {HITS}", lambda texts, block=block: [block.found(texts)], CHUNK)
-        columns.append(f"__hits{b}")
-    return out.select(*keys, F.concat(*columns[len(keys) :]).alias("hits"))
+        ids, texts = tuple(r["i"] for r in rows), tuple(r["t"] for r in rows)
+        yield lambda found, ids=ids, texts=texts: [_block(ids, texts).found(found)], hits
+
+
+def mark(df: DataFrame, items: DataFrame, keys: list[str], text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """keys and hits: the items found in every text (item, shared and all distinct shingles of the item)."""
+    if "hits" in keys:
+        raise ValueError("a key named hits would be there twice")
+    out, columns, held = df.select(*dict.fromkeys([*keys, text])), [*dict.fromkeys([*keys, text])], []
+    for step, hits in _passes(items, item, item_text):
+        if held:  # an earlier block: its pass is over before this one begins
+            out = written(out, "marked")
+        out = map_column(out, [*columns, *held], text, f"__new {hits}", step, CHUNK)
+        out = out.select(*columns, (F.concat("__held", "__new") if held else F.col("__new")).alias("__held"))
+        held = ["__held"]
+    return out.select(*keys, F.col("__held").alias("hits"))
 
 
 def search(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item found in it: key, item, shared, size, containment."""
-    found = mark(df, items, [key], text, item, item_text).select(F.col(key), F.explode("hits").alias("hit"))
-    return found.select(key, F.col("hit.item").alias(item), F.col("hit.shared").alias("shared"), F.col("hit.size").alias("size"), (F.col("hit.shared") / F.col("hit.size")).alias("containment"))
+    docs, out = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")), None
+    for step, hits in _passes(items, item, item_text):
+        if out is not None:
+            out = written(out, "found")
+        hit = map_column(docs, ["__key"], "__text", f"__hits {hits}", step, CHUNK).select("__key", F.explode("__hits").alias("h"))
+        out = hit if out is None else out.unionByName(hit)
+    shared, size = F.col("h.shared"), F.col("h.size")
+    return out.select(F.col("__key").alias(key), F.col("h.item").alias(item), shared.alias("shared"), size.alias("size"), (shared / size).alias("containment"))

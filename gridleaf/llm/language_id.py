@@ -7,12 +7,13 @@ how far their ranks differ, or the greatest distance for n-grams that the langua
 profile lacks.  The nearest language wins.
 
 Score: one minus the nearest distance over the greatest one, weighed against the
-second nearest: 0 to 1.  A text without letters, empty or null, gives ``und``
-with score 0.  Equal counts rank by the n-gram's code, equal distances by language
+second nearest: 0 to 1.  A text without a letter (category L; marks alone are none), empty or
+null, gives ``und`` with score 0.  Equal counts rank by the n-gram's code, equal distances by language
 name.  Whole texts of any length are profiled; only texts and the language column
 of training rows are used to learn.  Profiles are learned from a bounded number of
-documents per language, chosen by a hash of the key.  Without a trainable row every
-document is ``und``.
+documents per language (``per_language``), chosen by a hash of the key.  Without a trainable row every
+document is ``und``.  Repeated rows are learned from and identified each on its own; an empty table
+gives an empty one.  Extra columns are not read; a key column named ``lang_pred`` or ``score`` is an error.
 """
 
 from __future__ import annotations
@@ -52,13 +53,19 @@ def letters() -> np.ndarray:
     return table
 
 
+@functools.lru_cache(maxsize=1)
+def is_letter() -> np.ndarray:
+    return np.array([chr(code).isalpha() for code in range(0x110000)])
+
+
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the n-grams of a text, ascending, and how often each occurs."""
-    codes = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = letters()[raw]
+    if not is_letter()[raw].any():
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     codes = np.r_[np.uint32(32), codes, np.uint32(32)]
     codes = codes[np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]].astype(np.uint64)
-    if len(codes) < 3:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     blank = codes == 32
     two = (codes[:-1] << np.uint64(21)) | codes[1:]
     three = (two[:-1] << np.uint64(21)) | codes[2:]

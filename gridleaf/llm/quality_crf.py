@@ -6,12 +6,15 @@ neighbouring lines.  Forward-backward gives each line's marginal of being good,
 a document's score is the mean of the marginals weighted by line length.
 
 The field is trained by gradient ascent on documents with a label, each line taking
-its document's label, from a bounded sample: at most about ``SAMPLE`` documents of at
-most ``SAMPLE_CHARS`` characters, chosen by a hash of the key.
+its document's label, from a bounded sample of labelled rows: about ``sample`` of them (by
+default ``SAMPLE``), chosen by a hash of the key, whatever their length.  Lines are measured where
+the texts lie; the driver gets ``OWN`` numbers a line of the sample, never a text.
 
 Null and empty texts count as one line without a character and get the score of such
 a line.  Rows with a null label are not learned from; of conflicting labels the least
-counts.  Without any label the score is 0.5.  Scores are of whole texts.
+counts, of several texts of one key the least.  Repeated rows are scored each on its own.  Without any
+label, or with an empty table, the score is 0.5.  Ties cannot arise: a score is a number.  Scores are of whole
+texts of any length.  Extra columns are not read; a key column named ``score`` is an error.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ from pyspark.sql import functions as F
 from gridleaf.llm.shared import map_texts
 
 SAMPLE = 4000
-SAMPLE_CHARS = 30_000
 STEPS = 160
 RATE = 0.08
 L2 = 1e-3
@@ -164,12 +166,13 @@ class LineField:
         return np.clip(np.add.reduceat(good * weight, begins) / np.add.reduceat(weight, begins), 0.0, 1.0)
 
 
-def train(texts: list[str], labels: list[int], steps: int = STEPS) -> LineField:
-    """Fit a field; the lines of a document take its label."""
+def train(measured: list[np.ndarray], labels: list[int], steps: int = STEPS) -> LineField:
+    """Fit a field to the line measures of documents; the lines of a document take its label."""
     width = 3 * OWN + 3
-    if not texts:
+    if not measured:
         return LineField(np.zeros(width), np.zeros((2, 2)), np.zeros(width), np.ones(width), False)
-    measures, _, begins = line_measures(texts)
+    measures = np.concatenate([m.reshape(-1, OWN) for m in measured])
+    begins = np.r_[0, np.cumsum([m.size // OWN for m in measured])[:-1]]
     x = positions(measures, begins)
     sizes = np.diff(np.r_[begins, len(x)])
     gold = np.repeat(np.array(labels, dtype=np.float64), sizes)
@@ -211,9 +214,11 @@ def fit(df: DataFrame, labels: DataFrame, trainable: Column, key: str = "doc_id"
     part = min(1.0, sample / n)
     chosen = known.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1_000_003)) < part * 1_000_003)
     # ``chosen`` has about ``sample`` rows, whatever the size of the labels.
-    texts = df.select(key, F.col(text).alias("t")).where(F.length("t") <= SAMPLE_CHARS).join(F.broadcast(chosen), key)
-    rows = texts.select(key, "t", "quality").dropDuplicates([key]).orderBy(key).collect()
-    return train([r["t"] for r in rows], [r["quality"] for r in rows])
+    texts = df.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    texts = texts.join(F.broadcast(chosen.withColumnRenamed(key, "__key")), "__key").groupBy("__key", "quality").agg(F.min("__text").alias("__text"))
+    lines = map_texts(texts, ["__key", "quality"], "__text", "lines array<double>", lambda own: [[line_measures([t])[0].ravel() for t in own]])
+    rows = lines.orderBy("__key").collect()
+    return train([np.array(r["lines"]) for r in rows], [r["quality"] for r in rows])
 
 
 def score(df: DataFrame, fitted: LineField, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

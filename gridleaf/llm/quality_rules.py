@@ -4,9 +4,9 @@ Each rule is a measure of a text and a grid of cutoffs; a document above the cut
 of its stratum is rejected.  Cutoffs are learned, then tested, on documents that are
 labelled clean (quality 1), split by a hash of their key:
 
-* on a fifth of them a ladder of settings is made: at level r each rule takes the
-  strictest cutoff that rejects at most the fraction r of the clean documents of
-  the stratum;
+* on a fifth of them a ladder of settings is made, from the most lenient: each rule takes the
+  strictest cutoff that rejects at most a fraction of the clean documents of the stratum, on the
+  first rungs one some steps looser;
 * on the others the settings are tested from the most lenient on: the upper
   Clopper-Pearson bound of the rate at which a setting, all rules together, rejects
   clean documents must not exceed ``alpha``.  The first failure ends the ladder (a
@@ -24,7 +24,9 @@ does not grow with the data.
 
 Words are ``[^\\x20\\x09-\\x0D]+``; null and empty texts have none and fail the base
 rule.  A document with conflicting labels counts as not clean; null labels are
-ignored; repeated rows of documents are scored each on its own.
+ignored; of repeated keys one row (the least by its features) counts for the bounds, each is judged on its
+own.  Ties in a setting's gain go to the more lenient one.  Texts of any length are measured whole.  An empty
+table gives an empty one.  Extra columns are not read; a key column named as a feature is an error.
 """
 
 from __future__ import annotations
@@ -45,8 +47,8 @@ REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 #: Largest number of words of each length band but the last.
 BANDS = (299, 999)
-#: Fractions of clean documents that one rule may reject at each level of the ladder.
-LADDER = (0.0, 0.0005, 0.001, 0.002, 0.005, 0.01)
+#: Of each rung, most lenient first: the fraction of clean documents that one rule may reject, and the steps by which its cutoff is looser than the strictest such.
+LADDER = ((0.0, 2), (0.0, 1), (0.0, 0), (0.0005, 0), (0.001, 0), (0.002, 0), (0.005, 0), (0.01, 0))
 #: One of so many labelled documents makes the ladder; the others test it.
 TUNE_PART = 5
 
@@ -203,18 +205,20 @@ def _rejected(cutoffs: dict[tuple[int, str], float], rules: Sequence[Rule], band
 def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, key: str = "doc_id", rules: Sequence[Rule] = RULES, bands: Sequence[int] = BANDS) -> Fitted:
     """Cutoffs for ``measured`` (features) from ``labels`` (key, quality); counts alone reach the driver."""
     known = labels.where("quality is not null").groupBy(key).agg(F.min("quality").alias("quality"))
-    rated = measured.join(known, key).where(~base_failed())
+    names = [c.split()[0] for c in FEATURES.split(", ")]
+    once = measured.join(known, key).groupBy(key, "quality").agg(F.min(F.struct(*names)).alias("f"))  # exact bounds count each document once
+    rated = once.select(key, "quality", "f.*").where(~base_failed())
     rated = rated.withColumn("band", stratum(bands)).withColumn("tune", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % TUNE_PART == 0)
     counted = [F.count_if(F.expr(r.measure) > c).alias(f"{r.name}:{i}") for r in rules for i, c in enumerate(r.cutoffs)]
     tuned = {row["band"]: row for row in rated.where("tune and quality = 1").groupBy("band").agg(F.count("*").alias("n"), *counted).collect()}
     ladder: list[dict[tuple[int, str], float]] = []
-    for share in LADDER:
+    for share, looser in LADDER:
         setting = {}
         for band, row in tuned.items():
             for rule in rules:
                 passing = [c for i, c in enumerate(rule.cutoffs) if row[f"{rule.name}:{i}"] <= share * row["n"]]
                 if passing:
-                    setting[band, rule.name] = passing[0]
+                    setting[band, rule.name] = passing[min(looser, len(passing) - 1)]
         ladder.append(setting)
     good = F.col("quality") == 1
     tests = [F.count_if(_rejected(setting, rules, bands) & side).alias(f"{name}:{i}") for i, setting in enumerate(ladder) for name, side in (("clean", good), ("other", ~good))]

@@ -79,7 +79,7 @@ def _op4_sql() -> str:
     measures = " UNION ALL ".join(f"SELECT doc_id, band, tune, quality, '{rule.name}' AS rule, {rule.measure.replace('/', '::DOUBLE /')} AS m FROM rated" for rule in r.RULES)
     every = " UNION ALL ".join(f"SELECT doc_id, '{rule.name}' AS rule, {rule.measure.replace('/', '::DOUBLE /')} AS m FROM b WHERE NOT base_failed" for rule in r.RULES)
     grid = ", ".join(f"('{rule.name}', {i}, {c}::DOUBLE)" for rule in r.RULES for i, c in enumerate(rule.cutoffs))
-    ladder = ", ".join(f"({i}, {share}::DOUBLE)" for i, share in enumerate(r.LADDER))
+    ladder = ", ".join(f"({i}, {share}::DOUBLE, {looser})" for i, (share, looser) in enumerate(r.LADDER))
     band = " + ".join(f"CASE WHEN n_words > {b} THEN 1 ELSE 0 END" for b in r.BANDS)
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -97,10 +97,11 @@ b AS (SELECT *, n_words < {r.MIN_WORDS} OR 100 * n_repeat_words > {r.REPEAT_PERC
 k AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 rated AS (SELECT b.*, quality, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {r.TUNE_PART} = 0 AS tune FROM b JOIN k USING (doc_id) WHERE NOT base_failed),
 m AS ({measures}),
-g AS (SELECT * FROM (VALUES {grid}) v(rule, i, cutoff)), s AS (SELECT * FROM (VALUES {ladder}) v(level, share)),
+g AS (SELECT * FROM (VALUES {grid}) v(rule, i, cutoff)), s AS (SELECT * FROM (VALUES {ladder}) v(level, share, looser)),
 n AS (SELECT band, count(*) AS n FROM rated WHERE tune AND quality = 1 GROUP BY band),
 c AS (SELECT m.band, g.rule, g.i, g.cutoff, count(*) FILTER (m.m > g.cutoff) AS hit FROM m JOIN g ON g.rule = m.rule WHERE m.tune AND m.quality = 1 GROUP BY ALL),
-set AS (SELECT s.level, c.band, c.rule, arg_min(c.cutoff, c.i) AS cutoff FROM c JOIN n ON n.band = c.band JOIN s ON c.hit <= s.share * n.n GROUP BY ALL),
+set AS (SELECT level, band, rule, cutoff FROM (SELECT s.level, s.looser, c.band, c.rule, c.cutoff, row_number() OVER p AS k, count(*) OVER (PARTITION BY s.level, c.band, c.rule) AS m
+  FROM c JOIN n ON n.band = c.band JOIN s ON c.hit <= s.share * n.n WINDOW p AS (PARTITION BY s.level, c.band, c.rule ORDER BY c.i)) WHERE k = least(looser + 1, m)),
 bad AS (SELECT DISTINCT set.level, m.doc_id FROM m JOIN set ON set.band = m.band AND set.rule = m.rule AND m.m > set.cutoff WHERE NOT m.tune),
 u AS (SELECT s.level, q.band, count(*) FILTER (quality = 1) AS clean, count(*) FILTER (quality <> 1) AS other,
   count(*) FILTER (quality = 1 AND bad.doc_id IS NOT NULL) AS k, count(*) FILTER (quality <> 1 AND bad.doc_id IS NOT NULL) AS j

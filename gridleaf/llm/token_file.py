@@ -14,7 +14,9 @@ The width of a block holds the offset at ``PERCENTILE``; larger offsets are
 exceptions.  The block starts let a reader open any range of ids by itself.
 
 Null and empty texts hold the end id alone.  Null keys come first; rows of one key
-are ordered by text.  An empty table gives an empty file set.
+are ordered by text, and a key of very many rows is spread over many shards by the beginnings of its texts.
+Repeated rows are kept.  Texts of any length are encoded whole; a frame holds at least one.
+An empty table gives an empty file set.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ HEAD = struct.Struct("<4sQQ")
 BLOCK_HEAD = 7
 #: Ids after which a frame is closed, at the end of a document.
 FRAME_IDS = 262_144
+#: Characters of a text that take part in the bounds between shards.
+BOUND_CHARS = 128
 
 
 def pack_lanes(values: np.ndarray, width: int) -> np.ndarray:
@@ -228,7 +232,9 @@ def frames(df: DataFrame, path: str, end_id: int = 0, key: str = "doc_id", text:
         if keys:
             yield close()
 
-    ranged = df.select(df[key].alias("__key"), df[text].alias("__text")).repartitionByRange("__key").sortWithinPartitions("__key", "__text")
+    rows = df.select(df[key].alias("__key"), df[text].alias("__text"))
+    # The beginning of a text orders as the text does, and keeps the sampled bounds small.
+    ranged = rows.repartitionByRange("__key", F.substring("__text", 1, BOUND_CHARS)).sortWithinPartitions("__key", "__text")
     return ranged.mapInArrow(run, schema)
 
 

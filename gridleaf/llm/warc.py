@@ -18,9 +18,14 @@ The as-of join is in two steps, so that one URL with a great share of all captur
 not one task's work: within (URL, day) by a window, and across the days of a URL by a
 window over one row a day.  Only metadata and digests are shuffled, never bodies.
 
+Header fields may repeat: all of a name in the 304 stand where the first of that name stood in the response.
+
 Null and empty URLs have canonical URL null and find nothing (``missing``).  Repeated
-revisits are resolved each on its own.  Bytes that are not a WARC record raise
-``BadRecord``; a cut-off last record too.
+revisits are resolved each on its own; of repeated responses any one is taken, they are alike.  Dates may
+have any precision from the year on.  Bytes that are not a WARC record, and a cut-off last record, do not stop a
+job: they give a row with ``error`` and nothing else that counts, after the records before them; later gzip members are
+still read.  ``parse`` itself raises ``BadRecord``.  Bodies of any length are hashed whole.  An empty table gives
+an empty one.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ import datetime
 import gzip
 import hashlib
 import io
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -139,36 +145,68 @@ def parse(content: bytes) -> Iterator[Record]:
 
 RECORDS = (
     "record_id string, type string, profile string, url string, date timestamp, status int, "
-    "headers array<struct<name: string, value: string>>, body_bytes long, body_sha256 string"
+    "headers array<struct<name: string, value: string>>, body_bytes long, body_sha256 string, error string"
 )
+_DATE = re.compile(r"(\d{4})(?:-(\d\d)(?:-(\d\d)(?:T(\d\d):(\d\d)(?::(\d\d)(?:\.(\d{1,9}))?)?Z)?)?)?")
+
+
+def parse_date(text: str) -> datetime.datetime:
+    """A WARC date, UTC, of any precision from the year down to nanoseconds (cut to microseconds)."""
+    found = _DATE.fullmatch(text.strip())
+    if not found:
+        raise BadRecord(f"no date: {text[:40]!r}")
+    year, month, day, hour, minute, second = (int(x) if x else least for x, least in zip(found.groups(), (1, 1, 1, 0, 0, 0), strict=False))
+    try:
+        return datetime.datetime(year, month, day, hour, minute, second, int((found[7] or "0")[:6].ljust(6, "0")), datetime.UTC)
+    except ValueError as e:
+        raise BadRecord(str(e)) from e
 
 
 def record_row(record: Record) -> tuple:
-    http = Http.parse(record.block) if (record.get("Content-Type") or "").startswith("application/http") and record.block else Http(0)
-    date = record.get("WARC-Date")
-    when = datetime.datetime.fromisoformat(date.replace("Z", "+00:00")) if date else None
+    """Fields of a record as in ``RECORDS``, and its body."""
+    names = [record.get(n) for n in ("WARC-Record-ID", "WARC-Type", "WARC-Profile", "WARC-Target-URI")]
+    try:
+        http = Http.parse(record.block) if (record.get("Content-Type") or "").startswith("application/http") and record.block else Http(0)
+        date = record.get("WARC-Date")
+        when = parse_date(date) if date else None
+    except BadRecord as e:
+        return (names[0], *[None] * 8, str(e), None)
     headers = [{"name": k.lower(), "value": v} for k, v in http.headers]
-    return (record.get("WARC-Record-ID"), record.get("WARC-Type"), record.get("WARC-Profile"), record.get("WARC-Target-URI"), when, http.status, headers, len(http.body), hashlib.sha256(http.body).hexdigest())
+    return (*names, when, http.status, headers, len(http.body), hashlib.sha256(http.body).hexdigest(), None, http.body)
+
+
+def record_rows(content: bytes) -> Iterator[tuple]:
+    """``record_row`` of all records of a file; one with ``error`` for what cannot be read."""
+    parts = members(content)
+    while True:
+        try:
+            part = next(parts, None)
+            if part is None:
+                return
+            for record in parse(part):
+                yield record_row(record)
+        except (BadRecord, zlib.error) as e:
+            yield (*[None] * 9, str(e), None)
 
 
-def records(df: DataFrame, content: str = "content") -> DataFrame:
-    """One row per record of the WARC files in a binary column, such as ``binaryFile`` gives; bodies by size and digest."""
-    return map_records(df.select(content), lambda row: row[0] or b"")
+def records(df: DataFrame, content: str = "content", bodies: bool = False) -> DataFrame:
+    """One row per record of the WARC files in a binary column, such as ``binaryFile`` gives; bodies by size and digest, and whole if asked for."""
+    return map_records(df.select(content), lambda row: row[0] or b"", bodies=bodies)
 
 
-def map_records(df: DataFrame, archive: Callable[[tuple], bytes], largest: int = 0) -> DataFrame:
+def map_records(df: DataFrame, archive: Callable[[tuple], bytes], largest: int = 0, bodies: bool = False) -> DataFrame:
     """The records of the archive that ``archive`` makes of the values of each row; column ``largest`` holds the long texts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T._parse_datatype_string(RECORDS)
+    schema = T._parse_datatype_string(RECORDS + (", body binary" if bodies else ""))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, largest):
-                rows = [record_row(r) for row in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in parse(archive(row))]
+                rows = [r for row in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in record_rows(archive(row))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=False)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -221,11 +259,24 @@ def resolve(found: DataFrame) -> DataFrame:
     pairs = [(a.isNotNull() & b.isNotNull(), a == b) for a, b in (weak, dated)]
     verdict = F.when(F.col("full").isNull(), "missing").when(pairs[0][0], F.when(pairs[0][1], "resolved").otherwise("mismatch")).when(pairs[1][0], F.when(pairs[1][1], "resolved").otherwise("mismatch")).otherwise("unverified")
     allowed = "(" + ", ".join(f"'{p}'" for p in PERMITTED) + ")"
+    # All fields of a name that the 304 holds stand where the first of that name stood; names new to it follow.
     merged = F.expr(
-        f"concat(transform(full.headers, h -> if(h.name in {allowed} and exists(headers, r -> r.name = h.name),"
-        f" get(filter(headers, r -> r.name = h.name), 0), h)),"
+        f"concat(flatten(transform(full.headers, (h, i) -> case"
+        f" when h.name not in {allowed} or not exists(headers, r -> r.name = h.name) then array(h)"
+        f" when exists(slice(full.headers, 1, i), p -> p.name = h.name) then array()"
+        f" else filter(headers, r -> r.name = h.name) end)),"
         f" filter(headers, r -> r.name in {allowed} and not exists(full.headers, h -> h.name = r.name)))"
     )
     out = joined.withColumn("verdict", verdict)
     ok = F.col("verdict").isin("resolved", "unverified")
     return out.select("record_id", "url", "canonical", "date", "verdict", F.col("full.record_id").alias("refers_to"), *(F.when(ok, F.col(f"full.{c}")).alias(c) for c in ("body_bytes", "body_sha256")), F.when(ok, merged).alias("headers"))
+
+
+def restored(resolved: DataFrame, found: DataFrame) -> DataFrame:
+    """record_id, url, date, refers_to, merged headers and body of what ``resolve`` gave a body to.
+
+    ``found`` are the records with bodies that it came from; bodies of other records are not shuffled.
+    """
+    wanted = resolved.where("body_sha256 is not null").select("record_id", "url", "date", "refers_to", "headers", "body_sha256")
+    bodies = found.where("body is not null").select(F.col("record_id").alias("refers_to"), "body_sha256", "body").join(wanted.select("refers_to").distinct(), "refers_to", "left_semi")
+    return wanted.join(bodies.groupBy("refers_to", "body_sha256").agg(F.first("body").alias("body")), ["refers_to", "body_sha256"]).select("record_id", "url", "date", "refers_to", "headers", "body")

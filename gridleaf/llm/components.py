@@ -31,7 +31,8 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     """``links`` (a, b): one row (node, root) for each node with a link to another; root is the least reachable node.
 
     Nulls and loops are ignored, repeated links count once.  An empty table gives
-    an empty table.
+    an empty table.  The rounds needed grow with the logarithm of the longest path; one that needs
+    more than ``rounds`` is an error, not a wrong result.
     """
     now = links.where("a is not null and b is not null and a != b")
     now = written(now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")

@@ -8,7 +8,9 @@ so a pre-token is merged when it is new there, not once per occurrence.
 
 Null and empty texts have 0 tokens.  Special strings (``<|endoftext|>``) inside a
 text count as one token, as the library does by default.  Texts of any length are
-counted whole; memory is bounded by a chunk of texts and the table of counts.
+counted whole; memory is bounded by a chunk of texts and the table of counts.  Ties: equal pairs
+of a sequence merge from the left.  Repeated rows are counted each on its own; an empty table gives an empty
+one.  Extra columns are not read; a key column named as a result is an error.
 """
 
 from __future__ import annotations

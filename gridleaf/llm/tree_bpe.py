@@ -8,7 +8,9 @@ the root.  Trees of pre-tokens of similar length stand in one array and merge
 side by side; a long pre-token has a tree of its own, n log n in its bytes.
 
 Null and empty texts encode to no ids and decode to no bytes.  Ties of equal pairs
-merge from the left.  Special strings are ordinary text.  Texts are encoded whole.
+merge from the left.  Special strings are ordinary text.  Texts of any length are encoded whole.
+Repeated rows are encoded each on its own; an empty table gives an empty one.  Extra columns are not
+read; a key column named as a result is an error.
 """
 
 from __future__ import annotations

@@ -1,6 +1,8 @@
 """Language, quality, near-duplicate and decontamination operators."""
 
 import collections
+import functools
+import pickle
 import random
 import re
 import zlib
@@ -35,7 +37,7 @@ LABELS = "doc_id long, quality int, toxic int"
 def test_language_edges(spark):
     df = edge_documents(spark)
     profiles = language_id.learn(df, ~language_id.held_out())
-    rows = {r["doc_id"]: r for r in language_id.identify(df.drop("score"), profiles).collect()}
+    rows = {r["doc_id"]: r for r in language_id.identify(df, profiles).collect()}
     assert {rows[i]["lang_pred"] for i in (1, 2, 6, 7)} == {"und"} and rows[1]["score"] == 0
     assert rows[3]["lang_pred"] in ("en", "xx") and 0 <= rows[3]["score"] <= 1
     nothing = language_id.learn(df.limit(0), F.lit(True))
@@ -43,6 +45,27 @@ def test_language_edges(spark):
     assert language_id.identify(df.limit(0).drop("score"), profiles).count() == 0
 
 
+def test_marks_alone_are_no_letters():
+    found = language_id.Profiles(("x",), ((1, 2),), 50)
+    assert found.predict("\u0301\u0300 \u0903") == ("und", 0.0) and found.predict("e\u0301")[0] == "x"
+
+
+def test_learned_profiles_by_hand(spark):
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 7)))
+    rows = [(i, " ".join(word(s) for _ in range(30)), name) for i, (name, s) in enumerate([("x", "abc"), ("y", "bcde"), ("x", "abcf")] * 8)] + [(90, None, "x"), (91, "no language", None), (92, "a b", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    learned = language_id.learn(df, F.col("doc_id") % 4 != 2, size=60)
+    counts = collections.defaultdict(collections.Counter)
+    for i, text, name in rows:
+        if i % 4 != 2 and name is not None:
+            low = " " + re.sub(r"[^a-z]+", " ", (text or "").lower()) + " "
+            counts[name].update(g for n in (1, 2, 3) for g in (low[j : j + n] for j in range(len(low) - n + 1)) if text and g != " " and not (n == 3 and g[1] == " "))
+    code = lambda g: functools.reduce(lambda a, c: (a << 21) | ord(c), g, 0)
+    want = {name: [g for _, g in sorted((-n, code(g)) for g, n in c.items())[:60]] for name, c in counts.items() if c}
+    assert dict(zip(learned.languages, map(list, learned.profiles), strict=True)) == dict(sorted(want.items()))
+
+
 def test_out_of_place_distance():
     def brute(own, profile, size):
         return sum(abs(profile.index(x) - i) if x in profile else size for i, x in enumerate(own)) / (size * len(own))
@@ -146,6 +169,41 @@ def test_rules_query(spark, sf):
         assert r["base_failed"] == (n < 50 or 100 * repeat > 50 * n) and not (r["base_failed"] and r["kept"])
 
 
+def test_rules_that_switch_on_match_sql(spark, tmp_path):
+    """Labels enough that every stratum proves rules, held against the SQL."""
+    from tests.compare import TABLES, check
+
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    rows, labels = [], []
+    for i in range(3600):
+        n = (60, 400, 1200)[i % 3] if i % 12 else (60, 400, 1200)[i // 12 % 3]
+        words = [word() for _ in range(n)]
+        bad = i % 7 == 0
+        if bad:
+            words = [w + rng.choice(["#", "", "1234", "##"]) for w in words]
+        elif i % 50 == 0:
+            words[: n // 10] = ["x#"] * (n // 10)
+        rows.append((i, "\n".join(" ".join(words[j : j + 12]) for j in range(0, n, 12)), "en", "s", 1))
+        labels.append((i, int(not bad), 0))
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{sf}/labels.parquet")
+    for t in set(TABLES) - {"documents", "labels"}:
+        spark.createDataFrame([(1,)], "unused long").write.parquet(f"{sf}/{t}.parquet")
+    check(spark, sf, q.QUERIES["op4_quality_rules"], q.ORACLE_SQL["op4_quality_rules"])
+    kept = q.op4_quality_rules(spark, sf)
+    assert kept.where("not base_failed and not kept").count() > 300
+
+
+def test_repeated_documents_count_once(spark):
+    rows = [(i, 100, 500, 0, 0, 0, 5, 0, 400, 0, 0, 9) for i in range(120)]
+    measured = spark.createDataFrame(rows, "doc_id long, " + quality_rules.FEATURES)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)], LABELS)
+    once, twice = (quality_rules.fit(m, labels) for m in (measured, measured.unionByName(measured)))
+    assert once == twice and once.bounds
+
+
 def test_rules_query_matches_sql(spark, sf):
     from tests.compare import check
 
@@ -180,12 +238,43 @@ def test_forward_backward_by_enumeration():
 def test_classifier_edges(spark):
     df = edge_documents(spark)
     none = quality_crf.fit(df, spark.createDataFrame([], LABELS), F.lit(True))
-    assert {r["score"] for r in quality_crf.score(df.drop("score"), none).collect()} == {0.5}
+    assert {r["score"] for r in quality_crf.score(df, none).collect()} == {0.5}
     labels = spark.createDataFrame([(3, 1, 0), (7, 0, 0), (2, None, None), (1, 0, 0)], LABELS)
     fitted = quality_crf.fit(df, labels, F.lit(True))
-    rows = quality_crf.score(df.drop("score"), fitted).collect()
+    rows = quality_crf.score(df, fitted).collect()
     assert len(rows) == 8 and all(0 <= r["score"] <= 1 for r in rows)
-    assert quality_crf.score(df.limit(0).drop("score"), fitted).count() == 0
+    assert quality_crf.score(df.limit(0), fitted).count() == 0
+    other = spark.createDataFrame([(3, "another text, # a lesser one")], "doc_id long, text string")
+    fields = [quality_crf.fit(d.unionByName(other), labels, F.lit(True)) for d in (df.select("doc_id", "text").repartition(n) for n in (1, 7))]
+    assert (fields[0].weights == fields[1].weights).all(), "of several texts of a key always the same one counts"
+
+
+def test_score_by_plain_python(spark):
+    """A field's scores from its definition: features of the lines, all labellings of short chains, weights by length."""
+    import itertools
+
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.choice(["word", "Other", "#*", "12", "x"]) for _ in range(rng.randrange(1, 9)))
+    texts = ["\n".join(line() for _ in range(rng.randrange(1, 6))) for _ in range(40)] + ["", "a\n\n \na"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int("#" not in t), 0) for i, t in enumerate(texts)], LABELS)
+    fitted = quality_crf.fit(df, labels, F.col("doc_id") % 5 != 0)
+    got = {r["doc_id"]: r["score"] for r in quality_crf.score(df, fitted).collect()}
+    for i, text in enumerate(texts):
+        lines = [x for x in text.split("\n") if x.split()] or [""]
+        own = np.concatenate([quality_crf.line_measures([x])[0] for x in lines])
+        for k in range(1, len(lines)):
+            own[k, 12] = lines[k] in lines[:k]  # the one measure that looks at earlier lines
+        none = np.zeros(quality_crf.OWN)
+        x = [np.r_[own[k], own[k - 1] if k else none, own[k + 1] if k + 1 < len(lines) else none, k == 0, k + 1 == len(lines), 1] for k in range(len(lines))]
+        unary = [float(((v - fitted.centre) / fitted.scale) @ fitted.weights) for v in x]
+        total, good = 0.0, np.zeros(len(lines))
+        for states in itertools.product((0, 1), repeat=len(lines)):
+            w = np.exp(sum(u * s for u, s in zip(unary, states, strict=True)) + sum(fitted.transitions[a, b] for a, b in itertools.pairwise(states)))
+            total += w
+            good += w * np.array(states)
+        size = np.array([max(1, len(x)) for x in lines])
+        assert got[i] == pytest.approx(float((good / total * size).sum() / size.sum()))
 
 
 def test_classifier_query(spark, sf):
@@ -445,6 +534,23 @@ def test_search_against_brute_force(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == len(want)
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 20)  # several blocks
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.search(df, bench).collect()} == want
+    marked = decontaminate.mark(df, bench, ["doc_id"])
+    assert str(marked._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1, "earlier blocks are over"
+    assert {(r["doc_id"], h["item"]) for r in marked.collect() for h in r["hits"]} == want and marked.count() == len(docs)
+    named = bench.select(F.concat(F.lit("item "), "item_id").alias("item_id"), "text")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.search(df, named).collect()} == {(d, f"item {i}") for d, i in want}
+
+
+def test_large_benchmark(spark):
+    """50,000 items go out in several blocks; what a block hands to the executors is its texts."""
+    rng = random.Random(2)
+    items = spark.range(50_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(5000))) for k in range(12))).alias("text"))
+    chosen = [r for r in items.where("item_id % 5003 = 7").collect()]
+    docs = spark.createDataFrame([(r["item_id"], " ".join([f"a{rng.randrange(99)}" for _ in range(50)] + [r["text"]])) for r in chosen] + [(-1, "nothing " * 60)], "doc_id long, text string")
+    steps = [len(pickle.dumps(step.__defaults__)) for step, _ in decontaminate._passes(items, "item_id", "text")]
+    assert len(steps) >= 3 and max(steps) < 2 * decontaminate.BLOCK_CHARS
+    rows = decontaminate.search(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(r["item_id"], r["item_id"]) for r in sorted(chosen)]
 
 
 def test_search_edges(spark):

@@ -52,6 +52,13 @@ def test_chat_edges(spark):
     assert chat.read_back(chat.render_turns(df.limit(0))).count() == 0
 
 
+def test_ties_go_by_role_then_text(spark):
+    rows = [("A", "user"), ("AB", "user"), ("A\\<s>", "user"), ("A[", "user"), ("x", "use"), ("x", "user["), ("x", "user<s>"), ("x", None), (None, "user"), ("A\\", "user")]
+    df = spark.createDataFrame([(1, 0, r, t) for t, r in rows], "conv_id long, turn long, role string, text string").repartition(3)
+    found = chat.read_back(chat.render_turns(df)).first()
+    assert found["turns_sha256"] == turns_by_hand(sorted((r or "", t or "") for t, r in rows))
+
+
 def test_chat_query(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect()
     by_id = {}
@@ -111,7 +118,7 @@ def test_canonical_url(spark, url, want):
 def capture(kind, rid, url, at, status=200, **headers):
     when = datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=at)
     named = [{"name": k.replace("_", "-"), "value": v} for k, v in headers.items()]
-    return (rid, kind, warc.NOT_MODIFIED if kind == "revisit" else None, url, when, status if kind == "response" else 304, named, 10, f"sha-{rid}")
+    return (rid, kind, warc.NOT_MODIFIED if kind == "revisit" else None, url, when, status if kind == "response" else 304, named, 10, f"sha-{rid}", None)
 
 
 def test_resolution(spark):
@@ -143,6 +150,57 @@ def test_resolution(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def test_repeated_headers_are_kept(spark):
+    named = lambda *pairs: [{"name": k, "value": v} for k, v in pairs]
+    at = datetime.datetime(2024, 1, 1)
+    rows = [
+        ("r", "response", None, "http://a.com", at, 200, named(("vary", "a"), ("set-cookie", "1"), ("vary", "b"), ("set-cookie", "2"), ("etag", '"e"')), 1, "s", None),
+        ("v", "revisit", warc.NOT_MODIFIED, "http://a.com", at + datetime.timedelta(days=3), 304, named(("etag", '"e"'), ("vary", "c"), ("vary", "d"), ("expires", "x"), ("expires", "y")), 0, "t", None),
+    ]
+    merged = warc.resolve(spark.createDataFrame(rows, warc.RECORDS)).first()["headers"]
+    assert [(h["name"], h["value"]) for h in merged] == [("vary", "c"), ("vary", "d"), ("set-cookie", "1"), ("set-cookie", "2"), ("etag", '"e"'), ("expires", "x"), ("expires", "y")]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("2024", (2024, 1, 1)), ("2024-03", (2024, 3, 1)), ("2024-03-05", (2024, 3, 5)), ("2024-03-05T06:07Z", (2024, 3, 5, 6, 7)), ("2024-03-05T06:07:08.123456789Z", (2024, 3, 5, 6, 7, 8, 123456)), ("2024-13", None), ("yesterday", None)],
+)
+def test_dates_of_any_precision(text, want):
+    if want is None:
+        with pytest.raises(warc.BadRecord):
+            warc.parse_date(text)
+    else:
+        assert warc.parse_date(text) == datetime.datetime(*want, tzinfo=datetime.UTC)
+
+
+def test_bad_records_stop_nothing(spark):
+    good = lambda i, *more: warc.Record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{i}>"), ("WARC-Date", "2024-01"), ("WARC-Target-URI", "http://a.com"), ("Content-Type", "application/http"), *more], warc.Http(200, [("A", "1")], b"body").to_bytes())
+    no_status = warc.Record([("WARC-Record-ID", "<urn:x>"), ("Content-Type", "application/http")], b"nonsense")
+    files = [
+        good(1).to_bytes() + b"no record\r\n" + good(2).to_bytes(),
+        good(3).to_bytes(True) + warc.Record([("WARC-Record-ID", "<urn:4>"), ("WARC-Date", "then")]).to_bytes(True) + no_status.to_bytes(True) + good(5).to_bytes(True),
+        good(6).to_bytes()[:-20],
+        good(7).to_bytes(True)[:-9],
+        b"",
+    ]
+    df = spark.createDataFrame([(bytearray(f), "s", 1) for f in files], "content binary, url string, body int")
+    rows = warc.records(df, bodies=True).collect()
+    assert sorted(r["record_id"] for r in rows if r["error"] is None) == ["<urn:1>", "<urn:3>", "<urn:5>"]
+    assert len([r for r in rows if r["error"]]) == 5 and all(bytes(r["body"]) == b"body" for r in rows if r["error"] is None)
+    assert warc.resolve(warc.records(df)).count() == 0
+
+
+def test_bodies_of_resolved_revisits(spark):
+    raw = b"".join(q.page_archive((f"<p>{i}</p>", i, "http://a.com/5")) for i in (5, 6, 7))
+    found = warc.records(spark.createDataFrame([(bytearray(raw),)], "content binary"), bodies=True)
+    resolved = warc.resolve(found)
+    rows = {r["record_id"]: r for r in warc.restored(resolved, found).collect()}
+    want = resolved.where("body_sha256 is not null").collect()
+    assert len(want) == len(rows) > 0
+    for r in want:
+        assert hashlib.sha256(bytes(rows[r["record_id"]]["body"])).hexdigest() == r["body_sha256"] and rows[r["record_id"]]["headers"] == r["headers"]
+
+
 def test_records_of_files(spark):
     raw = q.page_archive(("<p>x</p>", 5, "http://a.com/5")) + q.page_archive((None, None, None))
     df = spark.createDataFrame([(bytearray(raw),), (None,)], "content binary")

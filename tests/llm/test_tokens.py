@@ -126,6 +126,19 @@ def test_edges_token_file(spark, tmp_path):
     assert token_file.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_one_key_is_spread_over_shards(spark, tmp_path):
+    texts = sorted(f"text {i * 7919 % 5003}" for i in range(4000))
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would become one shard
+    try:
+        token_file.write(df, str(tmp_path / "f"), JSON)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(str(tmp_path / "f")).select("shard").distinct().count() > 1
+    rows = token_file.read(spark, str(tmp_path / "f")).orderBy("start").collect()
+    assert [r["ids"][:-1] for r in rows] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_file_with_many_frames(spark, tmp_path, monkeypatch):
     texts = [(i, f"text {i} " * (i % 7)) for i in range(300)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
@@ -136,12 +149,30 @@ def test_token_file_with_many_frames(spark, tmp_path, monkeypatch):
 
 
 def test_queries(spark, sf):
+    """Every column of the whole results against the libraries."""
     from gridleaf.llm import queries as q
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas()
-    counts = dict(zip(docs.doc_id, [len(e.ids) for e in LIBRARY.encode_batch(docs.text.fillna("").tolist(), add_special_tokens=False)], strict=True))
-    assert {r["doc_id"]: r["n_tokens"] for r in q.op2_token_counts(spark, sf).collect()} == counts
-    assert {r["doc_id"]: r["n_tokens"] - 1 for r in q.op8_token_ids(spark, sf).collect()} == counts
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas().sort_values("doc_id")
+    texts = docs.text.fillna("").tolist()
+    ids = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    counts = {i: (len(t.encode()), len(own), len(own) > 512) for i, t, own in zip(docs.doc_id, texts, ids, strict=True)}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in q.op2_token_counts(spark, sf).collect()} == counts
+    files, at = {}, 0
+    for i, own in zip(docs.doc_id, ids, strict=True):
+        files[i] = (at, len(own) + 1, zlib.crc32(np.array([*own, 0], dtype="<u4").tobytes()))
+        at += len(own) + 1
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in q.op8_token_ids(spark, sf).collect()} == files
     library = encoding()
-    own = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in q.op7_byte_bpe(spark, sf).collect()}
-    assert own == {i: (len(library.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    own = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in q.op7_byte_bpe(spark, sf).collect()}
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    want = {i: library.encode_ordinary(t) for i, t in zip(docs.doc_id, texts, strict=True)}
+    assert own == {i: (len(want[i]), sha(",".join(map(str, want[i])).encode()), sha(t.encode())) for i, t in zip(docs.doc_id, texts, strict=True)}
+
+
+@pytest.mark.parametrize("name", ["n_tokens", "lang_pred"])
+def test_key_named_as_a_result(spark, name):
+    from gridleaf.llm import language_id
+
+    df = spark.createDataFrame([(1, "a")], f"{name} long, text string")
+    with pytest.raises(ValueError, match="twice"):
+        token_count.count_tokens(df, JSON, keys=(name,)) if name == "n_tokens" else language_id.identify(df, language_id.Profiles((), ()), (name,))

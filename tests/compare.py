@@ -14,7 +14,7 @@ def connect(sf):
     con.execute("SET TimeZone = 'UTC'")
     for t in TABLES:
         f = f"{sf}/{t}.parquet"
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{f + '/*' if os.path.isdir(f) else f}')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{f + '/*.parquet' if os.path.isdir(f) else f}')")
     return con
 
 

@@ -51,12 +51,6 @@ class OcrSettings:
     device: str = "cpu"
 
 
-@dataclass(frozen=True)
-class ServiceSettings:
-    cache_ttl_hours: int = 24
-    sweep_seconds: int = 3600
-
-
 @dataclass(frozen=True)
 class Settings:
     table_detector: TableSettings = field(default_factory=TableSettings)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,3 +97,14 @@ def roi(b: Column, image_width, image_height) -> Column:
     t = to_tuple(b)
     w, h = (v if isinstance(v, Column) else F.lit(v) for v in (image_width, image_height))
     return F.struct(*(F.least(F.greatest(t[s], F.lit(0)), limit).alias(s) for s, limit in zip(SIDES, (w, h, w, h), strict=True)))
+
+
+def order_points(points: Column) -> Column:
+    """Top left, top right, bottom right, bottom left of an array of points (x, y); of equal candidates the first."""
+
+    def least(measure: Callable[[Column], Column]) -> Column:
+        ranked = F.transform(points, lambda p, i: F.struct(measure(p).alias("m"), i.alias("i"), p.alias("p")))
+        return F.array_min(ranked)["p"]
+
+    total, apart = (lambda p: p["x"] + p["y"]), (lambda p: p["y"] - p["x"])
+    return F.array(least(total), least(apart), least(lambda p: -total(p)), least(lambda p: -apart(p)))

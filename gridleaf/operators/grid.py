@@ -71,11 +71,13 @@ def borders(px: DataFrame, xs: DataFrame, ys: DataFrame, keys: Keys, vertical: b
     along, axis, across, other = ("col", "x", "row", "y") if vertical else ("row", "y", "col", "x")
     last = F.max(along).over(Window.partitionBy(*keys))
     cells = cells.withColumn("__last", last).where(F.col(along) < F.col("__last")).drop("__last")
+    # Each pixel has one segment across, and the few grid lines within reach: two equality joins.
+    ends, sides = (cols, rows) if vertical else (rows, cols)
+    near = ends.select(*keys, along, F.explode(F.sequence(F.col(f"{along}_hi") - tolerance, F.col(f"{along}_hi") + tolerance)).alias(axis))
+    inside = sides.where(F.col(f"{across}_hi") > F.col(f"{across}_lo")).select(*keys, across, F.explode(F.sequence(f"{across}_lo", F.col(f"{across}_hi") - 1)).alias(other))
     ink = px.where("v > 0").select(*keys, "x", "y")
-    near = ink.join(cells, keys).where(
-        (F.abs(F.col(axis) - F.col(f"{along}_hi")) <= tolerance) & (F.col(other) >= F.col(f"{across}_lo")) & (F.col(other) < F.col(f"{across}_hi"))
-    )
-    lines = near.select(*keys, "row", "col", other).distinct().groupBy(*keys, "row", "col").agg(F.count("*").alias("n"))
+    hit = ink.join(near, [*keys, axis]).select(*keys, along, other).distinct().join(inside, [*keys, other])
+    lines = hit.groupBy(*keys, "row", "col").agg(F.count("*").alias("n"))
     joined = cells.join(lines, [*keys, "row", "col"], "left")
     share = F.coalesce("n", F.lit(0)) / (F.col(f"{across}_hi") - F.col(f"{across}_lo"))
     return joined.select(*keys, "row", "col", (share >= coverage).alias("border"))

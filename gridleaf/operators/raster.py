@@ -13,8 +13,12 @@ Keys = list[str]
 
 
 def explode_pixels(rasters: DataFrame, keys: Keys, values: str, width: int) -> DataFrame:
-    """keys, y, x, v from an array of pixel values, row by row."""
-    at = rasters.select(*keys, F.posexplode(values).alias("i", "v"))
+    """keys, y, x, v from an array of pixel values, row by row.
+
+    Pages are dealt out before they are unfolded: windows, sums and joins by page, row or column then
+    find their rows in place, so a chain of them needs this one shuffle.
+    """
+    at = rasters.select(*keys, F.col(values).alias(values)).repartition(*(F.col(k) for k in keys)).select(*keys, F.posexplode(values).alias("i", "v"))
     return at.select(*keys, F.expr(f"i div {width}").cast("int").alias("y"), (F.col("i") % width).alias("x"), "v")
 
 

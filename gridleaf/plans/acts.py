@@ -6,10 +6,13 @@ value (not negative), date.  Money is summed as decimal(18, 2) and given as doub
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridleaf.functions.entities import largest_free_space
+from gridleaf.plans.store import ProcessStore
 from gridleaf.schema import ENTRY
 from gridleaf.sources.documents import decode_base64, encode_base64, valid_pdf
 
@@ -56,10 +59,22 @@ def submit(requests: DataFrame) -> DataFrame:
     return requests.withColumn("accepted", valid_pdf(F.col("document"))).withColumn("pdf", F.when(F.col("accepted"), decode_base64(F.col("document"))))
 
 
+def submit_all(requests: DataFrame, store: ProcessStore, parse: Callable[[DataFrame], DataFrame], now: Column | None = None) -> DataFrame:
+    """Check, parse and store documents: ``requests`` with accepted and process_id, null where nothing was stored.
+
+    ``parse`` adds ``structure``, the act as text, to the accepted ones.
+    """
+    key = [c for c in requests.columns if c != "document"]
+    checked = submit(requests)
+    stored = store.create(parse(checked.where("accepted")).select(*key, "pdf", "structure"), now)
+    return checked.select(*key, "accepted").join(stored.select(*key, "process_id"), key, "left")
+
+
 def status(requested: DataFrame, store: DataFrame, entries: DataFrame) -> DataFrame:
     """One answer per requested process_id: 200 with seller, buyer, period and entries by side, or 404.
 
     ``store`` holds the live processes (process_id, seller, buyer, period), ``entries`` their ledger.
+    An answer holds all entries of its process, so it is one row and one task's work by its form.
     """
     entry = F.struct("row_id", "record", "value", "date").cast(ENTRY)
     by_side = entries.groupBy("process_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("side") == s, entry))).alias(s) for s in (DEBIT, CREDIT)))

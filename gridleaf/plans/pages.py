@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridleaf.config import Settings
 from gridleaf.functions.entities import classify
 from gridleaf.operators import detect, spatial
+from gridleaf.plans.store import kept
 from gridleaf.schema import CELL, PARAGRAPH, TABLE, TEXT
 
 
@@ -24,11 +25,10 @@ def analyze(pages: DataFrame, words: DataFrame, page: list[str], settings: Setti
 
     ``pages``: page columns and image; ``words``: page columns, ord, text, confidence, bbox.
     Detection and recognition are costly and each is used more than once, so what they give
-    (boxes and texts, no images) is persisted on the executors; what a lost one held is made
-    anew.  ``spark.catalog.clearCache()`` frees it.
+    (boxes, texts and sizes, no images) is written to a shared folder and read back.
     """
-    tables = detect.page_tables(pages, page, settings).persist()
-    words, sizes = words.persist(), pages.select(*page, "image.height", "image.width").persist()
+    tables = kept(detect.page_tables(pages, page, settings), "tables")
+    words, sizes = kept(words, "words"), kept(pages.select(*page, "image.height", "image.width"), "sizes")
     boxes = tables.select(*page, F.col("table.id").alias("table_id"), F.col("table.bbox").alias("bbox"))
     sure = spatial.confident(words)
     filled = spatial.fill_cells(detect.table_cells(tables, page), sure, page, ["table_id", "ord"])

@@ -7,6 +7,7 @@ it has not expired.  All of it is DataFrame work, so thousands of ids are one jo
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,28 @@ SCHEMA = T.StructType([
 TTL_SECONDS = 24 * 3600
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, or on one machine a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
+        if not held.isDefined():
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="gridleaf-"))
+            held = context._jsc.sc().getCheckpointDir()
+        root = held.get()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to a shared folder and read back: made once, and safe when an executor is lost."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def latest(events: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
     """The last row of each key: one aggregation, pre-combined before the shuffle."""
     others = [c for c in events.columns if c not in keys]

@@ -127,6 +127,18 @@ def bbox_roi(spark, sf):
     return box_pairs(spark, sf).select("id", g.roi(moved, 40, 30).alias("t")).select("id", "t.*")
 
 
+@query(PAIRS + """, c AS (SELECT id, unnest([1, 2, 3, 4]) AS i, unnest([ax0, bx1, ax1, bx0]) AS x, unnest([ay0, by1, ay1, by0]) AS y FROM q)
+SELECT id, arg_min(x, (x + y) * 10 + i) AS tl_x, arg_min(y, (x + y) * 10 + i) AS tl_y, arg_min(x, (y - x) * 10 + i) AS tr_x, arg_min(y, (y - x) * 10 + i) AS tr_y,
+ arg_min(x, -(x + y) * 10 + i) AS br_x, arg_min(y, -(x + y) * 10 + i) AS br_y, arg_min(x, -(y - x) * 10 + i) AS bl_x, arg_min(y, -(y - x) * 10 + i) AS bl_y FROM c GROUP BY id""")
+def order_points(spark, sf):
+    """Corners of both boxes of a pair as four points, put in order."""
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    a, b = _a(), _b()
+    points = F.array(point(a["x_min"], a["y_min"]), point(b["x_max"], b["y_max"]), point(a["x_max"], a["y_max"]), point(b["x_min"], b["y_min"]))
+    found = box_pairs(spark, sf).select("id", g.order_points(points).alias("p"))
+    return found.select("id", *(F.col("p")[i][c].alias(f"{n}_{c}") for i, n in enumerate(("tl", "tr", "br", "bl")) for c in "xy"))
+
+
 # Cells and tables.
 
 
@@ -221,6 +233,12 @@ def table_dims(spark, sf):
     return nested_tables(spark, sf).select("table_id", g.width(box).alias("w"), g.height(box).alias("h"), g.area(box).alias("area"), g.center_x(box).alias("cx"), g.center_y(box).alias("cy"))
 
 
+@query(CELLS + "SELECT table_id, (greatest(0, least(max(x1), 120) - greatest(min(x0), 20)) * greatest(0, least(max(y1), 90) - greatest(min(y0), 15)))::DOUBLE AS shared FROM c GROUP BY table_id")
+def table_intersect(spark, sf):
+    """The area each table shares with a fixed box."""
+    return nested_tables(spark, sf).select("table_id", g.intersect(F.col("t.bbox"), g.bbox(20, 15, 120, 90)).alias("shared"))
+
+
 @query(CELLS + "SELECT table_id, min(x0) - 4 AS x_min, max(y1) + 4 AS y_max, (min_by(x0, ord) - 4)::DOUBLE AS first_x, bool_and(r < 8 AND c < 6 AND r + rs <= 8 AND c + cs <= 6) AS structure_ok FROM c GROUP BY table_id")
 def table_padding(spark, sf):
     padded = e.table_padding(F.col("t"), 4)
@@ -252,6 +270,11 @@ def table_rows_merged(spark, sf):
     return _lines("row", True, spark, sf)
 
 
+@query(_listed("col", False))
+def table_cols(spark, sf):
+    return _lines("col", False, spark, sf)
+
+
 @query(_listed("col", True))
 def table_cols_merged(spark, sf):
     return _lines("col", True, spark, sf)
@@ -313,15 +336,22 @@ def paragraph_padding(spark, sf):
     return out.select("doc_id", "ord", F.col("q.bbox.x_min").alias("x_min"), F.col("q.bbox.y_max").alias("y_max"), F.col("q.type").cast("bigint").alias("type"), e.is_blank(F.col("q.text")).alias("empty"))
 
 
+@query(LINES + "SELECT doc_id, i::BIGINT AS ord, x1 AS w, 16.0::DOUBLE AS h, 16 * x1 AS area, x1 / 2 AS cx, (y0 + y1) / 2 AS cy, (greatest(0, least(x1, 300) - 100) * greatest(0, least(y1 + 0.0, 210) - greatest(y0, 30)))::DOUBLE AS shared FROM p")
+def paragraph_dims(spark, sf):
+    """Width, height, area, centre, and the area shared with a fixed box."""
+    p, box = doc_paragraphs(spark, sf), F.col("bbox")
+    return p.select("doc_id", *big("ord"), g.width(box).alias("w"), g.height(box).alias("h"), g.area(box).alias("area"), g.center_x(box).alias("cx"), g.center_y(box).alias("cy"), g.intersect(box, g.bbox(100, 30, 300, 210)).alias("shared"))
+
+
 @query("SELECT doc_id, (n_chars * 200 / 72.0)::DOUBLE AS pixels FROM documents")
 def page_pixel_size(spark, sf):
     return read(spark, sf, "documents").select("doc_id", documents.pixel_size(F.col("n_chars").cast("double"), 200).alias("pixels"))
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS accepted, CASE WHEN doc_id % 2 = 0 THEN octet_length(encode('%PDF' || coalesce(text, '')))::BIGINT END AS size FROM documents WHERE doc_id IS NOT NULL")
+@query("SELECT doc_id, coalesce(doc_id, 0) % 2 = 0 AS accepted, CASE WHEN coalesce(doc_id, 0) % 2 = 0 THEN octet_length(encode('%PDF' || coalesce(text, '')))::BIGINT END AS size FROM documents")
 def act_submit(spark, sf):
-    raw = F.concat(F.when(F.col("doc_id") % 2 == 0, "%PDF").otherwise("GIF8"), F.coalesce("text", F.lit("")))
-    asked = read(spark, sf, "documents").where("doc_id is not null").select("doc_id", documents.encode_base64(raw.cast("binary")).alias("document"))
+    raw = F.concat(F.when(F.coalesce("doc_id", F.lit(0)) % 2 == 0, "%PDF").otherwise("GIF8"), F.coalesce("text", F.lit("")))
+    asked = read(spark, sf, "documents").select("doc_id", documents.encode_base64(raw.cast("binary")).alias("document"))
     return acts.submit(asked).select("doc_id", "accepted", F.octet_length("pdf").cast("bigint").alias("size"))
 
 
@@ -368,14 +398,14 @@ def leftover_paragraphs(spark, sf):
     return spatial.leftover_words(page_words(spark, sf), page_boxes(spark, sf), ["page"]).select("ord", "page")
 
 
-@query("SELECT event_id AS id, unnest(range(0, least(event_id % 4, user_id % 5)))::BIGINT AS ord FROM events WHERE least(event_id % 4, user_id % 5) > 0")
+@query("SELECT id, ord, (ord + 1)::VARCHAR AS text, round((ord + 1) / 10.0, 6)::DOUBLE AS score, (ord + 1)::DOUBLE AS x_min, (ord + 3)::DOUBLE AS y_max FROM (SELECT event_id AS id, unnest(range(0, least(event_id % 4, user_id % 5)))::BIGINT AS ord FROM events WHERE least(event_id % 4, user_id % 5) > 0)")
 def ocr_zip(spark, sf):
     ev = read(spark, sf, "events")
     upto = lambda n, make: F.transform(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), make)
     boxes = upto(F.col("event_id") % 4, lambda i: F.array(i, i, i + 1, i + 2))
     texts, scores = upto(F.col("user_id") % 5, lambda i: i.cast("string")), upto(F.col("user_id") % 5, lambda i: i / 10.0)
     found = spatial.zip_results(ev.select(F.col("event_id").alias("id"), boxes.alias("rec_boxes"), texts.alias("rec_texts"), scores.alias("rec_scores")), ["id"])
-    return found.select("id", *big("ord"))
+    return found.select("id", *big("ord"), "text", F.round("confidence", 6).alias("score"), F.col("bbox.x_min").alias("x_min"), F.col("bbox.y_max").alias("y_max"))
 
 
 # Rasters.
@@ -479,6 +509,11 @@ def detect_lines(spark, sf):
     return raster.detect_lines(ink(spark, sf), P, "horizontal", 3)
 
 
+@query(OTSU + "SELECT page, y, x, v FROM " + _morph(_morph(_morph("bin", "min", "y", 2), "max", "y", 2), "max", "y", 2))
+def detect_lines_vertical(spark, sf):
+    return raster.detect_lines(ink(spark, sf), P, "vertical", 3)
+
+
 @query(OTSU + ", g AS (SELECT page, y, x, x - row_number() OVER (PARTITION BY page, y ORDER BY x) AS g FROM bin WHERE v > 0) SELECT page, y AS line, min(x) AS start, max(x) AS stop, (max(x) - min(x) + 1)::INT AS length FROM g GROUP BY page, y, g")
 def line_runs(spark, sf):
     return raster.runs(ink(spark, sf), P).select("page", "line", "start", "stop", "length")
@@ -569,6 +604,15 @@ def gap_matrix(spark, sf):
     return found.select("page", *big("row", "col"), "border")
 
 
+@query(GRID + """, cl AS (SELECT ys.page, ys.n AS r, xs.n AS c, ys.hi AS pos, xs.lo AS x0, xs.hi AS x1, max(ys.n) OVER (PARTITION BY ys.page) AS m FROM ys JOIN xs USING (page) WHERE xs.hi IS NOT NULL AND ys.hi IS NOT NULL),
+ht AS (SELECT cl.page, r, c, count(DISTINCT bin.x) AS n FROM cl JOIN bin ON bin.page = cl.page AND bin.v > 0 AND abs(bin.y - pos) <= 1 AND bin.x >= x0 AND bin.x < x1 GROUP BY ALL)
+SELECT cl.page, cl.r::BIGINT AS row, cl.c::BIGINT AS col, coalesce(ht.n, 0) / (x1 - x0)::DOUBLE >= 0.8 AS border FROM cl LEFT JOIN ht ON ht.page = cl.page AND ht.r = cl.r AND ht.c = cl.c WHERE cl.r < m""")
+def gap_matrix_rows(spark, sf):
+    mask = ink(spark, sf)
+    found = grid.borders(mask, grid.grid_coords(mask, P, "x", 2), grid.grid_coords(mask, P, "y", 2), P, False, 1)
+    return found.select("page", *big("row", "col"), "border")
+
+
 def full_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Every pixel as a cell of 10 by 10; a border follows where its value divides by 3."""
     px = pixels(spark, sf)
@@ -632,31 +676,72 @@ def _region_rows(a) -> list[dict]:
     return [dict(zip(("x", "y", "w", "h"), r, strict=True)) for r in detect.raw_regions(k.binarize(a), Settings())]
 
 
-@query()
+#: Components that reach the background outside: the outer ones.
+OUTER = OTSU.replace("WITH e", "WITH RECURSIVE e", 1) + """, ik AS (SELECT page, y * 8 + x AS p, y, x FROM bin WHERE v > 0),
+cc AS (SELECT page, p, p AS label FROM ik UNION SELECT n.page, n.p, cc.label FROM cc JOIN ik o ON o.page = cc.page AND o.p = cc.p JOIN ik n ON n.page = o.page AND abs(n.x - o.x) <= 1 AND abs(n.y - o.y) <= 1),
+lb AS (SELECT page, p, p // 8 AS y, p % 8 AS x, min(label) AS label FROM cc GROUP BY page, p),
+di AS (SELECT * FROM (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) v(dy, dx)),
+ou AS (SELECT DISTINCT page, -1 AS y, -1 AS x FROM px UNION SELECT o.page, o.y + dy, o.x + dx FROM ou o JOIN di ON o.y + dy BETWEEN -1 AND 8 AND o.x + dx BETWEEN -1 AND 8
+ LEFT JOIN ik ON ik.page = o.page AND ik.y = o.y + dy AND ik.x = o.x + dx WHERE ik.page IS NULL),
+ex AS (SELECT DISTINCT lb.page, lb.label FROM lb JOIN ou ON ou.page = lb.page AND abs(ou.y - lb.y) + abs(ou.x - lb.x) = 1)
+"""
+
+
+@query(OUTER + """, bx AS (SELECT page, label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM lb JOIN ex USING (page, label) GROUP BY ALL)
+SELECT page, x::BIGINT AS x, y::BIGINT AS y, w::BIGINT AS w, h::BIGINT AS h FROM bx WHERE w >= 0.5 * 8 AND h >= 0.05 * w""")
 def raw_regions(spark, sf):
     return detect.map_pages(page_images(spark, sf), P, _region_rows, "x long, y long, w long, h long")
 
 
-@query()
+#: Area inside each outer contour: a square of four pixels within it counts 1, one of three 1/2.
+AREAS = OUTER + """, fo AS (SELECT page, label, -1 AS y, -1 AS x FROM ex UNION SELECT f.page, f.label, f.y + dy, f.x + dx FROM fo f JOIN di ON f.y + dy BETWEEN -1 AND 8 AND f.x + dx BETWEEN -1 AND 8
+ LEFT JOIN lb k ON k.page = f.page AND k.label = f.label AND k.y = f.y + dy AND k.x = f.x + dx WHERE k.page IS NULL),
+fl AS (SELECT c.page, c.label, c.y, c.x FROM (SELECT page, label, y.n AS y, x.n AS x FROM ex, range(8) y(n), range(8) x(n)) c ANTI JOIN fo USING (page, label, y, x)),
+sq AS (SELECT page, label, y - dy AS y, x - dx AS x, count(*) AS n FROM fl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(dy, dx) GROUP BY ALL),
+ar AS (SELECT page, label, sum(CASE n WHEN 4 THEN 1.0::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0 END) AS area FROM sq GROUP BY ALL),
+no AS (SELECT page, count(*) FILTER (area < 10) / count(*)::DOUBLE AS noise_ratio, coalesce(sum(area) FILTER (area >= 10), 0) / 64 AS text_density FROM ar GROUP BY page),
+nq AS (SELECT page, coalesce(noise_ratio, 0) AS noise_ratio, coalesce(text_density, 0) AS text_density FROM (SELECT DISTINCT page FROM px) LEFT JOIN no USING (page))
+"""
+
+
+@query(AREAS + """, ln AS (SELECT *, lag(v) OVER h AS l, lead(v) OVER h AS r, lag(v) OVER d AS u, lead(v) OVER d AS w FROM px WINDOW h AS (PARTITION BY page, y ORDER BY x), d AS (PARTITION BY page, x ORDER BY y)),
+lp AS (SELECT page, round(var_pop(coalesce(l, r) + coalesce(r, l) + coalesce(u, w) + coalesce(w, u) - 4 * v) * 4096)::BIGINT AS s FROM ln GROUP BY page),
+ct AS (SELECT page, round(CASE WHEN avg(v) = 0 THEN 0 ELSE least(1, stddev_pop(v) / avg(v)) END, 6)::DOUBLE AS contrast_level FROM px GROUP BY page)
+SELECT page, noise_ratio > 0.25 AS has_noise, s < 500 * 4096 AS has_blur, false AS has_colored_bg, contrast_level, round(text_density, 6) AS text_density, round(noise_ratio, 6) AS noise_ratio, s AS sharpness FROM nq JOIN lp USING (page) JOIN ct USING (page)""")
 def page_quality(spark, sf):
-    """All quality measures, noise ratio, text density and skew included, of every raster."""
-    return detect.page_metrics(page_images(spark, sf), P)
+    """All quality measures of every raster but its skew."""
+    m = detect.page_metrics(page_images(spark, sf), P)
+    rounded = [F.round(c, 6).alias(c) for c in ("contrast_level", "text_density", "noise_ratio")]
+    return m.select("page", "has_noise", "has_blur", "has_colored_bg", *rounded, F.round(F.col("sharpness") * 4096).cast("bigint").alias("sharpness"))
 
 
 @query()
+def page_skew(spark, sf):
+    """The skew of every raster by our own vote, which no SQL states."""
+    return detect.page_metrics(page_images(spark, sf), P).select("page", "skew_angle", "has_skew")
+
+
+@query(AREAS + "SELECT page, round(noise_ratio, 6) AS noise_ratio, noise_ratio > 0.25 AS has_noise FROM nq")
 def noise_ratio(spark, sf):
-    return detect.page_metrics(page_images(spark, sf), P).select("page", "noise_ratio", "has_noise")
+    return detect.page_metrics(page_images(spark, sf), P).select("page", F.round("noise_ratio", 6).alias("noise_ratio"), "has_noise")
 
 
 def _clean_rows(a) -> list[dict]:
     from gridleaf.operators import kernels as k
 
     mask = k.binarize(a)
-    h, v = detect.detect_lines(mask, 2, "horizontal"), detect.detect_lines(mask, 2, "vertical")
-    return [{"pixels": int((detect.clean_lines(h, h & v, 3, 1, "horizontal") > 0).sum())}]
+    h, v = detect.detect_lines(mask, 3, "horizontal"), detect.detect_lines(mask, 3, "vertical")
+    return [{"pixels": int((detect.clean_lines(h, h & v, 9, 1, "horizontal") > 0).sum())}]
 
 
-@query()
+@query(OTSU.replace("WITH e", "WITH RECURSIVE e", 1) + ", hl AS " + _morph(_morph(_morph("bin", "min", "x", 2), "max", "x", 2), "max", "x", 2) + ", vl AS " + _morph(_morph(_morph("bin", "min", "y", 2), "max", "y", 2), "max", "y", 2) + """,
+ik AS (SELECT page, y * 8 + x AS p, y, x FROM hl WHERE v > 0),
+cc AS (SELECT page, p, p AS label FROM ik UNION SELECT n.page, n.p, cc.label FROM cc JOIN ik o ON o.page = cc.page AND o.p = cc.p JOIN ik n ON n.page = o.page AND abs(n.x - o.x) <= 1 AND abs(n.y - o.y) <= 1),
+lb AS (SELECT page, p, min(label) AS label FROM cc GROUP BY page, p),
+st AS (SELECT page, label, count(*) AS n, min(p % 8) AS x0, max(p % 8) - min(p % 8) + 1 AS w FROM lb GROUP BY ALL),
+cr AS (SELECT lb.page, lb.label, bool_or(lb.p % 8 < x0 + w // 3) OR bool_or(lb.p % 8 > x0 + 2 * w // 3) AS crossed FROM lb JOIN st USING (page, label) JOIN vl ON vl.page = lb.page AND vl.y = lb.p // 8 AND vl.x = lb.p % 8 AND vl.v > 0 GROUP BY ALL),
+ok AS (SELECT page, sum(n) AS n FROM st JOIN cr USING (page, label) WHERE n >= 9 AND crossed GROUP BY page)
+SELECT page, coalesce(n, 0)::BIGINT AS pixels FROM (SELECT DISTINCT page FROM px) LEFT JOIN ok USING (page)""")
 def clean_lines(spark, sf):
     return detect.map_pages(page_images(spark, sf), P, _clean_rows, "pixels long")
 
@@ -674,7 +759,7 @@ def _ruled_page(seed: int):
     return page
 
 
-def ruled_pages(spark: SparkSession, sf: str) -> DataFrame:
+def ruled_pages(spark: SparkSession, sf: str, page_of: Callable = _ruled_page) -> DataFrame:
     """A drawn page for every supplier."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -684,7 +769,7 @@ def ruled_pages(spark: SparkSession, sf: str) -> DataFrame:
 
     def draw(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([{"page": i, "image": detect.image_dict(_ruled_page(i))} for i in batch.column(0).to_pylist()], schema=arrow)
+            yield pa.RecordBatch.from_pylist([{"page": i, "image": detect.image_dict(page_of(i))} for i in batch.column(0).to_pylist()], schema=arrow)
 
     # Few keys make many pixels: spread them over all cores before drawing.
     return read(spark, sf, "supplier").select("s_suppkey").repartition(spark.sparkContext.defaultParallelism).mapInArrow(draw, out)
@@ -697,6 +782,28 @@ def detect_tables(spark, sf):
     return found.groupBy("page").agg(F.count("*").alias("n"), F.sum(F.col("table.num_rows").cast("bigint")).alias("num_rows"), F.sum(F.col("table.num_cols").cast("bigint")).alias("num_cols"), F.sum(F.size("table.cells").cast("bigint")).alias("num_cells"))
 
 
+@query("SELECT s_suppkey AS page, 28.0::DOUBLE AS x_min, 18.0::DOUBLE AS y_min, (33 + 50 * (2 + s_suppkey % 4))::DOUBLE AS x_max, (23 + 60 * (2 + s_suppkey % 3))::DOUBLE AS y_max FROM supplier WHERE 50 * (2 + s_suppkey % 4) + 4 >= 150")
+def table_boxes(spark, sf):
+    """Boxes of the tables of drawn pages: lines of two pixels, grown by two at their ends, up to the last pixel."""
+    return detect.page_tables(ruled_pages(spark, sf), P).select("page", *sides("table.bbox"))
+
+
+def _text_page(seed: int):
+    """A page with two solid blocks; the first is as wide as a number says."""
+    import numpy as np
+
+    page = np.full((300, 300), 240, dtype=np.uint8)
+    page[40:60, 30 : 60 + 40 * (seed % 5)] = 10
+    page[200 : 230 + seed % 7, 100:250] = 10
+    return page
+
+
+@query("SELECT s_suppkey AS page, 30.0::DOUBLE AS x_min, 40.0::DOUBLE AS y_min, (60 + 40 * (s_suppkey % 5))::DOUBLE AS x_max, 60.0::DOUBLE AS y_max FROM supplier UNION ALL SELECT s_suppkey, 100, 200, 250, 230 + s_suppkey % 7 FROM supplier")
+def paragraph_boxes(spark, sf):
+    """Boxes of the text blocks of drawn pages, up to one past the last pixel."""
+    return detect.page_paragraphs(ruled_pages(spark, sf, _text_page), P).select("page", *sides("bbox"))
+
+
 def _fixed_words():
     return ocr.FixedEngine({(300, 300): [ocr.Word("in", 0.9, (40, 30, 60, 40)), ocr.Word("low", 0.5, (40, 60, 60, 70)), ocr.Word("out", 0.95, (5, 285, 25, 295))]})
 
@@ -736,11 +843,12 @@ def act_balance(spark, sf):
     return acts.totals(ledger(spark, sf), ["process_id"]).select("process_id", "balance")
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 AS valid FROM documents WHERE doc_id IS NOT NULL")
+@query("SELECT doc_id, coalesce(doc_id, 0) % 3 = 0 AS valid FROM documents")
 def validate_pdf(spark, sf):
-    text = F.concat(F.when(F.col("doc_id") % 3 == 0, "%PDF-1.7 ").when(F.col("doc_id") % 3 == 1, "PDF").otherwise(""), F.coalesce("text", F.lit("")))
-    sent = F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("%%%"), F.col("doc_id").cast("string"))).otherwise(documents.encode_base64(text.cast("binary")))
-    return read(spark, sf, "documents").where("doc_id is not null").select("doc_id", documents.valid_pdf(sent).alias("valid"))
+    kind = F.coalesce("doc_id", F.lit(0)) % 3
+    text = F.concat(F.when(kind == 0, "%PDF-1.7 ").when(kind == 1, "PDF").otherwise(""), F.coalesce("text", F.lit("")))
+    sent = F.when(kind == 2, F.concat(F.lit("%%%"), F.col("doc_id").cast("string"))).otherwise(documents.encode_base64(text.cast("binary")))
+    return read(spark, sf, "documents").select("doc_id", documents.valid_pdf(sent).alias("valid"))
 
 
 @query("SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents")
@@ -759,8 +867,7 @@ LATEST = "WITH l AS (SELECT user_id, props, ts, event_type, row_number() OVER (P
 
 
 def _now(spark: SparkSession, sf: str) -> Column:
-    last = read(spark, sf, "events").agg(F.max("ts")).first()[0]
-    return F.lit(last) - F.expr("interval 1 hour")
+    return read(spark, sf, "events").agg(F.max("ts")).scalar() - F.expr("interval 1 hour")
 
 
 @query(LATEST + "SELECT user_id::VARCHAR AS process_id, props AS structure FROM l, n WHERE k = 1 AND event_type <> 'error' AND ts + INTERVAL 24 HOUR > now")
@@ -804,3 +911,46 @@ def act_fill(spark, sf):
     row_id = F.struct(F.col("p_brand").alias("id_table"), F.when(k % 2 == 0, k.cast("string")).otherwise("none").alias("id_row"))
     asked = read(spark, sf, "part").select(k.alias("ord"), F.lit(1).alias("process_id"), F.lit(acts.DEBIT).alias("side"), row_id.alias("row_id"), F.col("p_name").alias("record"), F.col("p_retailprice").alias("value"), F.lit(None).cast("string").alias("date"))
     return acts.fill(asked, cells).select("ord", F.col("target.x_min").alias("x_min"))
+
+
+def submitted(spark: SparkSession, sf: str) -> tuple[store.ProcessStore, DataFrame]:
+    """A new store with every second document in it, and what submitting gave for each."""
+    from gridleaf.plans.store import ProcessStore, kept, shared_folder
+
+    raw = F.concat(F.when(F.coalesce("doc_id", F.lit(0)) % 2 == 0, "%PDF").otherwise("GIF8"), F.coalesce("text", F.lit("")))
+    asked = read(spark, sf, "documents").select("doc_id", documents.encode_base64(raw.cast("binary")).alias("document"))
+    held = ProcessStore(spark, shared_folder(spark, "processes"))
+    parse = lambda d: d.withColumn("structure", F.to_json(F.struct(F.concat(F.lit("seller "), F.col("doc_id")).alias("seller"), F.lit("buyer").alias("buyer"))))
+    return held, kept(acts.submit_all(asked, held, parse), "submitted")
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AS accepted, CASE WHEN doc_id % 2 = 0 THEN 36 END::BIGINT AS id_length, CASE WHEN doc_id % 2 = 0 THEN md5('%PDF' || coalesce(text, '')) END AS pdf_md5 FROM documents")
+def process_create(spark, sf):
+    """Documents submitted under new ids and read back from the store."""
+    held, given = submitted(spark, sf)
+    back = given.join(held.get(given.select("process_id").where("process_id is not null")), "process_id", "left")
+    return back.select("doc_id", "accepted", F.length("process_id").cast("bigint").alias("id_length"), F.md5("pdf").alias("pdf_md5"))
+
+
+@query("SELECT doc_id, doc_id % 4 <> 0 AS found FROM documents WHERE doc_id % 2 = 0")
+def process_delete(spark, sf):
+    """Every second process deleted, twice; the others are still found."""
+    held, given = submitted(spark, sf)
+    ids = given.where("process_id is not null")
+    for _ in range(2):
+        held.delete(ids.where("doc_id % 4 = 0"))
+    return ids.join(held.get(ids.select("process_id")), "process_id").select("doc_id", F.col("pdf").isNotNull().alias("found"))
+
+
+@query("""WITH d AS (SELECT doc_id, text FROM documents), k AS (SELECT doc_id, doc_id % 2 = 0 AS there, text FROM d)
+SELECT doc_id, CASE WHEN there THEN 200 ELSE 404 END::BIGINT AS status, CASE WHEN there THEN 'seller ' || doc_id END AS seller, CASE WHEN there THEN octet_length(encode('%PDF' || coalesce(text, '')))::BIGINT END AS size FROM k""")
+def act_flow(spark, sf):
+    """Submit, ask for the status, and take the document back; documents that were not accepted ask for an unknown process."""
+    held, given = submitted(spark, sf)
+    asked = given.select("doc_id", F.coalesce("process_id", F.concat(F.lit("none "), F.col("doc_id"))).alias("process_id"))
+    got = held.get(asked.select("process_id"))
+    parsed = F.from_json("structure", "seller string, buyer string")
+    known = got.where("structure is not null").select("process_id", parsed.alias("s")).select("process_id", "s.seller", "s.buyer", F.create_map(F.lit("start"), F.lit("")).alias("period"))
+    answers = acts.status(asked, known, ledger(spark, sf).withColumn("process_id", F.col("process_id").cast("string")))
+    sent = acts.answer(got).select("process_id", documents.decode_base64(F.col("document")).alias("back"))
+    return asked.join(answers, "process_id").join(sent, "process_id").select("doc_id", *big("status"), "seller", F.octet_length("back").cast("bigint").alias("size"))

@@ -1,13 +1,12 @@
 """Documents, pages and images in, metrics and images out.
 
 A decoder turns the bytes of one document into pages.  ``SimplePdf`` reads structure and
-text of PDF files (objects in the clear or in deflated streams) but does not draw them;
+text of PDF files (see ``pdf``) but does not draw them;
 ``Png`` reads one-page images.  Drawing PDF pages needs an engine behind the same protocol.
 """
 
 from __future__ import annotations
 
-import re
 import struct as bits
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from gridleaf.functions.entities import strip
 from gridleaf.operators.detect import enhance, image_dict, quality
 from gridleaf.schema import IMAGE, METRICS, struct
+from gridleaf.sources import pdf
 
 DEFAULT_DPI = 300
 
@@ -101,11 +101,21 @@ def write_png(image: np.ndarray) -> bytes:
 
 
 class Png:
-    """One page per image; a pixel counts as a dot at 72 to the inch."""
+    """One page per image, scanned at so many dots to the inch; a page drawn at another resolution takes the nearest pixel."""
+
+    def __init__(self, scanned_at: int = DEFAULT_DPI):
+        self.scanned_at = scanned_at
 
     def __call__(self, content: bytes) -> list[DecodedPage]:
-        image = read_png(content)
-        return [DecodedPage(float(image.shape[1]), float(image.shape[0]), "", lambda dpi: image)]
+        image, own = read_png(content), self.scanned_at
+
+        def draw(dpi: int) -> np.ndarray:
+            if dpi == own:
+                return image
+            at = [np.minimum((np.arange(max(1, round(n * dpi / own))) * own / dpi).astype(int), n - 1) for n in image.shape[:2]]
+            return image[at[0]][:, at[1]]
+
+        return [DecodedPage(image.shape[1] * 72 / own, image.shape[0] * 72 / own, "", draw)]
 
 
 class SimplePdf:
@@ -114,43 +124,14 @@ class SimplePdf:
     def __call__(self, content: bytes) -> list[DecodedPage]:
         if content[:4] != b"%PDF":
             raise BadDocument("not a PDF")
-        objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S)}
-        pages = [(n, b) for n, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", b)]
-        if not pages:
-            raise BadDocument("no pages")
-        return [DecodedPage(*self._size(b, objects), self._text(b, objects)) for _, b in self._in_order(pages, objects)]
-
-    @staticmethod
-    def _in_order(pages: list[tuple[int, bytes]], objects: dict[int, bytes]) -> list[tuple[int, bytes]]:
-        kids = [int(n) for b in objects.values() for m in re.finditer(rb"/Kids\s*\[(.*?)\]", b, re.S) for n in re.findall(rb"(\d+)\s+\d+\s+R", m[1])]
-        place = {n: i for i, n in enumerate(kids)}
-        return sorted(pages, key=lambda p: place.get(p[0], len(place) + p[0]))
-
-    @staticmethod
-    def _size(body: bytes, objects: dict[int, bytes]) -> tuple[float, float]:
-        found = re.search(rb"/MediaBox\s*\[\s*([-\d.\s]+)\]", body)
-        parent = re.search(rb"/Parent\s+(\d+)\s+\d+\s+R", body)
-        for _ in range(16):
-            if found or not parent:
-                break
-            above = objects.get(int(parent[1]), b"")
-            found, parent = re.search(rb"/MediaBox\s*\[\s*([-\d.\s]+)\]", above), re.search(rb"/Parent\s+(\d+)\s+\d+\s+R", above)
-        x0, y0, x1, y1 = map(float, found[1].split()[:4]) if found else (0, 0, 612, 792)
-        return x1 - x0, y1 - y0
-
-    @staticmethod
-    def _text(body: bytes, objects: dict[int, bytes]) -> str:
-        out = []
-        listed = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", body, re.S)
-        for n in re.findall(rb"(\d+)\s+\d+\s+R", listed[1]) if listed else []:
-            stream = re.search(rb"stream\r?\n(.*?)\r?\nendstream", objects.get(int(n), b""), re.S)
-            if not stream:
-                continue
-            data = zlib.decompress(stream[1]) if b"/FlateDecode" in objects[int(n)] else stream[1]
-            for shown in re.finditer(rb"(\[(?:[^\]\\]|\\.)*\]|\((?:[^()\\]|\\.)*\))\s*(?:TJ|Tj|')", data, re.S):
-                parts = re.findall(rb"\(((?:[^()\\]|\\.)*)\)", shown[1], re.S)
-                out.append(re.sub(rb"\\([()\\])", rb"\1", b"".join(parts)).decode("latin-1"))
-        return "\n".join(out)
+        try:
+            found = pdf.Pdf(content)
+            pages = found.pages()
+            if not pages:
+                raise BadDocument("no pages")
+            return [DecodedPage(*found.size(p), found.text(p)) for p in pages]
+        except (pdf.Unreadable, zlib.error, TypeError, AttributeError) as e:  # objects of other kinds than the format has there
+            raise BadDocument(str(e)) from e
 
 
 PAGES = f"page_num int, num_pages int, width_pt double, height_pt double, text string, image {IMAGE}, error string"

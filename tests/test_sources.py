@@ -146,3 +146,42 @@ def test_map_pages_with_null_and_no_images(spark):
     pages = spark.createDataFrame([(1, None), (2, (2, 2, 1, bytearray(b"\x00\xff\x00\xff")))], ddl)
     assert [r["page"] for r in detect.page_metrics(pages, ["page"]).collect()] == [2]
     assert detect.page_tables(spark.createDataFrame([], ddl), ["page"]).count() == 0
+
+
+def cyrillic_pdf(words):
+    """A PDF of version 1.5: pages and fonts in an object stream, text as glyph numbers with a ToUnicode map."""
+    letters = sorted(set("".join(words)) - set("АБВ"))
+    code = {c: i + 1 for i, c in enumerate(letters)} | {"А": 300, "Б": 301, "В": 302}
+    chars = "".join(f"<{n:04x}> <{c.encode('utf-16-be').hex()}>\n" for c, n in code.items() if n < 300)
+    cmap = f"1 begincodespacerange <0000> <ffff> endcodespacerange\n{len(letters)} beginbfchar\n{chars}endbfchar\n1 beginbfrange <012c> <012e> <0410> endbfrange".encode()
+    glyphs = ["".join(f"{code[c]:04x}" for c in w) for w in words]
+    shown = f"BT /F1 12 Tf <{glyphs[0]}> Tj [<{glyphs[1][:4]}> -20 <{glyphs[1][4:]}>] TJ /F2 9 Tf (oct\\101l \\(\\)(in)\\\n) Tj ET % end".encode("latin-1")
+    packed = {1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 595.5 842] /Resources 4 0 R >>", 3: "<< /Type /Page /Parent 2 0 R /Contents [8 0 R] >>", 4: "<< /Font << /F1 5 0 R /F2 << /Type /Font /Subtype /Type1 >> >> >>", 5: "<< /Type /Font /Subtype /Type0 /ToUnicode 9 0 R >>"}
+    head, body = "", ""
+    for n, text in packed.items():
+        head += f"{n} {len(body)} "
+        body += text + " "
+    out = b"%PDF-1.5\n"
+    for n, kind, data in ((7, f"/Type /ObjStm /N {len(packed)} /First {len(head)}", (head + body).encode()), (8, "", shown), (9, "", cmap)):
+        raw = zlib.compress(data)
+        out += f"{n} 0 obj << {kind} /Filter /FlateDecode /Length {len(raw)} >> stream\r\n".encode() + raw + b"\nendstream endobj\n"
+    return out
+
+
+def test_text_of_a_cyrillic_pdf():
+    page = d.SimplePdf()(cyrillic_pdf(["Акт сверки", "АБВ 10 000,50"]))
+    assert len(page) == 1 and (page[0].width_pt, page[0].height_pt) == (595.5, 842)
+    assert page[0].text == "Акт сверки\nАБВ 10 000,50\noctAl ()(in)"
+
+
+@pytest.mark.parametrize("content", [b"%PDF-1.4\n1 0 obj << /Type /Page /Contents 2 0 R >> endobj 2 0 obj << /Filter /Odd >> stream\nx\nendstream endobj", b"%PDF", b"%PDF-1.4 1 0 obj << /Type /Page >> endobj trailer << /Encrypt 3 0 R >>", b"%PDF-1.4 1 0 obj << /Type /Page /Contents 2 0 R >> endobj 2 0 obj << /Filter /FlateDecode >> stream\nx\nendstream endobj"])
+def test_pdfs_that_cannot_be_read(content):
+    with pytest.raises(d.BadDocument):
+        d.SimplePdf()(content)
+
+
+def test_png_honours_dpi():
+    image = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    page = d.Png(72)(d.write_png(image))[0]
+    assert (page.render(72) == image).all() and (page.width_pt, page.height_pt) == (4, 3)
+    assert (page.render(144) == image.repeat(2, axis=0).repeat(2, axis=1)).all() and page.render(36).shape == (2, 2)

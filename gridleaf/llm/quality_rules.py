@@ -209,6 +209,7 @@ def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
     once = measured.join(known, key).groupBy(key, "quality").agg(F.min(F.struct(*names)).alias("f"))  # exact bounds count each document once
     rated = once.select(key, "quality", "f.*").where(~base_failed())
     rated = rated.withColumn("band", stratum(bands)).withColumn("tune", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % TUNE_PART == 0)
+    rated = written(rated, "rated")  # read twice
     counted = [F.count_if(F.expr(r.measure) > c).alias(f"{r.name}:{i}") for r in rules for i, c in enumerate(r.cutoffs)]
     tuned = {row["band"]: row for row in rated.where("tune and quality = 1").groupBy("band").agg(F.count("*").alias("n"), *counted).collect()}
     ladder: list[dict[tuple[int, str], float]] = []

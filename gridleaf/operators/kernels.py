@@ -318,12 +318,33 @@ def clahe(gray: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
     return np.clip(np.rint(top * (1 - ay) + low * ay), 0, 255).astype(np.uint8)
 
 
+#: Linear sRGB (blue, green, red) to CIE XYZ over the D65 white point: fixed values of the standard.
+_XYZ = np.array([[0.180423, 0.357580, 0.412453], [0.072169, 0.715160, 0.212671], [0.950227, 0.119193, 0.019334]]) / np.array([[0.950456], [1.0], [1.088754]])
+
+
+def to_lab(image: np.ndarray) -> np.ndarray:
+    """CIE L*, a*, b* of a blue, green, red image, as floats."""
+    v = image.astype(np.float64) / 255.0
+    linear = np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4)
+    t = linear @ _XYZ.T
+    f = np.where(t > 216 / 24389, np.cbrt(t), (24389 / 27 * t + 16) / 116)
+    return np.stack([116 * f[:, :, 1] - 16, 500 * (f[:, :, 0] - f[:, :, 1]), 200 * (f[:, :, 1] - f[:, :, 2])], axis=2)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    y = (lab[:, :, 0] + 16) / 116
+    f = np.stack([y + lab[:, :, 1] / 500, y, y - lab[:, :, 2] / 200], axis=2)
+    t = np.where(f**3 > 216 / 24389, f**3, (116 * f - 16) * 27 / 24389)
+    linear = np.clip(t @ np.linalg.inv(_XYZ).T, 0, 1)
+    v = np.where(linear <= 0.0031308, 12.92 * linear, 1.055 * linear ** (1 / 2.4) - 0.055)
+    return np.clip(np.rint(v * 255), 0, 255).astype(np.uint8)
+
+
 def clahe_color(image: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
-    """``clahe`` on the lightness (CIE L*), colour differences kept by scaling the channels alike."""
-    light = to_gray(image)
-    after = clahe(light, clip, tiles)
-    scale = after.astype(np.float64) / np.maximum(light, 1)
-    return np.clip(np.rint(image * scale[:, :, None]), 0, 255).astype(np.uint8)
+    """``clahe`` on the lightness L* (as 0 to 255); a* and b* stay."""
+    lab = to_lab(image)
+    lab[:, :, 0] = clahe(np.rint(np.clip(lab[:, :, 0] * 2.55, 0, 255)).astype(np.uint8), clip, tiles) / 2.55
+    return from_lab(lab)
 
 
 def denoise_tv(gray: np.ndarray, weight: float = 1.0, iterations: int = 1) -> np.ndarray:

@@ -195,3 +195,69 @@ def test_line_mask_of_a_table():
     mask = np.arange(100, dtype=np.uint8).reshape(10, 10)
     assert (detect.table_line_mask(mask, (2, 3, 5, 6)) == mask[3:6, 2:5]).all()
     assert detect.table_line_mask(mask, (2, 3, 5, 6), 5).shape == (10, 10)
+
+
+def mirrored(n, i):
+    """The pixel that stands for a place outside: the edge itself is not repeated."""
+    return -i if i < 0 else 2 * (n - 1) - i if i >= n else i
+
+
+def blurred_by_hand(gray, size, sigma=0.0):
+    weights, reach = k.gaussian_kernel(size, sigma), size // 2
+    h, w = gray.shape
+    return np.array([[sum(weights[dy + reach] * weights[dx + reach] * float(gray[mirrored(h, y + dy), mirrored(w, x + dx)]) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)) for x in range(w)] for y in range(h)])
+
+
+def test_blur_threshold_and_unsharp_by_hand():
+    gray = np.random.default_rng(5).integers(0, 256, (14, 17)).astype(np.uint8)
+    assert abs(k.gaussian_kernel(7).sum() - 1) < 1e-12 and (k.gaussian_kernel(7) == k.gaussian_kernel(7)[::-1]).all()
+    want = blurred_by_hand(gray, 7)
+    assert np.abs(k.gaussian_blur(gray, 7) - want).max() <= 0.5 + 1e-6
+    sure = np.abs(gray - (want - 11)) > 1  # where rounding cannot decide
+    assert ((k.adaptive_threshold(gray, 7, 11) == 255) == (gray > want - 11))[sure].all()
+    soft = blurred_by_hand(gray, 7, 1.0)
+    assert np.abs(k.unsharp_mask(gray, 1.5, 1.0).astype(float) - np.clip(2.5 * gray - 1.5 * soft, 0, 255)).max() <= 1.5
+    color = np.stack([gray, gray[::-1], gray], axis=2)
+    assert (k.unsharp_mask(color)[:, :, 0] == k.unsharp_mask(gray)).all()
+
+
+def test_median_by_hand():
+    gray = np.random.default_rng(6).integers(0, 256, (9, 11)).astype(np.uint8)
+    clip = lambda n, i: min(max(i, 0), n - 1)
+    for y in range(9):
+        for x in range(11):
+            assert k.median3(gray)[y, x] == sorted(gray[clip(9, y + a), clip(11, x + b)] for a in (-1, 0, 1) for b in (-1, 0, 1))[4]
+
+
+def test_one_tile_of_local_equalization_by_hand():
+    gray = np.random.default_rng(7).integers(90, 140, (32, 32)).astype(np.uint8)
+    n = [int((gray == v).sum()) for v in range(256)]
+    limit = max(1, int(2.0 * gray.size / 256))
+    over = sum(max(0, c - limit) for c in n)
+    n = [min(c, limit) + over // 256 + (v < over % 256) for v, c in enumerate(n)]
+    curve = [min(255.0, sum(n[: v + 1]) * 255.0 / gray.size) for v in range(256)]
+    assert np.abs(k.clahe(gray, 2.0, 1).astype(float) - np.array(curve)[gray]).max() <= 0.5 + 1e-9
+    assert k.clahe(gray, 2.0, 8).std() > gray.std(), "contrast grows"
+
+
+def test_lightness_space():
+    rng = np.random.default_rng(8)
+    image = rng.integers(0, 256, (20, 20, 3)).astype(np.uint8)
+    assert (k.from_lab(k.to_lab(image)) == image).all()
+    known = np.array([[[255, 255, 255], [0, 0, 0], [0, 0, 255], [255, 0, 0], [0, 128, 0]]], dtype=np.uint8)  # white, black, red, blue, green
+    assert np.abs(k.to_lab(known)[0] - [(100, 0, 0), (0, 0, 0), (53.24, 80.09, 67.20), (32.30, 79.19, -107.86), (46.23, -51.70, 49.90)]).max() < 0.05
+    # A faint tint, which no lightness can drive out of the range of colours.
+    flat = np.tile(np.array([[[112, 116, 120]]], dtype=np.uint8), (32, 32, 1)) + rng.integers(0, 8, (32, 32, 1)).astype(np.uint8)
+    before, after = k.to_lab(flat), k.to_lab(k.clahe_color(flat))
+    assert np.abs(before[:, :, 1:] - after[:, :, 1:]).max() < 1.5 and after[:, :, 0].std() > before[:, :, 0].std()
+
+
+def test_denoising_by_definition():
+    """The result has a lower energy (variation and absolute difference) than the noisy image; a flat one stays."""
+    rng = np.random.default_rng(9)
+    clean = np.zeros((24, 24))
+    clean[:, 12:] = 200
+    noisy = np.clip(clean + 20 + rng.normal(0, 15, clean.shape), 0, 255).astype(np.uint8)
+    energy = lambda u: np.abs(np.diff(u.astype(float), axis=0)).sum() + np.abs(np.diff(u.astype(float), axis=1)).sum() + np.abs(u.astype(float) - noisy).sum()
+    assert energy(k.denoise_tv(noisy, 1.0, 60)) < energy(noisy)
+    assert (k.denoise_tv(np.full((9, 9), 77, dtype=np.uint8), 1.0, 5) == 77).all()

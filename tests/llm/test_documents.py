@@ -2,6 +2,7 @@
 
 import collections
 import functools
+import hashlib
 import pickle
 import random
 import re
@@ -607,7 +608,8 @@ def test_pipeline_edges(spark, tmp_path):
     import corpus_pipeline as p
 
     rows = [(1, None, None, None, None), (None, "no key", "en", "s", 6), (2, LONG, "en", "s", len(LONG)), (2, LONG, "en", "s", len(LONG))]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(*r, 1, 0.5, True, "h", "r", "g") for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, score double, kept boolean, hits string, ids string, component_id string"
     for name, data in (("full", rows), ("none", [])):
         sf = str(tmp_path / name)
         spark.createDataFrame(data, schema).write.parquet(f"{sf}/documents.parquet")
@@ -616,6 +618,22 @@ def test_pipeline_edges(spark, tmp_path):
         assert p.run(spark, sf).count() == 0
 
 
+def test_pipeline_keeps_whole_rows(spark, tmp_path):
+    """Clean texts without labels and benchmark: one row of each class is left, whatever its id, and extra columns do not disturb."""
+    import corpus_pipeline as p
+
+    rng = random.Random(31)
+    text = lambda: "\n".join(" ".join(f"{rng.choice('aeiou')}{rng.choice('bcdfg')}{rng.randrange(900)}" for _ in range(12)) for _ in range(10))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, None, 9, "x"), (1, a, "en", 9, "x"), (None, b, "en", 9, "x"), (None, b, None, 9, "x"), (5, c, "en", 9, None), (5, a + " end", "en", 9, None)]
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, t, lang, None, len(t), n, k) for i, t, lang, n, k in rows], "doc_id long, text string, lang string, source string, n_chars long, row long, hits string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted(((r["doc_id"], r["decoded_sha256"]) for r in p.run(spark, sf).collect()), key=str) == sorted([(1, sha(a)), (None, sha(b)), (5, sha(c))], key=str)
+
+
 def test_near_duplicates_stage_rows(spark):
     import corpus_pipeline as p
 

@@ -1,8 +1,8 @@
 """Documents, pages and images in, metrics and images out.
 
 A decoder turns the bytes of one document into pages.  ``SimplePdf`` reads structure and
-text of PDF files (see ``pdf``) but does not draw them;
-``Png`` reads one-page images.  Drawing PDF pages needs an engine behind the same protocol.
+text of PDF files (see ``pdf``) and draws scanned pages, which show images alone (see ``scans``);
+``Png`` reads one-page images.  Drawing other PDF pages needs an engine behind the same protocol.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gridleaf.functions.entities import strip
 from gridleaf.operators.detect import enhance, image_dict, quality
 from gridleaf.schema import IMAGE, METRICS, struct
-from gridleaf.sources import pdf
+from gridleaf.sources import pdf, scans
 
 DEFAULT_DPI = 300
 
@@ -51,42 +51,19 @@ def read_png(content: bytes) -> np.ndarray:
     while at + 8 <= len(content):
         (size,), kind = bits.unpack(">I", content[at : at + 4]), content[at + 4 : at + 8]
         body = content[at + 8 : at + 8 + size]
-        head = bits.unpack(">IIBBBBB", body) if kind == b"IHDR" else head
+        head = bits.unpack(">IIBBBBB", body) if kind == b"IHDR" and len(body) == 13 else head
         data += body if kind == b"IDAT" else b""
         at += 12 + size
     if head is None or head[2] != 8 or head[3] not in (0, 2, 4, 6) or head[6]:
         raise BadDocument("only 8-bit gray and colour without interlacing")
     width, height, n = head[0], head[1], {0: 1, 2: 3, 4: 2, 6: 4}[head[3]]
-    rows = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(height, 1 + width * n)
-    out = np.zeros((height, width * n), dtype=np.uint8)
-    above = np.zeros(width * n, dtype=np.uint8)
-    for y in range(height):
-        above = out[y] = _unfilter(int(rows[y, 0]), rows[y, 1:], above, n)
-    pixels = out.reshape(height, width, n)
+    try:
+        pixels = scans.unfilter_rows(zlib.decompress(data), height, width * n, n).reshape(height, width, n)
+    except (ValueError, zlib.error) as e:  # fewer or other bytes than the head says
+        raise BadDocument(str(e)) from e
     return pixels[:, :, 0].copy() if n < 3 else pixels[:, :, 2::-1].copy()
 
 
-def _unfilter(kind: int, raw: np.ndarray, above: np.ndarray, n: int) -> np.ndarray:
-    if kind == 0:
-        return raw.copy()
-    if kind == 2:
-        return raw + above
-    if kind == 1:
-        return np.cumsum(raw.reshape(-1, n), axis=0, dtype=np.uint8).ravel()
-    line, up = bytearray(raw.tobytes()), above.tolist()
-    for i in range(len(line)):
-        left, corner = (line[i - n], up[i - n]) if i >= n else (0, 0)
-        if kind == 3:
-            guess = (left + up[i]) // 2
-        elif kind == 4:
-            p = left + up[i] - corner
-            guess = min(((abs(p - left), 0, left), (abs(p - up[i]), 1, up[i]), (abs(p - corner), 2, corner)))[2]
-        else:
-            raise BadDocument("unknown filter")
-        line[i] = (line[i] + guess) & 255
-    return np.frombuffer(bytes(line), dtype=np.uint8)
-
-
 def write_png(image: np.ndarray) -> bytes:
     """A PNG of a gray or blue, green, red image."""
 
@@ -119,7 +96,7 @@ class Png:
 
 
 class SimplePdf:
-    """Pages, sizes and text of PDF files."""
+    """Pages, sizes and text of PDF files, images of scanned pages."""
 
     def __call__(self, content: bytes) -> list[DecodedPage]:
         if content[:4] != b"%PDF":
@@ -129,10 +106,26 @@ class SimplePdf:
             pages = found.pages()
             if not pages:
                 raise BadDocument("no pages")
-            return [DecodedPage(*found.size(p), found.text(p)) for p in pages]
-        except (pdf.Unreadable, zlib.error, TypeError, AttributeError) as e:  # objects of other kinds than the format has there
+            return [DecodedPage(*found.size(p), found.text(p), self._render(found, p)) for p in pages]
+        except BadDocument:
+            raise
+        except (ValueError, zlib.error, TypeError, AttributeError, LookupError, OverflowError) as e:  # objects of other kinds than the format has there
             raise BadDocument(str(e)) from e
 
+    @staticmethod
+    def _render(found: pdf.Pdf, page: dict) -> Callable[[int], np.ndarray] | None:
+        images = scans.placed_images(found, page)
+        if images is None:
+            return None
+
+        def draw(dpi: int) -> np.ndarray:
+            try:
+                return scans.draw(found, page, images, dpi)
+            except (ValueError, zlib.error) as e:  # fewer or other bytes than the image says
+                raise BadDocument(str(e)) from e
+
+        return draw
+
 
 PAGES = f"page_num int, num_pages int, width_pt double, height_pt double, text string, image {IMAGE}, error string"
 
@@ -145,6 +138,8 @@ def scan(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
 def decode_pages(documents: DataFrame, keys: list[str], decoder: Decoder, dpi: int = DEFAULT_DPI, content: str = "content", draw: bool = True, prepare: bool = False) -> DataFrame:
     """One row per page.  Bytes that cannot be read give one row with ``error``; so no document is lost.
 
+    A page that cannot be drawn keeps its row, without an image; one whose image is broken has ``error`` too.
+
     ``prepare`` adds the quality measures and makes the image gray and straight.
     """
     from pyspark.sql import types as T
@@ -161,8 +156,11 @@ def decode_pages(documents: DataFrame, keys: list[str], decoder: Decoder, dpi: i
             yield key | {"error": str(e)}
             return
         for i, page in enumerate(pages):
-            image = page.render(dpi) if draw and page.render else None
             made = {}
+            try:
+                image = page.render(dpi) if draw and page.render else None
+            except BadDocument as e:
+                image, made["error"] = None, str(e)
             if prepare and image is not None:
                 made["metrics"] = quality(image)
                 image = enhance(image, made["metrics"])

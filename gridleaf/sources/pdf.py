@@ -2,7 +2,7 @@
 
 Objects are found by scanning, so a damaged cross-reference table does not matter; the last
 definition of a number counts.  Objects packed in object streams (PDF 1.5) are unpacked.
-Nothing is drawn.  Encrypted files are refused.
+Nothing is drawn here (see ``scans``).  Encrypted files are refused.
 """
 
 from __future__ import annotations
@@ -260,11 +260,21 @@ class Pdf:
                 return None
         return None
 
-    def size(self, page: dict) -> tuple[float, float]:
+    def box(self, page: dict) -> tuple[float, float, float, float]:
+        """Left, lower, right and upper edge in points."""
         box = self.inherited(page, "MediaBox")
         box = [self.of(x) for x in box] if isinstance(box, list) else []
-        x0, y0, x1, y1 = map(float, box) if len(box) == 4 and all(isinstance(x, int | float) for x in box) else (0, 0, 612, 792)
-        return abs(x1 - x0), abs(y1 - y0)
+        x0, y0, x1, y1 = map(float, box) if len(box) == 4 and all(isinstance(x, int | float) for x in box) else (0.0, 0.0, 612.0, 792.0)
+        return min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)
+
+    def size(self, page: dict) -> tuple[float, float]:
+        x0, y0, x1, y1 = self.box(page)
+        return x1 - x0, y1 - y0
+
+    def contents(self, page: dict) -> bytes:
+        contents = self.of(page.get("Contents"))
+        parts = [self.of(c) for c in (contents if isinstance(contents, list) else [contents])]
+        return b"\n".join(p.data(self.of) for p in parts if isinstance(p, Stream))
 
     def _decoder(self, font: object):
         font = self.of(font)
@@ -281,11 +291,8 @@ class Pdf:
         resources = self.inherited(page, "Resources") or {}
         fonts = self.of(resources.get("Font")) or {}
         decoders: dict[str, object] = {}
-        contents = self.of(page.get("Contents"))
-        parts = [self.of(c) for c in (contents if isinstance(contents, list) else [contents])]
-        data = b"\n".join(p.data(self.of) for p in parts if isinstance(p, Stream))
         decode, out, held = self._decoder(None), [], []
-        for item in values(data):
+        for item in values(self.contents(page)):
             if not isinstance(item, Word):
                 held.append(item)
                 continue

@@ -185,3 +185,59 @@ def test_png_honours_dpi():
     page = d.Png(72)(d.write_png(image))[0]
     assert (page.render(72) == image).all() and (page.width_pt, page.height_pt) == (4, 3)
     assert (page.render(144) == image.repeat(2, axis=0).repeat(2, axis=1)).all() and page.render(36).shape == (2, 2)
+
+
+def scanned(image, extra="", attributes="", bits=8, predictor=False, data=None, contents="q 24 0 0 12 6 3 cm /I Do Q", channels=None):
+    channels = channels or (1 if image.ndim == 2 else 3)
+    rows = np.packbits(image > 0, axis=1) if bits == 1 else image.reshape(len(image), -1)
+    body = data if data is not None else zlib.compress((np.insert(np.diff(rows, axis=0, prepend=0), 0, 2, axis=1).astype(np.uint8) if predictor else rows).tobytes())
+    parameters = "/DecodeParms << /Predictor 15 /Colors 3 >>" if predictor else ""
+    space = "/DeviceGray" if channels == 1 else "[/ICCBased 6 0 R]"
+    text = contents.encode()
+    out = f"%PDF-1.4\n1 0 obj << /Type /Page /MediaBox [0 0 36 18] /Contents 2 0 R /Resources << /XObject << /I 3 0 R >> >> {extra} >> endobj\n2 0 obj << /Length {len(text)} >> stream\n".encode() + text + b"\nendstream endobj\n"
+    out += f"6 0 obj << /N 3 /Length 0 >> stream\n\nendstream endobj\n3 0 obj << /Subtype /Image /Width {image.shape[1]} /Height {image.shape[0]} /BitsPerComponent {bits} /ColorSpace {space} {parameters} {attributes} /Filter /FlateDecode /Length {len(body)} >> stream\n".encode()
+    return out + body + b"\nendstream endobj"
+
+
+@pytest.mark.parametrize("predictor", [False, True])
+@pytest.mark.parametrize("shape", [(4, 8), (4, 8, 3)])
+def test_scanned_pdf_pages_are_drawn(shape, predictor):
+    """Placed at (6, 3) in 24 x 12 points of a page of 36 x 18: at 72 dots to the inch each pixel fills 3 x 3 dots."""
+    image = np.random.default_rng(5).integers(0, 256, shape).astype(np.uint8)
+    page = d.SimplePdf()(scanned(image, predictor=predictor))[0]
+    expected = np.full((18, 36, *shape[2:]), 255, dtype=np.uint8)
+    expected[3:15, 6:30] = (image if image.ndim == 2 else image[:, :, ::-1]).repeat(3, axis=0).repeat(3, axis=1)
+    assert (page.render(72) == expected).all()
+    assert (page.render(144) == expected.repeat(2, axis=0).repeat(2, axis=1)).all()
+    assert page.render(24).shape[:2] == (6, 12)
+
+
+def test_scans_of_one_bit_inverted_flipped_and_layered():
+    image = (np.random.default_rng(6).integers(0, 2, (4, 9)) * 255).astype(np.uint8)
+    at = "q 9 0 0 4 0 0 cm /I Do Q"
+    one = d.SimplePdf()(scanned(image, bits=1, contents=at, extra="/MediaBox [0 0 9 4]"))[0].render(72)
+    assert (one == image).all()
+    assert (d.SimplePdf()(scanned(image, bits=1, contents=at, extra="/MediaBox [0 0 9 4]", attributes="/Decode [1 0]"))[0].render(72) == 255 - image).all()
+    assert (d.SimplePdf()(scanned(image, contents="9 0 0 -4 0 4 cm /I Do", extra="/MediaBox [0 0 9 4]"))[0].render(72) == image[::-1]).all()
+    twice = d.SimplePdf()(scanned(image, contents=at + " q 9 0 0 4 3 0 cm BT 3 Tr (ocr) Tj ET /I Do Q", extra="/MediaBox [0 0 9 4]"))[0]
+    assert twice.text == "ocr" and (twice.render(72) == np.c_[image[:, :3], image[:, :6]]).all()
+
+
+@pytest.mark.parametrize("case", [{"contents": "q 24 0 0 12 6 3 cm /I Do Q BT (seen) Tj ET"}, {"contents": "0 0 9 9 re f /I Do"}, {"contents": "0 1 -1 0 0 0 cm /I Do"}, {"contents": ""}, {"extra": "/Rotate 90"}, {"attributes": "/SMask 3 0 R"}, {"bits": 4}])
+def test_pages_that_are_no_scans_are_not_drawn(case):
+    image = np.zeros((2, 2), dtype=np.uint8)
+    page = d.SimplePdf()(scanned(image, **case))[0]
+    assert page.render is None and page.width_pt == 36
+
+
+def test_broken_images_give_rows_with_an_error(spark):
+    image = np.arange(6, dtype=np.uint8).reshape(2, 3)
+    good, short = scanned(image), scanned(image, data=zlib.compress(b"abc"))
+    png = d.write_png(image)
+    docs = spark.createDataFrame([(1, good), (2, short), (3, None)], "id int, content binary")
+    rows = {r["id"]: r for r in d.decode_pages(docs, ["id"], d.SimplePdf(), 72).collect()}
+    assert rows[1]["error"] is None and (rows[1]["image"]["height"], rows[1]["image"]["width"]) == (18, 36)
+    assert rows[2]["error"] and rows[2]["image"] is None and rows[2]["width_pt"] == 36 and rows[3]["error"]
+    for bad in (png[:40], png[:20], png.replace(b"IHDR", b"XHDR"), scanned(image)[:30]):
+        with pytest.raises(d.BadDocument):
+            (d.Png() if bad[:4] == b"\x89PNG" else d.SimplePdf())(bad)

@@ -14,13 +14,14 @@ one with the greatest record id.  Then validators are compared:
 header fields of the 304 that such an answer may carry (``PERMITTED``); others of its
 fields, such as Content-Length, stay out.
 
-The as-of join is in two steps, so that one URL with a great share of all captures is
-not one task's work: within (URL, day) by a window, and across the days of a URL by a
-window over one row a day.  Only metadata and digests are shuffled, never bodies.
+One URL with a great share of all captures is not one task's work: captures of a URL at one
+instant become one row, combined before any shuffle; the instants of a minute, the minutes of a day and the days
+of a URL each have a window over one row apiece.  Only metadata and digests are shuffled, never bodies.
 
 Header fields may repeat: all of a name in the 304 stand where the first of that name stood in the response.
 
-Null and empty URLs have canonical URL null and find nothing (``missing``).  Repeated
+Null and empty URLs have canonical URL null and find nothing (``missing``).  So do revisits without a date;
+a response without a date is earlier than none.  Repeated
 revisits are resolved each on its own; of repeated responses any one is taken, they are alike.  Dates may
 have any precision from the year on.  Bytes that are not a WARC record, and a cut-off last record, do not stop a
 job: they give a row with ``error`` and nothing else that counts, after the records before them; later gzip members are
@@ -49,6 +50,7 @@ from gridleaf.llm.shared import chunks
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Header fields that a 304 answer may carry to update a stored response (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
+MINUTE = 60
 DAY = 86_400
 
 
@@ -239,19 +241,28 @@ def resolve(found: DataFrame) -> DataFrame:
     full = (F.col("type") == "response") & (F.col("status") == 200)
     revisit = (F.col("type") == "revisit") & (F.col("profile") == NOT_MODIFIED)
     kept = found.where(full | revisit).select(*names, revisit.alias("revisit"), canonical_url(F.col("url")).alias("canonical"))
-    kept = kept.withColumn("day", F.floor(F.unix_timestamp("date") / DAY))
     response = F.struct("date", "record_id", "headers", "body_bytes", "body_sha256")
-    events = kept.where("canonical is not null").withColumn("response", F.when(~F.col("revisit"), response))
-    # Within a day: revisits of an instant come before its responses, which are not earlier.
-    order = [F.col("date"), F.col("revisit").desc(), F.col("record_id")]
-    within = Window.partitionBy("canonical", "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = events.withColumn("same_day", F.last("response", ignorenulls=True).over(within)).where("revisit").drop("response")
-    daily = events.where("not revisit").groupBy("canonical", "day").agg(F.max_by("response", F.struct("date", "record_id")).alias("last"))
-    days = daily.unionByName(local.select("canonical", "day", F.lit(None).cast(daily.schema["last"].dataType).alias("last")).distinct())
-    days = days.groupBy("canonical", "day").agg(F.first("last", ignorenulls=True).alias("last"))
-    before = Window.partitionBy("canonical").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = days.withColumn("earlier", F.last("last", ignorenulls=True).over(before)).where("earlier is not null").drop("last")
-    joined = local.join(earlier, ["canonical", "day"], "left").withColumn("full", F.coalesce("same_day", "earlier"))
+    # One row for each instant of a URL: its response of the greatest record id, and whether a revisit asks for an earlier one.
+    captures = kept.where("canonical is not null and date is not null")
+    instants = captures.groupBy("canonical", "date").agg(
+        F.max_by(response, F.when(~F.col("revisit"), F.struct("record_id"))).alias("last"), F.max("revisit").alias("asked")
+    )
+    seconds = F.unix_timestamp("date")
+    instants = instants.withColumns({"minute": F.floor(seconds / MINUTE), "day": F.floor(seconds / DAY)})
+
+    def earlier(part: list[str], order: str) -> Column:
+        return F.last("last", ignorenulls=True).over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+
+    def latest(order: str) -> Column:
+        return F.max_by("last", F.when(F.col("last").isNotNull(), F.col(order))).alias("last")
+
+    minutes = instants.groupBy("canonical", "day", "minute").agg(latest("date"))
+    days = minutes.groupBy("canonical", "day").agg(latest("minute")).withColumn("before_day", earlier(["canonical"], "day")).drop("last")
+    minutes = minutes.withColumn("in_day", earlier(["canonical", "day"], "minute")).join(days.where("before_day is not null"), ["canonical", "day"], "left")
+    minutes = minutes.select("canonical", "minute", F.coalesce("in_day", "before_day").alias("before_minute")).where("before_minute is not null")
+    near = instants.withColumn("in_minute", earlier(["canonical", "minute"], "date")).where("asked")
+    answers = near.join(minutes, ["canonical", "minute"], "left").select("canonical", "date", F.coalesce("in_minute", "before_minute").alias("full"))
+    joined = kept.where("revisit and canonical is not null").join(answers, ["canonical", "date"], "left")
     alone = kept.where("revisit and canonical is null").withColumn("full", F.lit(None).cast(joined.schema["full"].dataType))
     joined = joined.select(*alone.columns).unionByName(alone)
     weak = [F.regexp_replace(_header(h, "etag"), "^W/", "") for h in ("headers", "full.headers")]

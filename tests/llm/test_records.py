@@ -150,6 +150,29 @@ def test_resolution(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def test_resolution_matches_brute_force(spark):
+    """One URL with most captures, many at one instant, in one minute and in one day; some without a date or a record id."""
+    rng = random.Random(3)
+    start = datetime.datetime(2024, 1, 1, 23, 58)
+    rows = []
+    for i in range(600):
+        url = "http://hot.com/" if rng.random() < 0.7 else f"http://u{rng.randrange(6)}.com/"
+        seconds = rng.choice([0, rng.randrange(3), rng.randrange(300), rng.randrange(86_400), rng.randrange(4 * 86_400)])
+        when = None if rng.random() < 0.05 else start + datetime.timedelta(seconds=seconds, microseconds=rng.choice([0, 0, 1, 500_000]))
+        kind = rng.choice(["response", "revisit", "revisit"])
+        rid = None if kind == "response" and rng.random() < 0.03 else f"r{i:03}"
+        rows.append((rid, kind, warc.NOT_MODIFIED if kind == "revisit" else None, url, when, 200 if kind == "response" else 304, [], i, f"sha-{i}", None))
+    rng.shuffle(rows)
+    found = {r["record_id"]: (r["verdict"], r["refers_to"]) for r in warc.resolve(spark.createDataFrame(rows, warc.RECORDS)).collect()}
+    full = [r for r in rows if r[1] == "response" and r[4] is not None]
+    asked = [r for r in rows if r[1] == "revisit"]
+    assert len(found) == len(asked)
+    for r in asked:
+        past = [f for f in full if r[4] is not None and f[3] == r[3] and f[4] < r[4]]
+        best = max(past, key=lambda f: (f[4], f[0] or ""), default=None)
+        assert found[r[0]] == (("unverified", best[0]) if best else ("missing", None))
+
+
 def test_repeated_headers_are_kept(spark):
     named = lambda *pairs: [{"name": k, "value": v} for k, v in pairs]
     at = datetime.datetime(2024, 1, 1)

@@ -6,7 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def no_clash(keys: Iterable[str], results: Iterable[str]) -> None:
+    """An error if a column that is kept has the name of a result (Spark does not tell upper from lower case)."""
+    clash = {k.lower() for k in keys} & {r.lower() for r in results}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} would be there twice")
+
+
 def chunks(batch: pa.RecordBatch, text: int | None = None, most_rows: int = CHUNK_ROWS, most_chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, bounded in rows and in characters of column ``text``."""
     start, total = 0, batch.num_rows
@@ -116,9 +123,7 @@ def map_column(df: DataFrame, keys: list[str], text: str, schema: str, step: Cal
     from pyspark.sql.pandas.types import to_arrow_schema
 
     new = T._parse_datatype_string(schema)
-    clash = set(keys) & set(new.names)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be there twice")
+    no_clash(keys, new.names)
     out = T.StructType([df.schema[k] for k in keys] + list(new.fields))
     arrow = to_arrow_schema(out)
     n = len(keys)

@@ -31,8 +31,8 @@ RUNS = 3
 LEAST_WORDS = 20
 PERCENT = 5
 SEED = 42
-#: What does not belong to a word, after A-Z became a-z.
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What does not belong to a word, before A-Z become a-z.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RESULTS = ("n_features", "weight", "score", "rank")
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -40,8 +40,11 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
-    cut = F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), BETWEEN)
-    return F.filter(cut, lambda w: w != "")
+
+    def lower(word: Column) -> Column:  # a word of ASCII alone, as most are, the short way
+        return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _UPPER.lower()))
+
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), BETWEEN), lambda w: w != ""), lower)
 
 
 def bucket_array(word: Column, runs: int = RUNS, buckets: int = BUCKETS) -> Column:
@@ -52,7 +55,7 @@ def bucket_array(word: Column, runs: int = RUNS, buckets: int = BUCKETS) -> Colu
 
     def of_runs(n: int) -> Column:
         starts = F.sequence(F.lit(0), F.size(word) - n)
-        found = F.transform(starts, lambda i: bucket(F.concat_ws(" ", *(F.get(word, i + k) for k in range(n)))))
+        found = F.transform(starts, lambda i: bucket(F.concat(F.get(word, i), *(c for k in range(1, n) for c in (F.lit(" "), F.get(word, i + k))))))
         return F.when(F.size(word) >= n, found).otherwise(F.array().cast("array<int>"))
 
     return F.concat(F.transform(word, bucket), *map(of_runs, range(2, runs + 1)))

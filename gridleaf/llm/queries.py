@@ -238,12 +238,18 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridleaf.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), default_path("piece_bpe_32k.model"))
+
+
 def op13_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridleaf.llm.sharding import assign
 
     return assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_crf, op4_quality_rules, op5_warc_revisits, op6_chat_format, op7_byte_bpe, op8_token_ids, op9_decontaminate, op10_simhash, op11_importance, op13_jump_shards)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_crf, op4_quality_rules, op5_warc_revisits, op6_chat_format, op7_byte_bpe, op8_token_ids, op9_decontaminate, op10_simhash, op11_importance, op12_align_tokens, op13_jump_shards)}
 
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _op4_sql(), "op5_warc_revisits": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_decontaminate": OP9_SQL}

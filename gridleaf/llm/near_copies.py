@@ -1,28 +1,33 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least ``SHARE``.
 
-Candidates come from the fingerprint search of ``simhash``; an exact check follows.
+Texts are first brought together in families, whose members are then compared by their whole shingle sets.
 
 * Each text has two 64-bit fingerprints: of its set of words, which a changed word hardly
   moves, and of its set of shingles.  The Golay keys are made of the first
-  (``simhash.wide_keys``).  Texts that share a key are candidates if they differ in at most
-  ``LIMITS`` bits in the two.
-* The candidate pairs of a run of a key are edges; if they are more than the members, every member
-  has an edge to the hub of its tree instead, the member nearest to the majority of their bits.  So edges
-  grow with the members, not with their pairs.
-* Each text is first compared with the candidate that has the most edges, which is likely to be what
-  others were copied from; then all edges between texts that are not of one class yet are compared.
-
-A pair is missed if it shares no key, exceeds the limits, or stands in dense runs only and neither is their
-hub nor are both near copies of it or of each other's kin; the README has the measured recall.  No other texts are linked.
+  (``simhash.wide_keys``); eight more keys are made of two least shingles each, by 16 hash functions: at 0.8 all of them differ for 3 pairs in 10,000.
+  Texts that share a key are kin if they differ in at most ``LIMITS`` bits in the two, and a family is what kin of kin reach.  The search gives as many edges as
+  join a family, not all pairs of kin.
+* Each distinct text of a family has its shingle set sent to its family once.  A family is compared by one task at a time if its
+  sets weigh no more than ``BLOCK``; a heavier one is dealt into blocks, and each pair of blocks is compared for itself.
+* Within a block every pair of different classes is decided exactly: a set is held against those that share one of its
+  rarest shingles (two sets at 0.8 share one of the rarest fifth of either) or, where those are many, against the rarest three tenths of all sets of
+  fitting size, which must not miss too many; what is left, by whole sets.  Members that a class has reached are asked no
+  further, so a block gives fewer links than members.
+
+So each pair in a family at ``SHARE`` or above is in one class, however dense the family is, and however it is dealt into runs and
+blocks.  A pair is missed only if no chain of kin joins it; the README has the measured recall.  No other texts are linked.
 
 Similarity is that of whole sets of 64-bit shingle hashes.  Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in
 lower case; a text of 1 to 4 words is one shingle, its whole sequence.  Null and empty texts and texts
-without words are alike.  Equal texts are compared once.  An empty table gives an empty one;
-extra columns are not read.
+without words are alike.  Equal texts and repeated rows are compared once and are of one class; a class is named by its least row, so
+there are no ties.  Very long texts are taken whole, a set heavier than a block is a block by itself.  An empty table gives an empty one;
+extra columns are not read; a row column named component_id is an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,13 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridleaf.llm.components import components
-from gridleaf.llm.shared import map_column, rolled, written
+from gridleaf.llm.shared import map_column, no_clash, release, rolled, written
 from gridleaf.llm.simhash import LONG, search, wide_keys
 
 WORDS = 5
 SHARE = 0.8
 #: Most differing bits of the fingerprints of words and of shingles.
-LIMITS = (10, 16)
+LIMITS = (16, 18)
+#: Keys of least shingles a text has, and the hash functions of each.
+BANDS = (8, 2)
+#: Shingles (64 a set at least) of one block of a family that a task holds.
+BLOCK = 2_000_000
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,54 +92,157 @@ def shingle_sets(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(texts)))].astype(np.int32), held.view(np.int64))
 
 
+def counted_sets(texts: pa.Array) -> list:
+    """How many, and ``shingle_sets``."""
+    sets = shingle_sets(texts)
+    return [pc.list_value_length(sets), sets]
+
+
+def _bands(shingles: np.ndarray, count: np.ndarray) -> pa.Array:
+    """For each text the keys of ``BANDS``, above those of Golay codes; none for a text without shingles."""
+    bands, rows = BANDS
+    there = np.flatnonzero(count)
+    at = (np.cumsum(count) - count)[there]
+    out = np.zeros((len(there), bands), dtype=np.uint64)
+    if len(there):
+        factors = np.random.default_rng(8).integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for i, factor in enumerate(factors):
+            low = np.minimum.reduceat(shingles * factor, at)
+            out[:, i // rows] = (out[:, i // rows] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i // rows)
+    found = (out >> np.uint64(2)) | np.uint64(1 << 62)
+    return pa.ListArray.from_arrays(np.r_[0, np.cumsum(np.where(count > 0, bands, 0))].astype(np.int32), found.ravel().view(np.int64))
+
+
 def signatures(texts: pa.Array) -> list:
-    """Fingerprints of the words and of the shingles, and a digest of each text."""
+    """Fingerprints of the words and of the shingles, keys of least shingles, and a digest of each text."""
     hashes, owner, size = _words(texts)
     shingles, count = rolled(hashes, owner, size, WORDS)
     n = len(texts)
     digests = [xxhash.xxh3_128_digest(t) for t in texts.to_pylist()]
-    return [_majority(hashes, owner, n), _majority(shingles, np.repeat(np.arange(n), count), n), digests]
-
-
-def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose ``sets`` (row, s) are similar enough."""
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared / (F.size("x") + F.size("y") - shared) >= SHARE).select("a", "b")
+    return [_majority(hashes, owner, n), _majority(shingles, np.repeat(np.arange(n), count), n), _bands(shingles, count), digests]
+
+
+def set_links(codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
+    """Links (positions) that join what all pairs of sets with a Jaccard similarity of ``SHARE`` join; sets are ranges of ascending distinct codes."""
+    n, size = len(starts) - 1, np.diff(starts)
+    if n == 2:
+        shared = len(np.intersect1d(codes[: starts[1]], codes[starts[1] :], assume_unique=True))
+        return [(0, 1)] if shared / (len(codes) - shared) >= SHARE else []
+    # Sets in order of their size, shingles in order of how few sets hold them.
+    by_size = np.argsort(size, kind="stable")
+    distinct, codes, count = np.unique(codes, return_inverse=True, return_counts=True)
+    rank = np.empty(len(distinct), dtype=np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(distinct))
+    place = np.empty(n, dtype=np.int64)
+    place[by_size] = np.arange(n)
+    codes, owner = rank[codes], np.repeat(place, size)
+    codes = codes[np.lexsort((codes, owner))]
+    size = size[by_size]
+    starts = np.r_[0, np.cumsum(size)]
+    head = size - np.ceil(SHARE * size - 1e-9).astype(np.int64) + 1
+    within = np.arange(len(codes)) - np.repeat(starts[:-1], size)
+    in_head = within < np.repeat(head, size)
+    holders = np.repeat(np.arange(n), head)[np.argsort(codes[in_head], kind="stable")]
+    lists = np.r_[0, np.cumsum(np.bincount(codes[in_head], minlength=len(distinct)))]
+    wide = np.minimum(size, (3 * size + 9) // 10)
+    wide_codes, wide_starts = codes[within < np.repeat(wide, size)], np.r_[0, np.cumsum(wide)]
+    own = np.zeros(len(distinct), dtype=bool)
+    waiting = np.ones(n, dtype=bool)
+
+    def close_to(x: int) -> np.ndarray:
+        """The waiting sets similar to set x."""
+        mine = codes[starts[x] : starts[x + 1]]
+        low, high = np.searchsorted(size, SHARE * size[x] - 1e-9, "left"), np.searchsorted(size, size[x] / SHARE + 1e-9, "right")
+        own[mine] = True
+        spans = [(lists[c], lists[c + 1]) for c in mine[: head[x]]]
+        if sum(b - a for a, b in spans) < high - low:
+            others = np.unique(np.concatenate([holders[a:b] for a, b in spans]))
+            others = others[waiting[others] & (others >= low) & (others < high)]
+        else:
+            missed = np.add.reduceat(~own[wide_codes[wide_starts[low] : wide_starts[high]]], wide_starts[low:high] - wide_starts[low], dtype=np.int64)
+            # Of a similar set at most so many shingles are not in x.
+            most = size[low:high] - np.ceil(SHARE / (1 + SHARE) * (size[x] + size[low:high]) - 1e-9)
+            others = low + np.flatnonzero((missed <= most) & waiting[low:high])
+        if len(others):
+            reach = size[others]
+            at = np.repeat(starts[others], reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+            shared = np.add.reduceat(own[codes[at]], np.cumsum(reach) - reach, dtype=np.int64)
+            others = others[shared / (size[x] + reach - shared) >= SHARE]
+        own[mine] = False
+        return others
+
+    out = []
+    for root in range(n):
+        if not waiting[root]:
+            continue
+        waiting[root] = False
+        queue = [root]
+        while queue:
+            x = queue.pop()
+            reached = close_to(x)
+            waiting[reached] = False
+            out += [(int(by_size[x]), int(by_size[y])) for y in reached]
+            queue += reached.tolist()
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows (cell, row, s) in the order of cells."""
+    cell, rows, sets = None, [], []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1:
+            found = set_links(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[pair[side]] for pair in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        values, ends = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy()
+        ends = ends - ends[0]
+        for i, (c, row) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if c != cell:
+                yield from links()
+                cell, rows, sets = c, [], []
+            rows.append(row)
+            sets.append(values[ends[i] : ends[i + 1]].copy())
+    yield from links()
+    release()
+
+
+def similar_links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``sets`` (family, row, n, s): links (a, b) that join what all similar pairs of a family join.
+
+    A set weighs its ``n`` shingles, 64 at least; families heavier than ``block`` are dealt into blocks of half of it.
+    """
+    weight = F.greatest("n", F.lit(64))
+    heavy = written(sets.groupBy("family").agg(F.ceil(2 * F.sum(weight) / block).alias("blocks")).where("blocks > 2"), "heavy")
+    dealt = sets.join(heavy, "family", "left").withColumn("i", F.pmod(F.xxhash64("row"), "blocks"))
+    # A member of a heavy family goes to every pair of blocks that its own is one of.
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cells = dealt.select("family", "row", "s", "i", F.explode(others).alias("j"))
+    cells = cells.select(F.xxhash64("family", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "row", "s")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "a long, b long")
 
 
-def classes(df: DataFrame, row: str = "row", text: str = "text", longest: int = LONG) -> DataFrame:
+def classes(df: DataFrame, row: str = "row", text: str = "text", longest: int = LONG, block: int = BLOCK) -> DataFrame:
     """``row`` and ``component_id``, the least row of its class, of every row of ``df``.
 
     ``row`` numbers the rows (long, without nulls or repeats) and must be the same whenever ``df`` is read.
     """
+    no_clash([row], ["component_id"])
     docs = df.select(F.col(row).alias("row"), F.col(text).alias("text"))
-    marked = written(map_column(docs, ["row"], "text", "f0 long, f1 long, digest binary", signatures), "signatures")
-    texts = written(marked.groupBy("digest").agg(F.min("row").alias("row"), F.min("f0").alias("f0"), F.min("f1").alias("f1")), "texts")
-    prints = written(texts.groupBy("f0", "f1").agg(F.min("row").alias("row"), F.count("*").alias("n")), "prints")
-    found = search(prints.select("f0", "f1"), wide_keys, LIMITS, star=True, longest=longest).distinct()
+    marked = written(map_column(docs, ["row"], "text", "f0 long, f1 long, bands array<long>, digest binary", signatures), "signatures")
+    texts = written(marked.groupBy("digest").agg(F.min("row").alias("row"), F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.min("bands").alias("bands")), "texts")
+    prints = written(texts.groupBy("f0", "f1").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.min("bands").alias("bands")), "prints")
+    found = search(prints.select("f0", "f1", "bands"), wide_keys, LIMITS, star=True, longest=longest).distinct()
     ends = [prints.select(F.col("f0").alias(f"{s}0"), F.col("f1").alias(f"{s}1"), F.col("row").alias(s)) for s in "ab"]
-    apart = found.join(ends[0], ["a0", "a1"]).join(ends[1], ["b0", "b1"]).select("a", "b")
-    # Texts of equal fingerprints have an edge to the least of them.
-    alike = texts.join(prints.where("n > 1").select("f0", "f1", F.col("row").alias("a")), ["f0", "f1"]).select("a", F.col("row").alias("b")).where("a <> b")
-    edges = written(apart.unionByName(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    # How many edges each text has; written, so that a small table is broadcast and no text shuffled.
-    degree = edges.groupBy("a").agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.col("b").alias("a")).agg(F.count("*").alias("n")))
-    degree = written(degree.groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n")), "degree")
-    weighed = edges
-    for side in "ab":
-        weighed = weighed.join(degree.select(F.col("row").alias(side), F.struct("n", -F.col("row")).alias(f"by_{side}")), side)
-    best = [weighed.groupBy(F.col(x).alias("row")).agg(F.max_by(y, f"by_{y}").alias("hub"), F.max(f"by_{y}").alias("by")) for x, y in ("ab", "ba")]
-    best = best[0].unionByName(best[1]).groupBy("row").agg(F.max_by("hub", "by").alias("hub"))
-    first = written(best.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct(), "first")
-    sets = written(map_column(docs.join(degree.select("row"), "row", "left_semi"), ["row"], "text", "s array<long>", lambda t: [shingle_sets(t)]), "sets")
-    linked = written(similar_pairs(first, sets), "similar")
-    rest = edges.join(first, ["a", "b"], "left_anti")
+    kin = components(found.join(ends[0], ["a0", "a1"]).join(ends[1], ["b0", "b1"]).select("a", "b"))
+    # Families of fingerprints, and fingerprints of several texts: few rows, so that often a small table is broadcast and no text shuffled.
+    family = prints.join(kin.withColumnRenamed("node", "row"), "row", "left").where("root is not null or n > 1")
+    members = texts.join(family.select("f0", "f1", F.coalesce("root", "row").alias("family")), ["f0", "f1"]).select("row", "family")
+    members = written(members, "members")
+    sets = written(map_column(docs.join(members, "row"), ["family", "row"], "text", "n long, s array<long>", counted_sets), "sets")
+    linked = written(similar_links(sets, block), "similar")
     rooted = components(linked)
-    for side in "ab":
-        rest = rest.join(rooted.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-    more = written(similar_pairs(rest.where("a_root <> b_root").select("a", "b"), sets), "similar")
-    if not more.isEmpty():
-        rooted = components(linked.unionByName(more))
     final = texts.join(rooted.withColumnRenamed("node", "row"), "row", "left").select("digest", F.coalesce("root", "row").alias("class"))
     return marked.join(final, "digest").select(F.col("row").alias(row), F.col("class").alias("component_id"))

@@ -344,16 +344,20 @@ def search(distinct: DataFrame, keys_of: Callable[[np.ndarray], tuple[np.ndarray
     """Links of ``run_links`` over all runs of equal keys.
 
     ``distinct`` holds fingerprints without repeats, one long column for each of ``limits``; the
-    keys are made of the first.  A link has the columns a0, a1, ... of the one and b0, b1, ... of the other.
+    keys are made of the first, further ones may stand in a last column of lists.  A link has the columns a0, a1, ... of the one and b0, b1, ... of the other.
     """
     kinds = len(limits)
     names = [f"f{i}" for i in range(kinds)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:kinds]]
             for i in range(0, batch.num_rows, 2048):
                 key, at = keys_of(columns[0][i : i + 2048].view(np.uint64))
+                if len(batch.columns) > kinds:
+                    more = batch.column(kinds).slice(i, 2048)
+                    size = more.value_lengths().to_numpy()
+                    key, at = np.r_[key, more.flatten().to_numpy()], np.r_[at, np.repeat(np.arange(len(size)), size)]
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[i : i + 2048][at]) for c in columns)], names=["key", *names])
 
     def compared(rows: DataFrame, own: bool, most: int | None) -> DataFrame:

@@ -481,6 +481,59 @@ def test_classes_against_brute_force(spark, longest):
     assert near_copies.classes(rows.limit(0)).count() == 0
 
 
+def test_set_links_against_all_pairs():
+    rng = np.random.default_rng(6)
+    for n, base_size, changed in ((2, 50, 5), (40, 3, 1), (120, 60, 4), (200, 200, 18), (300, 200, 30), (150, 10, 1)):
+        base, sets = rng.integers(0, 2**62, base_size), []
+        for _ in range(n):
+            one = base.copy()
+            one[rng.choice(base_size, rng.integers(0, changed + 1), replace=False)] = rng.integers(0, 2**62)
+            sets.append(np.unique(np.r_[one, rng.integers(0, 2**62, rng.integers(0, 2))]))
+        found = near_copies.set_links(np.concatenate(sets), np.r_[0, np.cumsum(list(map(len, sets)))])
+        wanted = [(i, j) for i in range(n) for j in range(i) if len(s := np.intersect1d(sets[i], sets[j])) / (len(sets[i]) + len(sets[j]) - len(s)) >= 0.8]
+        assert find_components(n, found) == find_components(n, wanted) and len(found) < n
+
+
+def template_family(rng, variants, share):
+    """Variants of one text of 200 words with a share of the words changed, and after each a copy with one more word changed."""
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    out = []
+    for _ in range(variants):
+        own = list(base)
+        for at in rng.sample(range(200), round(200 * share)):
+            own[at] = f"x{rng.randrange(10**9)}"
+        out.append(" ".join(own))
+        own[rng.randrange(200)] = f"y{rng.randrange(10**9)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("variants", [500, 5000])
+def test_copies_in_families_of_a_template(spark, variants):
+    """All pairs at 0.8 are joined, however runs and blocks are dealt."""
+    rng = random.Random(variants)
+    families = [template_family(rng, variants, share) for share in (0.02, 0.03, 0.04)]
+    texts = [t for family in families for t in family]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(4)
+    classed = {r["row"]: r["component_id"] for r in near_copies.classes(rows).collect()}
+    assert sum(classed[i] == classed[i + 1] for i in range(0, len(texts), 2)) >= 0.99 * len(texts) / 2
+    if variants == 500:
+        first = texts[:1000]
+        sets = [near_copies.shingle_sets(pa.array([t])).values.to_numpy() for t in first]
+        size = np.array(list(map(len, sets)))
+        distinct, codes, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        table = np.zeros((len(first), (count > 1).sum()), dtype=np.float32)
+        shared = count[codes] > 1
+        table[np.repeat(np.arange(len(first)), size)[shared], (np.cumsum(count > 1) - 1)[codes[shared]]] = 1
+        overlap = table @ table.T
+        near = np.argwhere(np.triu(overlap / (size[:, None] + size - overlap) >= 0.8, 1)).tolist()
+        assert len(near) >= 500 and sum(classed[a] == classed[b] for a, b in near) >= 0.99 * len(near)
+        wanted = find_components(len(first), near)
+        assert all(wanted[i] == wanted[classed[i]] for i in range(len(first)))  # and no others
+        again = near_copies.classes(rows, longest=32, block=100_000).collect()
+        assert {r["row"]: r["component_id"] for r in again} == classed
+
+
 def test_hub_of_a_dense_run():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 2, dtype=np.uint64)

@@ -74,7 +74,7 @@ def odd_texts():
 def test_chunk_matches_whole_texts():
     own, texts = alignment.aligner(A, B), odd_texts()
     assert own.cuts
-    chunk = own(pa.array(texts))
+    chunk = own(pa.array(texts), documents=True)
     at = 0
     for i, text in enumerate(texts):
         want = PLAIN(text)
@@ -114,7 +114,7 @@ def test_edges(spark):
 def test_dictionary_and_pairs(spark):
     texts = ["low lower lowest", "low low", "lowest unfathomable", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    encoded = alignment.encode(df, A, B)
+    encoded = alignment.encode(df, A, B, documents=True)
     groups = alignment.dictionary(encoded)
     found = [PLAIN(t) for t in texts]
     spelt = [spelled(f[2]).split(";") for f in found if f]

@@ -16,22 +16,24 @@ combined for larger windows and classes.
 
 The items are a table of queries.  They reach the executors as texts in blocks of a
 bounded number and size; each block is a job of its own over the documents, whose
-result is written before the next one, so that neither the driver nor a worker ever holds
-more than a block, however large the benchmark is.  An item longer than a block is a block by itself.
+hits (no texts) are appended to one folder before the next one, so that neither the driver nor a worker ever holds
+more than a block, however large the benchmark is; a benchmark of k blocks reads the documents k times and ``mark`` writes
+them once at most.  An item longer than a block is a block by itself.
 
 Words are split at blanks (ASCII white space, U+00A0), in lower case, without marks at either end.  A text of
 1 to 4 words is one shingle, its whole sequence; null texts and texts without words
 have none, find nothing and are not found.  Repeated items count once, items of one id and different
 texts each; rows of documents are searched each on its own.  Item ids keep their type.  Ties: all items
 that a text holds are given.  Very long texts are searched whole, a chunk at a time.  An empty table on either side
-gives no hits.  Other columns of either table are not read.
+gives no hits.  Other columns of either table are not read; a key column named as a result is an error.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridleaf.llm.shared import map_column, rolled, written
+from gridleaf.llm.shared import map_column, no_clash, rolled, scratch, written
 
 WORDS = 5
 SHARE = 0.8
@@ -182,7 +184,7 @@ def _block(ids: tuple, texts: tuple[str, ...]) -> Items:
     return Items(list(ids), list(texts))
 
 
-def _passes(items: DataFrame, item: str, item_text: str) -> Iterator[tuple[Callable[[pa.Array], list], str]]:
+def _passes(items: DataFrame, item: str, item_text: str) -> Iterator[Pass]:
     """For each block of items the step that finds them, and the type of what it gives."""
     known = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
     hits = f"array<struct<item: {known.schema['i'].dataType.simpleString()}, shared: bigint, size: bigint>>"
@@ -194,27 +196,50 @@ def _passes(items: DataFrame, item: str, item_text: str) -> Iterator[tuple[Calla
         yield lambda found, ids=ids, texts=texts: [_block(ids, texts).found(found)], hits
 
 
+Pass = tuple[Callable[[pa.Array], list], str]
+
+
+def _earlier(rows: DataFrame, key: str, text: str, passes: Iterable[Pass]) -> tuple[DataFrame | None, Pass]:
+    """The hits of all passes but the last, and the last pass, which is left to do.
+
+    Hits are key and h (an array, never empty), a row for each pass that finds items in a row.  A pass is over, and its hits
+    are appended to one folder, before the next one begins; ``rows`` are only read.
+    """
+    folder, schema, last = None, None, None
+    for one in passes:
+        if last is not None:
+            found = map_column(rows, [key], text, f"h {last[1]}", last[0], CHUNK).where(F.size("h") > 0)
+            folder, schema = folder or scratch(rows.sparkSession, "hits"), found.schema
+            found.write.mode("append").parquet(folder)
+        last = one
+    return rows.sparkSession.read.schema(schema).parquet(folder) if folder else None, last
+
+
 def mark(df: DataFrame, items: DataFrame, keys: list[str], text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """keys and hits: the items found in every text (item, shared and all distinct shingles of the item)."""
-    if "hits" in keys:
-        raise ValueError("a key named hits would be there twice")
-    out, columns, held = df.select(*dict.fromkeys([*keys, text])), [*dict.fromkeys([*keys, text])], []
-    for step, hits in _passes(items, item, item_text):
-        if held:  # an earlier block: its pass is over before this one begins
-            out = written(out, "marked")
-        out = map_column(out, [*columns, *held], text, f"__new {hits}", step, CHUNK)
-        out = out.select(*columns, (F.concat("__held", "__new") if held else F.col("__new")).alias("__held"))
-        held = ["__held"]
-    return out.select(*keys, F.col("__held").alias("hits"))
+    """keys and hits: the items found in every text (item, shared and all distinct shingles of the item), by item.
+
+    A benchmark of one block needs one pass beside the rows.  With more the rows are numbered and written once, and the hits of
+    earlier blocks, few and without texts, are joined to them by number.
+    """
+    no_clash(keys, ["hits"])
+    passes = _passes(items, item, item_text)
+    first, second = next(passes), next(passes, None)
+    if second is None:
+        return map_column(df, keys, text, f"hits {first[1]}", first[0], CHUNK)
+    rows = written(df.select(F.struct(*keys).alias("__keys"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row")), "numbered")
+    found, (step, hits) = _earlier(rows, "__row", "__text", itertools.chain((first, second), passes))
+    found = written(found.groupBy("__row").agg(F.flatten(F.collect_list("h")).alias("__held")), "found")
+    joined = map_column(rows, ["__keys", "__row"], "__text", f"__new {hits}", step, CHUNK).join(found, "__row", "left")
+    none = F.array().cast(hits)
+    return joined.select("__keys.*", F.array_sort(F.concat(F.coalesce("__held", none), "__new")).alias("hits"))
 
 
 def search(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item found in it: key, item, shared, size, containment."""
-    docs, out = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")), None
-    for step, hits in _passes(items, item, item_text):
-        if out is not None:
-            out = written(out, "found")
-        hit = map_column(docs, ["__key"], "__text", f"__hits {hits}", step, CHUNK).select("__key", F.explode("__hits").alias("h"))
-        out = hit if out is None else out.unionByName(hit)
+    no_clash([key], [item, "shared", "size", "containment"])
+    docs = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    found, (step, hits) = _earlier(docs, "__key", "__text", _passes(items, item, item_text))
+    out = map_column(docs, ["__key"], "__text", f"h {hits}", step, CHUNK)
+    out = (out if found is None else found.unionByName(out)).select("__key", F.explode("h").alias("h"))
     shared, size = F.col("h.shared"), F.col("h.size")
     return out.select(F.col("__key").alias(key), F.col("h.item").alias(item), shared.alias("shared"), size.alias("size"), (shared / size).alias("containment"))

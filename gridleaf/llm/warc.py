@@ -24,8 +24,8 @@ Null and empty URLs have canonical URL null and find nothing (``missing``).  So
 a response without a date is earlier than none.  Repeated
 revisits are resolved each on its own; of repeated responses any one is taken, they are alike.  Dates may
 have any precision from the year on.  Bytes that are not a WARC record, and a cut-off last record, do not stop a
-job: they give a row with ``error`` and nothing else that counts, after the records before them; later gzip members are
-still read.  ``parse`` itself raises ``BadRecord``.  Bodies of any length are hashed whole.  An empty table gives
+job: they give a row with ``error`` and nothing else that counts, after the records before them.  A damaged gzip member gives one
+such row (several in a row give one), and reading goes on where the next whole member begins.  ``parse`` itself raises ``BadRecord``.  Bodies of any length are hashed whole.  An empty table gives
 an empty one.  Only the named columns are read.
 """
 
@@ -109,23 +109,49 @@ def _fields(lines: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def members(content: bytes) -> Iterator[bytes]:
-    """The gzip members of compressed content one by one, or plain content as it is."""
-    if content[:2] != b"\x1f\x8b":
+GZIP = b"\x1f\x8b\x08"
+#: Compressed bytes that are unpacked at once.
+STEP = 1 << 16
+
+
+def _member(content: bytes, at: int) -> tuple[bytes, int] | None:
+    """The gzip member that begins at a place, and where it ends; None if it is damaged or cut off."""
+    unpacker, out = zlib.decompressobj(wbits=31), []
+    try:
+        while not unpacker.eof and at < len(content):
+            out.append(unpacker.decompress(content[at : at + STEP]))
+            at = min(at + STEP, len(content)) - len(unpacker.unused_data)
+    except zlib.error:
+        return None
+    return (b"".join(out), at) if unpacker.eof else None
+
+
+def members(content: bytes) -> Iterator[bytes | BadRecord]:
+    """The gzip members of compressed content one by one, or plain content as it is.
+
+    A damaged member gives an error in its place, and reading goes on at the next place where a whole member begins.
+    """
+    if content[:2] != GZIP[:2]:
         yield content
         return
-    while content:
-        unpacker = zlib.decompressobj(wbits=31)
-        out = unpacker.decompress(content)
-        if not unpacker.eof:
-            raise BadRecord("a cut-off gzip member")
-        yield out
-        content = unpacker.unused_data
+    at = 0
+    while at < len(content):
+        found = _member(content, at)
+        if found is None:
+            yield BadRecord("a damaged or cut-off gzip member")
+            while found is None and (at := content.find(GZIP, at + 1)) >= 0:
+                found = _member(content, at)
+            if found is None:
+                return
+        part, at = found
+        yield part
 
 
 def parse(content: bytes) -> Iterator[Record]:
     """The records of a WARC file, plain or with a gzip member per record."""
     for part in members(content):
+        if isinstance(part, BadRecord):
+            raise part
         stream = io.BytesIO(part)
         while line := stream.readline():
             if not line.strip():
@@ -178,16 +204,14 @@ def record_row(record: Record) -> tuple:
 
 
 def record_rows(content: bytes) -> Iterator[tuple]:
-    """``record_row`` of all records of a file; one with ``error`` for what cannot be read."""
-    parts = members(content)
-    while True:
+    """``record_row`` of all records of a file; one with ``error`` for each member that cannot be read on."""
+    for part in members(content):
         try:
-            part = next(parts, None)
-            if part is None:
-                return
+            if isinstance(part, BadRecord):
+                raise part
             for record in parse(part):
                 yield record_row(record)
-        except (BadRecord, zlib.error) as e:
+        except BadRecord as e:
             yield (*[None] * 9, str(e), None)
 
 

@@ -595,6 +595,26 @@ def test_search_against_brute_force(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.search(df, named).collect()} == {(d, f"item {i}") for d, i in want}
 
 
+def test_three_blocks_write_texts_once(spark, monkeypatch):
+    """However many blocks a benchmark has, the rows are written once and their hits without texts."""
+    docs = [(i % 7 if i % 5 else None, " ".join(f"w{(i * j) % 97}" for j in range(60)), i) for i in range(1, 90)] + [(5, None, 0), (5, "", 0)]
+    items = [(i, " ".join(t.split()[10:20])) for i, t, _ in docs[:40] if t] + [(100 + i, docs[i][1]) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, __held long").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, decontaminate.mark(df, bench, ["doc_id", "text", "__held"]).collect()))
+    known = bench.where("text is not null").distinct().count()
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", -(-known // 3))
+    made, kept = [], decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda rows, name: made.append((name, rows.columns)) or kept(rows, name))
+    several = decontaminate.mark(df, bench, ["doc_id", "text", "__held"])
+    assert len(list(decontaminate._passes(bench, "item_id", "text"))) == 3
+    assert [n for n, columns in made if "__text" in columns] == ["numbered"] and len(made) == 2
+    assert sorted(map(str, several.collect())) == want
+    rows = sorted(str((r["doc_id"], r["item_id"], r["shared"])) for r in decontaminate.search(df, bench).collect())
+    assert rows == sorted(str((r["doc_id"], h["item"], h["shared"])) for r in several.collect() for h in r["hits"])
+    assert [name for name, _ in made] == ["numbered", "found"]
+
+
 def test_large_benchmark(spark):
     """50,000 items go out in several blocks; what a block hands to the executors is its texts."""
     rng = random.Random(2)

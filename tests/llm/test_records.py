@@ -11,6 +11,9 @@ from gridleaf.llm import chat, warc
 from gridleaf.llm import queries as q
 from tests.compare import check
 
+#: What a gzip member begins with, as characters of Latin-1.
+GZIP_LIKE = "\x1f\x8b\x08"
+
 
 # Chat.
 
@@ -213,6 +216,34 @@ def test_bad_records_stop_nothing(spark):
     assert warc.resolve(warc.records(df)).count() == 0
 
 
+@pytest.mark.parametrize("harm", ["middle", "cut", "head", "two"])
+def test_members_after_a_damaged_one_are_read(harm):
+    files = [warc.Record([("WARC-Type", "metadata"), ("WARC-Record-ID", f"<urn:{i}>")], f"block {i} {GZIP_LIKE * i}".encode("latin-1") * 50).to_bytes(True) for i in range(5)]
+    third = bytearray(files[2])
+    if harm == "middle":
+        third[len(third) // 2] ^= 0xFF
+    elif harm == "cut":
+        del third[len(third) // 2 :]
+    elif harm == "head":
+        third[3] = 0xFF
+    else:
+        third[-6] ^= 0xFF  # its checksum
+        files[3] = files[3][:-9]
+    files[2] = bytes(third)
+    rows = list(warc.record_rows(b"".join(files)))
+    lost = (2, 3) if harm == "two" else (2,)
+    assert [r[0] for r in rows] == [f"<urn:{i}>" if i not in lost else None for i in range(5) if i != 3 or harm != "two"]
+    assert [r[9] is not None for r in rows] == [r[0] is None for r in rows]
+    with pytest.raises(warc.BadRecord):
+        list(warc.parse(b"".join(files)))
+
+
+def test_last_member_cut_off():
+    files = [warc.Record([("WARC-Record-ID", f"<urn:{i}>")], b"x" * 500).to_bytes(True) for i in range(3)]
+    rows = list(warc.record_rows(b"".join(files)[:-20]))
+    assert [r[0] for r in rows] == ["<urn:0>", "<urn:1>", None]
+
+
 def test_bodies_of_resolved_revisits(spark):
     raw = b"".join(q.page_archive((f"<p>{i}</p>", i, "http://a.com/5")) for i in (5, 6, 7))
     found = warc.records(spark.createDataFrame([(bytearray(raw),)], "content binary"), bodies=True)

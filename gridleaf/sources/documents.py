@@ -22,6 +22,7 @@ from gridleaf.functions.entities import strip
 from gridleaf.operators.detect import enhance, image_dict, quality
 from gridleaf.schema import IMAGE, METRICS, struct
 from gridleaf.sources import pdf, scans
+from gridleaf.sources.filters import unfilter_rows
 
 DEFAULT_DPI = 300
 
@@ -58,7 +59,7 @@ def read_png(content: bytes) -> np.ndarray:
         raise BadDocument("only 8-bit gray and colour without interlacing")
     width, height, n = head[0], head[1], {0: 1, 2: 3, 4: 2, 6: 4}[head[3]]
     try:
-        pixels = scans.unfilter_rows(zlib.decompress(data), height, width * n, n).reshape(height, width, n)
+        pixels = unfilter_rows(zlib.decompress(data), height, width * n, n).reshape(height, width, n)
     except (ValueError, zlib.error) as e:  # fewer or other bytes than the head says
         raise BadDocument(str(e)) from e
     return pixels[:, :, 0].copy() if n < 3 else pixels[:, :, 2::-1].copy()
@@ -99,7 +100,7 @@ class SimplePdf:
     """Pages, sizes and text of PDF files, images of scanned pages."""
 
     def __call__(self, content: bytes) -> list[DecodedPage]:
-        if content[:4] != b"%PDF":
+        if b"%PDF" not in content[:1024]:
             raise BadDocument("not a PDF")
         try:
             found = pdf.Pdf(content)

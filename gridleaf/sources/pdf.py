@@ -1,7 +1,8 @@
-"""Structure, sizes and text of PDF files: values, object streams, fonts with ToUnicode maps.
+"""Structure, sizes and text of PDF files: values, versions of objects, object streams, fonts with ToUnicode maps.
 
-Objects are found by scanning, so a damaged cross-reference table does not matter; the last
-definition of a number counts.  Objects packed in object streams (PDF 1.5) are unpacked.
+Objects are found by the cross-reference sections, from the last update back to the first, so that each
+has its last version and deleted ones are gone.  In a file whose sections are damaged objects are found by
+scanning; then the last definition of a number counts.  Objects packed in object streams (PDF 1.5) are unpacked.
 Nothing is drawn here (see ``scans``).  Encrypted files are refused.
 """
 
@@ -9,12 +10,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-
-class Unreadable(ValueError):
-    """Bytes that are no PDF value."""
+from gridleaf.sources.filters import Unreadable, hexadecimal, unpacked
 
 
 class Name(str):
@@ -35,17 +34,23 @@ class Stream:
     attributes: dict
     raw: bytes = field(repr=False)
 
-    def data(self, resolve) -> bytes:
+    def kinds(self, resolve) -> list[str]:
+        """The filters, the outermost first."""
         kinds = resolve(self.attributes.get("Filter")) or []
+        return [resolve(k) for k in (kinds if isinstance(kinds, list) else [kinds])]
+
+    def parameters(self, resolve) -> list[dict]:
+        """For each filter its parameters."""
+        held = resolve(self.attributes.get("DecodeParms")) or {}
+        held = [resolve(h) or {} for h in (held if isinstance(held, list) else [held])]
+        kinds = self.kinds(resolve)
+        return [{k: resolve(v) for k, v in (held[i] if i < len(held) and isinstance(held[i], dict) else {}).items()} for i in range(len(kinds))]
+
+    def data(self, resolve, shape: dict | None = None) -> bytes:
+        """Bytes without filters; ``shape`` (Columns, Colors, BitsPerComponent) is that of an image, whatever its parameters say."""
         out = self.raw
-        for kind in kinds if isinstance(kinds, list) else [kinds]:
-            kind = resolve(kind)
-            if kind == "FlateDecode":
-                out = zlib.decompressobj().decompress(out)
-            elif kind == "ASCIIHexDecode":
-                out = _hex(out.split(b">")[0])
-            else:
-                raise Unreadable(f"filter {kind}")
+        for kind, parameters in zip(self.kinds(resolve), self.parameters(resolve), strict=True):
+            out = unpacked(kind, out, parameters | (shape or {}))
         return out
 
 
@@ -57,11 +62,6 @@ _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\
 _END = object()
 
 
-def _hex(digits: bytes) -> bytes:
-    digits = re.sub(rb"[^0-9A-Fa-f]", b"", digits)
-    return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-
-
 def _string(data: bytes, at: int) -> tuple[bytes, int]:
     out, depth = [], 1
     while found := _STRING_PART.match(data, at):
@@ -99,7 +99,7 @@ def value(data: bytes, at: int = 0, depth: int = 0) -> tuple[object, int]:
         end = data.find(b">", at)
         if end < 0:
             raise Unreadable("a string without an end")
-        return _hex(data[at + 1 : end]), end + 1
+        return hexadecimal(data[at + 1 : end]), end + 1
     if lead == b"/":
         found = _PLAIN.match(data, at + 1)
         raw = re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes.fromhex(m[1].decode()), found[0]) if found else b""
@@ -191,49 +191,203 @@ class Cmap:
         return "".join(out)
 
 
+_OBJECT = re.compile(rb"(\d{1,10})[\0\t\n\f\r ]+\d+[\0\t\n\f\r ]+obj(?![A-Za-z])")
+_STREAM = re.compile(rb"[\0\t\n\f\r ]*stream(\r\n|\n|\r)")
+_END_STREAM = re.compile(rb"[\r\n ]*endstream")
+
+
+def object_at(content: bytes, at: int, resolve: Callable[[object], object]) -> object:
+    """The value or stream that stands after ``n g obj``."""
+    item, at = value(content, at)
+    start = _STREAM.match(content, at)
+    if not start or not isinstance(item, dict):
+        return item
+    size = resolve(item.get("Length"))
+    end = start.end() + size if isinstance(size, int) else -1
+    if end < 0 or not _END_STREAM.match(content, end):
+        end = content.find(b"endstream", start.end())
+        end = len(content) if end < 0 else end
+    return Stream(item, content[start.end() : end])
+
+
+@dataclass(frozen=True)
+class Entry:
+    """Where a version of an object is: at an offset, or in an object stream at a place; nowhere if it is free."""
+
+    offset: int | None = None
+    stream: int | None = None
+    place: int = 0
+
+
+class Index:
+    """The cross-reference sections of a file from the last one back: of each object the newest entry counts.
+
+    Sections are tables, streams, or tables with a stream beside them (hybrid files).  Any damage is an error; then the file can
+    still be scanned.
+    """
+
+    def __init__(self, content: bytes):
+        self.content, self.base = content, max(0, content.find(b"%PDF-"))
+        self.entries: dict[int, Entry] = {}
+        self.trailer: dict = {}
+        last = None
+        for last in re.finditer(rb"startxref[\0\t\n\f\r ]+(\d+)", content):
+            pass
+        if last is None:
+            raise Unreadable("no startxref")
+        next_one, seen = int(last[1]), set()
+        while next_one is not None:
+            if next_one in seen:
+                raise Unreadable("sections in a circle")
+            seen.add(next_one)
+            entries, trailer = self._section(next_one)
+            beside = trailer.get("XRefStm")
+            if isinstance(beside, int):  # what it holds is free in the table
+                entries = entries | {n: e for n, e in self._section(beside)[0].items() if entries.get(n, Entry()) == Entry()}
+            self.entries = entries | self.entries
+            self.trailer = trailer | self.trailer
+            next_one = trailer.get("Prev")
+            if not isinstance(next_one, int | None):
+                raise Unreadable("no place of a section")
+        for number, entry in self.entries.items():
+            if entry.offset is not None:
+                found = _OBJECT.match(content, self.base + entry.offset)
+                if not found or int(found[1]) != number:
+                    raise Unreadable(f"object {number} is not where it should be")
+
+    def _section(self, at: int) -> tuple[dict[int, Entry], dict]:
+        at = _BLANK.match(self.content, self.base + at).end()
+        if self.content.startswith(b"xref", at):
+            return self._table(at + 4)
+        found = _OBJECT.match(self.content, at)
+        stream = object_at(self.content, found.end(), lambda x: x) if found else None
+        if not isinstance(stream, Stream) or stream.attributes.get("Type") != "XRef":
+            raise Unreadable("no cross-reference section")
+        return self._stream(stream), stream.attributes
+
+    def _table(self, at: int) -> tuple[dict[int, Entry], dict]:
+        entries: dict[int, Entry] = {}
+        head = re.compile(rb"[\0\t\n\f\r ]*(\d+)[ \t]+(\d+)[ \t]*[\r\n]+")
+        row = re.compile(rb"[\0\t\n\f\r ]*(\d{1,10})[ \t]+(\d{1,5})[ \t]+([nf])")
+        while found := head.match(self.content, at):
+            first, n, at = int(found[1]), int(found[2]), found.end()
+            for number in range(first, first + n):
+                if not (line := row.match(self.content, at)):
+                    raise Unreadable("a cut-off cross-reference table")
+                entries[number] = Entry(offset=int(line[1])) if line[3] == b"n" else Entry()
+                at = line.end()
+        at = _BLANK.match(self.content, at).end()
+        trailer = value(self.content, at + 7)[0] if self.content.startswith(b"trailer", at) else None
+        if not isinstance(trailer, dict):
+            raise Unreadable("no trailer")
+        return entries, trailer
+
+    @staticmethod
+    def _stream(stream: Stream) -> dict[int, Entry]:
+        data, widths = stream.data(lambda x: x), stream.attributes.get("W")
+        if not isinstance(widths, list) or len(widths) != 3 or not all(isinstance(w, int) and 0 <= w <= 8 for w in widths):
+            raise Unreadable("no widths of a cross-reference stream")
+        spans = stream.attributes.get("Index") or [0, stream.attributes.get("Size")]
+        entries, at = {}, 0
+        for first, n in zip(spans[::2], spans[1::2], strict=True):
+            for number in range(first, first + n):
+                fields = []
+                for k, width in enumerate(widths):
+                    fields.append(int.from_bytes(data[at : at + width]) if width else int(k == 0))
+                    at += width
+                if at > len(data):
+                    raise Unreadable("a cut-off cross-reference stream")
+                kind, a, b = fields
+                entries[number] = Entry(offset=a) if kind == 1 else Entry(stream=a, place=b) if kind == 2 else Entry()
+        return entries
+
+
 class Pdf:
-    """The objects of a file."""
+    """The objects of a file, each in its last version, read when they are asked for."""
 
     def __init__(self, content: bytes):
+        self.content = content
         self.objects: dict[int, object] = {}
+        self.index: Index | None = None
+        self._packed: dict[int, list[tuple[int, object]]] = {}
+        try:
+            self.index = Index(content)
+            if "Encrypt" not in self.index.trailer and not isinstance(self._root(), dict):
+                raise Unreadable("no root of the pages")
+        except (ValueError, TypeError, zlib.error, RecursionError):  # damaged: objects are found one by one
+            self.index = None
+            self.objects.clear()
+            self._scan(content)
+        encrypted = re.search(rb"/Encrypt[\0\t\n\f\r ]+\d+[\0\t\n\f\r ]+\d+[\0\t\n\f\r ]+R", content) if self.index is None else "Encrypt" in self.index.trailer
+        if encrypted:
+            raise Unreadable("encrypted")
+
+    def _scan(self, content: bytes) -> None:
+        """All objects by their looks; the last definition of a number counts, packed or not."""
+        at_of: dict[int, int] = {}
         packed = []
-        for found in re.finditer(rb"(?<!\d)(\d{1,10})[\0\t\n\f\r ]+\d+[\0\t\n\f\r ]+obj(?![A-Za-z])", content):
+        for found in re.finditer(rb"(?<!\d)" + _OBJECT.pattern, content):
             try:
-                item, at = value(content, found.end())
+                item = object_at(content, found.end(), lambda x: x)
             except Unreadable:
                 continue
-            start = re.compile(rb"[\0\t\n\f\r ]*stream(\r\n|\n|\r)").match(content, at)
-            if start and isinstance(item, dict):
-                size = item.get("Length")
-                end = start.end() + size if isinstance(size, int) else -1
-                if end < 0 or not re.compile(rb"[\r\n ]*endstream").match(content, end):
-                    end = content.find(b"endstream", start.end())
-                    end = len(content) if end < 0 else end
-                item = Stream(item, content[start.end() : end])
-                if item.attributes.get("Type") == "ObjStm":
-                    packed.append(item)
-            self.objects[int(found[1])] = item
-        for stream in packed:
-            data = stream.data(self.of)
-            first, n = self.of(stream.attributes.get("First")), self.of(stream.attributes.get("N"))
-            head = [x for x in values(data[:first]) if isinstance(x, int)]
-            for number, at in zip(head[: 2 * n : 2], head[1 : 2 * n : 2], strict=False):
-                self.objects[number] = value(data, first + at)[0]
-        if re.search(rb"/Encrypt[\0\t\n\f\r ]+\d+[\0\t\n\f\r ]+\d+[\0\t\n\f\r ]+R", content):
-            raise Unreadable("encrypted")
+            if isinstance(item, Stream) and item.attributes.get("Type") == "ObjStm":
+                packed.append((found.start(), item))
+            self.objects[int(found[1])], at_of[int(found[1])] = item, found.start()
+        for at, stream in packed:
+            for number, item in self._unpack(stream):
+                if at >= at_of.get(number, -1):
+                    self.objects[number], at_of[number] = item, at
+
+    def _unpack(self, stream: Stream) -> list[tuple[int, object]]:
+        """Numbers and values of an object stream."""
+        data = stream.data(self.of)
+        first, n = self.of(stream.attributes.get("First")), self.of(stream.attributes.get("N"))
+        if not isinstance(first, int) or not isinstance(n, int):
+            raise Unreadable("an object stream without a head")
+        head = [x for x in values(data[:first]) if isinstance(x, int)]
+        return [(number, value(data, first + at)[0]) for number, at in zip(head[: 2 * n : 2], head[1 : 2 * n : 2], strict=False)]
+
+    def _object(self, number: int) -> object:
+        if number in self.objects or self.index is None:
+            return self.objects.get(number)
+        entry, found = self.index.entries.get(number, Entry()), None
+        self.objects[number] = None  # what refers to itself is nothing
+        if entry.offset is not None:
+            start = _OBJECT.match(self.content, self.index.base + entry.offset)
+            found = object_at(self.content, start.end(), self.of)
+        elif entry.stream is not None:
+            if entry.stream not in self._packed:
+                stream = self.of(Ref(entry.stream))
+                self._packed[entry.stream] = self._unpack(stream) if isinstance(stream, Stream) else []
+            held = self._packed[entry.stream]
+            found = held[entry.place][1] if entry.place < len(held) and held[entry.place][0] == number else dict(held).get(number)
+        self.objects[number] = found
+        return found
 
     def of(self, item: object) -> object:
         """What a reference stands for."""
         for _ in range(32):
             if not isinstance(item, Ref):
                 return item
-            item = self.objects.get(item.number)
+            item = self._object(item.number)
         return None
 
+    def _root(self) -> object:
+        root = self.of(self.index.trailer.get("Root"))
+        return self.of(root.get("Pages")) if isinstance(root, dict) else None
+
     def pages(self) -> list[dict]:
-        """Pages in reading order: down the tree from its root; any that no tree holds come last."""
-        numbers = {n: o for n, o in self.objects.items() if isinstance(o, dict)}
-        roots = [o for o in numbers.values() if o.get("Type") == "Pages" and "Parent" not in o]
+        """Pages in reading order: down the tree from its root.
+
+        In a file without a sound index all trees count, and pages that no tree holds come last.
+        """
+        if self.index is not None:
+            roots, loose = [self._root()], []
+        else:
+            numbers = {n: o for n, o in self.objects.items() if isinstance(o, dict)}
+            roots = [o for o in numbers.values() if o.get("Type") == "Pages" and "Parent" not in o]
+            loose = [o for _, o in sorted(numbers.items()) if o.get("Type") == "Page"]
         out: list[dict] = []
         seen: set[int] = set()
 
@@ -242,14 +396,15 @@ class Pdf:
             if not isinstance(item, dict) or id(item) in seen or depth > 60:
                 return
             seen.add(id(item))
-            if item.get("Type") == "Page":
+            kids = self.of(item.get("Kids"))
+            if self.of(item.get("Type")) == "Page" or (kids is None and self.index is not None):
                 out.append(item)
-            for kid in self.of(item.get("Kids")) or []:
+            for kid in kids if isinstance(kids, list) else []:
                 walk(kid, depth + 1)
 
         for root in roots:
             walk(root, 0)
-        return out + [o for _, o in sorted(numbers.items()) if o.get("Type") == "Page" and id(o) not in seen]
+        return out + [o for o in loose if id(o) not in seen]
 
     def inherited(self, page: dict, name: str) -> object:
         for _ in range(64):

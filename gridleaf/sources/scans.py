@@ -12,46 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from gridleaf.sources.pdf import Name, Pdf, Stream, Unreadable, Word, values
+from gridleaf.sources.pdf import Name, Pdf, Stream, Word, values
 
+#: Filters that give back the samples of an image.
+PLAIN = frozenset(("FlateDecode", "LZWDecode", "ASCIIHexDecode", "ASCII85Decode", "RunLengthDecode"))
 #: Operators that paint or clip, other than by an image or by text.
 _OTHER_MARKS = frozenset("S s f F f* B B* b b* sh W W* BI".split())
 _INVISIBLE = 3
 Matrix = tuple[float, float, float, float, float, float]
 
 
-def unfilter(kind: int, raw: np.ndarray, above: np.ndarray, n: int) -> np.ndarray:
-    """A row of PNG data (n bytes a pixel) without its filter."""
-    if kind == 0:
-        return raw.copy()
-    if kind == 2:
-        return raw + above
-    if kind == 1:
-        return np.cumsum(raw.reshape(-1, n), axis=0, dtype=np.uint8).ravel()
-    line, up = bytearray(raw.tobytes()), above.tolist()
-    for i in range(len(line)):
-        left, corner = (line[i - n], up[i - n]) if i >= n else (0, 0)
-        if kind == 3:
-            guess = (left + up[i]) // 2
-        elif kind == 4:
-            p = left + up[i] - corner
-            guess = min(((abs(p - left), 0, left), (abs(p - up[i]), 1, up[i]), (abs(p - corner), 2, corner)))[2]
-        else:
-            raise Unreadable("unknown filter of a row")
-        line[i] = (line[i] + guess) & 255
-    return np.frombuffer(bytes(line), dtype=np.uint8)
-
-
-def unfilter_rows(data: bytes, height: int, stride: int, n: int) -> np.ndarray:
-    """(height, stride) bytes of rows that each begin with the kind of their filter."""
-    rows = np.frombuffer(data, dtype=np.uint8, count=height * (1 + stride)).reshape(height, 1 + stride)
-    out = np.zeros((height, stride), dtype=np.uint8)
-    above = np.zeros(stride, dtype=np.uint8)
-    for y in range(height):
-        above = out[y] = unfilter(int(rows[y, 0]), rows[y, 1:], above, n)
-    return out
-
-
 def _times(m: Matrix, by: Matrix) -> Matrix:
     a, b, c, d, e, f = m
     p, q, r, s, t, u = by
@@ -65,17 +35,14 @@ class Placed:
     stream: Stream
     channels: int
     bits: int
-    predictor: int
     inverted: bool
     box: tuple[float, float, float, float]
 
     def pixels(self, pdf: Pdf) -> np.ndarray:
         width, height = (pdf.of(self.stream.attributes[k]) for k in ("Width", "Height"))
-        data, stride = self.stream.data(pdf.of), (width * self.channels * self.bits + 7) // 8
-        if self.predictor >= 10:
-            rows = unfilter_rows(data, height, stride, max(1, self.channels * self.bits // 8))
-        else:
-            rows = np.frombuffer(data, dtype=np.uint8, count=height * stride).reshape(height, stride)
+        shape = {"Columns": width, "Colors": self.channels, "BitsPerComponent": self.bits}
+        data, stride = self.stream.data(pdf.of, shape), (width * self.channels * self.bits + 7) // 8
+        rows = np.frombuffer(data, dtype=np.uint8, count=height * stride).reshape(height, stride)
         if self.bits == 1:
             rows = np.unpackbits(rows, axis=1)[:, :width] * np.uint8(255)
         image = rows if self.channels == 1 else rows.reshape(height, width, 3)[:, :, ::-1]
@@ -96,20 +63,15 @@ def _image(pdf: Pdf, item: object, m: Matrix) -> Placed | None:
     if not isinstance(item, Stream) or pdf.of(item.attributes.get("Subtype")) != "Image":
         return None
     own = {k: pdf.of(v) for k, v in item.attributes.items()}
-    kinds, parameters = own.get("Filter") or [], own.get("DecodeParms") or {}
-    kinds = [pdf.of(k) for k in (kinds if isinstance(kinds, list) else [kinds])]
-    if isinstance(parameters, list):
-        parameters = (pdf.of(parameters[0]) if len(parameters) == 1 else None) or {}
     channels, bits, (a, b, c, d, e, f) = _channels(pdf, own.get("ColorSpace")), own.get("BitsPerComponent"), m
     decode = [pdf.of(x) for x in own.get("Decode") or [0, 1] * (channels or 0)]
-    predictor = pdf.of(parameters.get("Predictor", 1)) if isinstance(parameters, dict) else None
-    plain = kinds in ([], ["FlateDecode"]) and isinstance(predictor, int) and (predictor == 1 or predictor >= 10)
+    plain = set(item.kinds(pdf.of)) <= PLAIN
     shown = channels is not None and (bits == 8 or (bits == 1 and channels == 1)) and decode in ([0, 1] * channels, [1, 0] * channels)
     sized = all(isinstance(own.get(k), int) and own[k] > 0 for k in ("Width", "Height"))
     masked = bool(own.get("ImageMask")) or own.get("SMask") is not None or own.get("Mask") is not None
     if not (plain and shown and sized) or masked or b or c or not a or not d:
         return None
-    return Placed(item, channels, bits, predictor, decode[0] == 1, (e, f, e + a, f + d))
+    return Placed(item, channels, bits, decode[0] == 1, (e, f, e + a, f + d))
 
 
 def placed_images(pdf: Pdf, page: dict) -> list[Placed] | None:

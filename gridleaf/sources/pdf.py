@@ -46,6 +46,13 @@ class Stream:
         kinds = self.kinds(resolve)
         return [{k: resolve(v) for k, v in (held[i] if i < len(held) and isinstance(held[i], dict) else {}).items()} for i in range(len(kinds))]
 
+    def before_last(self, resolve) -> tuple[bytes, dict]:
+        """Bytes as the last filter takes them, and its parameters."""
+        kinds, parameters, out = self.kinds(resolve), self.parameters(resolve), self.raw
+        for kind, own in zip(kinds[:-1], parameters[:-1], strict=True):
+            out = unpacked(kind, out, own)
+        return out, parameters[-1]
+
     def data(self, resolve, shape: dict | None = None) -> bytes:
         """Bytes without filters; ``shape`` (Columns, Colors, BitsPerComponent) is that of an image, whatever its parameters say."""
         out = self.raw

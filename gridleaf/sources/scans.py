@@ -1,7 +1,7 @@
 """Pages of scanned PDF files: a page that shows nothing but images is drawn from them.
 
 A page is such a scan if it shows at least one image, upright, and otherwise only invisible text.
-Images are gray or colour of 8 bits or black and white of 1 bit, packed by deflate or not at all.
+Images are gray or colour of 8 bits or black and white of 1 bit, packed by any of the plain filters, as JPEG or as fax.
 Pages with lines, visible text, forms, clipping, masks, a turned page or any other image are no scans; they
 are not drawn at all, so no image of a page ever lacks a part of it.  What no image covers is white.
 """
@@ -12,10 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from gridleaf.sources import fax, jpeg
+from gridleaf.sources.filters import Unreadable
 from gridleaf.sources.pdf import Name, Pdf, Stream, Word, values
 
 #: Filters that give back the samples of an image.
 PLAIN = frozenset(("FlateDecode", "LZWDecode", "ASCIIHexDecode", "ASCII85Decode", "RunLengthDecode"))
+#: Filters of a kind of image each.
+IMAGES = frozenset(("DCTDecode", "CCITTFaxDecode"))
+
 #: Operators that paint or clip, other than by an image or by text.
 _OTHER_MARKS = frozenset("S s f F f* B B* b b* sh W W* BI".split())
 _INVISIBLE = 3
@@ -35,11 +40,27 @@ class Placed:
     stream: Stream
     channels: int
     bits: int
+    #: The filter that makes it an image by itself, if there is one.
+    kind: str | None
     inverted: bool
     box: tuple[float, float, float, float]
 
     def pixels(self, pdf: Pdf) -> np.ndarray:
         width, height = (pdf.of(self.stream.attributes[k]) for k in ("Width", "Height"))
+        if self.kind == "DCTDecode":
+            data, parameters = self.stream.before_last(pdf.of)
+            image = jpeg.decode(data, parameters.get("ColorTransform"))
+            if image.shape != ((height, width) if self.channels == 1 else (height, width, 3)):
+                raise Unreadable("a JPEG of another size or number of colours")
+            image = image if self.channels == 1 else image[:, :, ::-1]
+            return 255 - image if self.inverted else image
+        if self.kind == "CCITTFaxDecode":
+            data, own = self.stream.before_last(pdf.of)
+            rows = fax.decode(data, own.get("Columns", 1728), height, own.get("K", 0), bool(own.get("EncodedByteAlign")), bool(own.get("BlackIs1")), own.get("EndOfBlock") is not False)
+            if rows.shape[1] != width:
+                raise Unreadable("a fax of another width")
+            image = rows * np.uint8(255)
+            return 255 - image if self.inverted else image
         shape = {"Columns": width, "Colors": self.channels, "BitsPerComponent": self.bits}
         data, stride = self.stream.data(pdf.of, shape), (width * self.channels * self.bits + 7) // 8
         rows = np.frombuffer(data, dtype=np.uint8, count=height * stride).reshape(height, stride)
@@ -65,13 +86,15 @@ def _image(pdf: Pdf, item: object, m: Matrix) -> Placed | None:
     own = {k: pdf.of(v) for k, v in item.attributes.items()}
     channels, bits, (a, b, c, d, e, f) = _channels(pdf, own.get("ColorSpace")), own.get("BitsPerComponent"), m
     decode = [pdf.of(x) for x in own.get("Decode") or [0, 1] * (channels or 0)]
-    plain = set(item.kinds(pdf.of)) <= PLAIN
+    kinds = item.kinds(pdf.of)
+    kind = kinds.pop() if kinds and kinds[-1] in IMAGES else None
+    plain = set(kinds) <= PLAIN and (kind is None or bits == (8 if kind == "DCTDecode" else 1))
     shown = channels is not None and (bits == 8 or (bits == 1 and channels == 1)) and decode in ([0, 1] * channels, [1, 0] * channels)
     sized = all(isinstance(own.get(k), int) and own[k] > 0 for k in ("Width", "Height"))
     masked = bool(own.get("ImageMask")) or own.get("SMask") is not None or own.get("Mask") is not None
     if not (plain and shown and sized) or masked or b or c or not a or not d:
         return None
-    return Placed(item, channels, bits, decode[0] == 1, (e, f, e + a, f + d))
+    return Placed(item, channels, bits, kind, decode[0] == 1, (e, f, e + a, f + d))
 
 
 def placed_images(pdf: Pdf, page: dict) -> list[Placed] | None:

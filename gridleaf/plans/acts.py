@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridleaf.functions.entities import largest_free_space
-from gridleaf.plans.store import ProcessStore
+from gridleaf.plans.store import ProcessStore, kept
 from gridleaf.schema import ENTRY
 from gridleaf.sources.documents import decode_base64, encode_base64, valid_pdf
 
@@ -60,14 +60,18 @@ def submit(requests: DataFrame) -> DataFrame:
 
 
 def submit_all(requests: DataFrame, store: ProcessStore, parse: Callable[[DataFrame], DataFrame], now: Column | None = None) -> DataFrame:
-    """Check, parse and store documents: ``requests`` with accepted and process_id, null where nothing was stored.
+    """Check, parse and store documents: ``requests`` without the document, with accepted and process_id, null where nothing was stored.
 
-    ``parse`` adds ``structure``, the act as text, to the accepted ones.
+    ``parse`` adds ``structure``, the act as text, to the accepted ones.  Each request has an answer and a process of its own, whatever
+    its other columns hold: the id is drawn beside the request, both are written once, and store and answer are read from there.
     """
     key = [c for c in requests.columns if c != "document"]
     checked = submit(requests)
-    stored = store.create(parse(checked.where("accepted")).select(*key, "pdf", "structure"), now)
-    return checked.select(*key, "accepted").join(stored.select(*key, "process_id"), key, "left")
+    parsed = parse(checked.where("accepted")).select(*key, "accepted", "pdf", F.expr("uuid()").alias("process_id"), F.col("structure").cast("string").alias("structure"))
+    refused = checked.where(~F.col("accepted")).select(*key, "accepted", *(F.lit(None).cast(t).alias(c) for c, t in (("pdf", "binary"), ("process_id", "string"), ("structure", "string"))))
+    answered = kept(parsed.unionByName(refused), "requests")
+    store.put(answered.where("accepted").select("process_id", "pdf", "structure"), now)
+    return answered.select(*key, "accepted", "process_id")
 
 
 def status(requested: DataFrame, store: DataFrame, entries: DataFrame) -> DataFrame:

@@ -924,7 +924,7 @@ def submitted(spark: SparkSession, sf: str) -> tuple[store.ProcessStore, DataFra
     return held, kept(acts.submit_all(asked, held, parse), "submitted")
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS accepted, CASE WHEN doc_id % 2 = 0 THEN 36 END::BIGINT AS id_length, CASE WHEN doc_id % 2 = 0 THEN md5('%PDF' || coalesce(text, '')) END AS pdf_md5 FROM documents")
+@query("SELECT doc_id, there AS accepted, CASE WHEN there THEN 36 END::BIGINT AS id_length, CASE WHEN there THEN md5('%PDF' || coalesce(text, '')) END AS pdf_md5 FROM (SELECT *, coalesce(doc_id, 0) % 2 = 0 AS there FROM documents)")
 def process_create(spark, sf):
     """Documents submitted under new ids and read back from the store."""
     held, given = submitted(spark, sf)
@@ -932,17 +932,17 @@ def process_create(spark, sf):
     return back.select("doc_id", "accepted", F.length("process_id").cast("bigint").alias("id_length"), F.md5("pdf").alias("pdf_md5"))
 
 
-@query("SELECT doc_id, doc_id % 4 <> 0 AS found FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT doc_id, coalesce(doc_id, 0) % 4 <> 0 AS found FROM documents WHERE coalesce(doc_id, 0) % 2 = 0")
 def process_delete(spark, sf):
     """Every second process deleted, twice; the others are still found."""
     held, given = submitted(spark, sf)
     ids = given.where("process_id is not null")
     for _ in range(2):
-        held.delete(ids.where("doc_id % 4 = 0"))
+        held.delete(ids.where("coalesce(doc_id, 0) % 4 = 0"))
     return ids.join(held.get(ids.select("process_id")), "process_id").select("doc_id", F.col("pdf").isNotNull().alias("found"))
 
 
-@query("""WITH d AS (SELECT doc_id, text FROM documents), k AS (SELECT doc_id, doc_id % 2 = 0 AS there, text FROM d)
+@query("""WITH d AS (SELECT doc_id, text FROM documents), k AS (SELECT doc_id, coalesce(doc_id, 0) % 2 = 0 AS there, text FROM d)
 SELECT doc_id, CASE WHEN there THEN 200 ELSE 404 END::BIGINT AS status, CASE WHEN there THEN 'seller ' || doc_id END AS seller, CASE WHEN there THEN octet_length(encode('%PDF' || coalesce(text, '')))::BIGINT END AS size FROM k""")
 def act_flow(spark, sf):
     """Submit, ask for the status, and take the document back; documents that were not accepted ask for an unknown process."""

@@ -104,6 +104,24 @@ def test_submit(spark):
     assert [r["accepted"] for r in rows] == [True, False] and bytes(rows[0]["pdf"])[:4] == b"%PDF" and rows[1]["pdf"] is None
 
 
+def test_each_request_has_one_answer(spark, tmp_path):
+    """Requests alike in all columns, and requests without an id, are each stored and answered for themselves."""
+    good, bad = "JVBERi0xLjc=", "R0lGOA=="
+    asked = [(1, good), (1, good), (1, bad), (None, good), (None, good), (None, bad), (2, None)]
+    store = ProcessStore(spark, str(tmp_path / "s"))
+    requests = spark.createDataFrame(asked, "doc_id long, document string").repartition(3)
+    given = acts.submit_all(requests, store, lambda r: r.withColumn("structure", F.concat(F.lit("act "), F.coalesce("doc_id", F.lit(-1)))))
+    assert given.columns == ["doc_id", "accepted", "process_id"]
+    rows = given.collect()
+    assert sorted(str((r["doc_id"], r["accepted"])) for r in rows) == sorted(str((k, c == good)) for k, c in asked)
+    ids = [r["process_id"] for r in rows if r["accepted"]]
+    assert len(set(ids)) == len(ids) == 4 and all(r["process_id"] is None for r in rows if not r["accepted"])
+    back = {r["process_id"]: (bytes(r["pdf"])[:4], r["structure"]) for r in store.get(given.where("accepted").select("process_id")).collect()}
+    assert back == {r["process_id"]: (b"%PDF", f"act {-1 if r['doc_id'] is None else 1}") for r in rows if r["accepted"]}
+    assert store.events().count() == 4 and sorted(r["process_id"] or "" for r in given.collect()) == sorted(r["process_id"] or "" for r in rows)
+    assert acts.submit_all(requests.limit(0), store, lambda r: r.withColumn("structure", F.lit(""))).count() == 0
+
+
 def test_store(spark, tmp_path):
     store = ProcessStore(spark, str(tmp_path / "s"), ttl_seconds=10)
     at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000 + s))

@@ -6,6 +6,8 @@ rasters, and states the semantics that the kernels are tested against.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,3 +181,133 @@ def remove_lines(px: DataFrame, lines: DataFrame, keys: Keys, padding: int = 2,
     wide = dilate(dilate(lines, keys, "x", size), keys, "y", size) if padding > 0 else lines
     joined = px.join(wide.select(*keys, "y", "x", F.col("v").alias("__l")), [*keys, "y", "x"])
     return joined.withColumn("v", F.when(F.col("__l") > 0, fill).otherwise(F.col("v"))).drop("__l")
+
+
+def median3(px: DataFrame, keys: Keys) -> DataFrame:
+    """The fifth of the nine values around each pixel; at an edge its pixels count again."""
+    across, down = _across(keys, "x", "y"), _across(keys, "y", "x")
+    rows = px.withColumn("__r", F.array(F.coalesce(F.lag("v").over(across), "v"), "v", F.coalesce(F.lead("v").over(across), "v")))
+    around = F.concat(F.coalesce(F.lag("__r").over(down), "__r"), "__r", F.coalesce(F.lead("__r").over(down), "__r"))
+    return rows.withColumn("v", F.element_at(F.sort_array(around), 5)).drop("__r")
+
+
+def gaussian_weights(size: int, sigma: float = 0.0) -> list[float]:
+    """Weights of an odd window; without sigma one that suits the size."""
+    sigma = sigma if sigma > 0 else 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    weights = [math.exp(-((i - (size - 1) / 2) ** 2) / (2 * sigma**2)) for i in range(size)]
+    return [w / sum(weights) for w in weights]
+
+
+def convolve(px: DataFrame, keys: Keys, axis: str, weights: list[float]) -> DataFrame:
+    """px with the weighted sum of the values along an axis, as ``v``.
+
+    Beyond an edge the line is mirrored about its last pixel, or, if it is no longer than half the window, about the edge, again and again.  A line is
+    one array, so its length bounds what a row holds.
+    """
+    other, reach = ("y" if axis == "x" else "x"), len(weights) // 2
+    line = F.transform(F.array_sort(F.collect_list(F.struct(axis, F.col("v").cast("double").alias("v")))), lambda p: p["v"])
+    lines = px.groupBy(*keys, other).agg(line.alias("__l")).withColumn("__n", F.size("__l"))
+
+    def mirrored(i: Column) -> Column:
+        n = F.col("__n")
+        around, about = F.pmod(i, 2 * n - 2), F.pmod(i, 2 * n)
+        return F.when(n > reach, F.least(around, 2 * n - 2 - around)).otherwise(F.least(about, 2 * n - 1 - about))
+
+    def weighed(at: Column) -> Column:
+        window = F.transform(F.array(*map(F.lit, weights)), lambda w, i: w * F.element_at("__l", (mirrored(at + i - reach) + 1).cast("int")))
+        return F.aggregate(window, F.lit(0.0), lambda a, b: a + b)
+
+    done = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), weighed)
+    return lines.select(*keys, other, F.posexplode(done).alias(axis, "v")).select(*keys, "y", "x", "v")
+
+
+def gaussian(px: DataFrame, keys: Keys, size: int, sigma: float = 0.0) -> DataFrame:
+    """px blurred down, then across, in whole numbers."""
+    weights = gaussian_weights(size, sigma)
+    blurred = convolve(convolve(px, keys, "y", weights), keys, "x", weights)
+    return blurred.withColumn("v", F.least(F.greatest(F.rint("v"), F.lit(0.0)), F.lit(255.0)).cast("int"))
+
+
+def adaptive_threshold(px: DataFrame, keys: Keys, size: int = 35, less: int = 11) -> DataFrame:
+    """255 where a pixel exceeds the Gaussian mean around it less a constant, else 0."""
+    mean = gaussian(px, keys, size).withColumnRenamed("v", "__m")
+    return px.join(mean, [*keys, "y", "x"]).withColumn("v", F.when(F.col("v") > F.col("__m") - less, 255).otherwise(0)).drop("__m")
+
+
+def unsharp(px: DataFrame, keys: Keys, amount: float = 1.0, radius: float = 1.0) -> DataFrame:
+    """Each pixel moved away from the blur around it."""
+    blur = gaussian(px, keys, int(round(radius * 6 + 1)) | 1, radius).withColumnRenamed("v", "__m")
+    moved = F.rint((1 + amount) * F.col("v").cast("double") - amount * F.col("__m").cast("double"))
+    return px.join(blur, [*keys, "y", "x"]).withColumn("v", F.least(F.greatest(moved, F.lit(0.0)), F.lit(255.0)).cast("int")).drop("__m")
+
+
+def _blend(corners: DataFrame, keys: Keys) -> DataFrame:
+    """keys, y, x, v from four rows a pixel (corner 0 to 3: above left, above right, below left, below right) with ``__v`` and the shares ``__ax`` and ``__ay`` of the right and lower ones."""
+    of = lambda k: F.max(F.when(F.col("corner") == k, F.col("__v"))).alias(f"__{k}")
+    four = corners.groupBy(*keys, "y", "x").agg(*map(of, range(4)), F.first("__ax").alias("__ax"), F.first("__ay").alias("__ay"))
+    ax, ay = F.col("__ax"), F.col("__ay")
+    top, low = (F.col(f"__{a}") * (1 - ax) + F.col(f"__{b}") * ax for a, b in ((0, 1), (2, 3)))
+    return four.select(*keys, "y", "x", F.least(F.greatest(F.rint(top * (1 - ay) + low * ay), F.lit(0.0)), F.lit(255.0)).cast("int").alias("v"))
+
+
+def rotate(px: DataFrame, keys: Keys, height: int, width: int, degrees: float) -> DataFrame:
+    """Turned counter-clockwise about the middle, same size: each pixel from the four around the place it comes from; edges are repeated."""
+    cos, sin, cx, cy = math.cos(math.radians(degrees)), math.sin(math.radians(degrees)), width / 2, height / 2
+    x, y = F.col("x") - F.lit(cx), F.col("y") - F.lit(cy)
+    from_x, from_y = F.lit(cos) * x - F.lit(sin) * y + F.lit(cx), F.lit(sin) * x + F.lit(cos) * y + F.lit(cy)
+    placed = px.select(*keys, "y", "x", F.least(F.greatest(from_x, F.lit(0.0)), F.lit(width - 1.0)).alias("__fx"), F.least(F.greatest(from_y, F.lit(0.0)), F.lit(height - 1.0)).alias("__fy"))
+    x0, y0 = (F.floor(c).cast("int") for c in ("__fx", "__fy"))
+    x1, y1 = F.least(x0 + 1, F.lit(width - 1)), F.least(y0 + 1, F.lit(height - 1))
+    corners = F.posexplode(F.array(*(F.struct(b.alias("sy"), a.alias("sx")) for b in (y0, y1) for a in (x0, x1)))).alias("corner", "s")
+    asked = placed.select(*keys, "y", "x", (F.col("__fx") - x0).alias("__ax"), (F.col("__fy") - y0).alias("__ay"), corners).select("*", "s.*").drop("s")
+    source = px.select(*keys, F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("v").cast("double").alias("__v"))
+    return _blend(asked.join(source, [*keys, "sy", "sx"]), keys)
+
+
+def clahe(px: DataFrame, keys: Keys, height: int, width: int, clip: float = 2.0, tiles: int = 8) -> DataFrame:
+    """Local histogram equalization with a contrast limit, blended between the centres of four tiles (Zuiderveld 1994).
+
+    A page that its tiles do not fill is mirrored beyond its lower and right edge; what the limit cuts off is
+    spread over all levels, the lowest first.
+    """
+    th, tw = -(-height // tiles), -(-width // tiles)
+    more = (th * tiles - height, tw * tiles - width)
+    if more[0] >= height or more[1] >= width:
+        raise ValueError("too many tiles for so small a page")
+
+    def with_mirror(axis: str, n: int, extra: int) -> Column:
+        beyond = 2 * (n - 1) - F.col(axis)
+        return F.explode(F.when((beyond >= n) & (beyond < n + extra), F.array(F.col(axis), beyond)).otherwise(F.array(F.col(axis))))
+
+    filled = px.select(*keys, "x", "v", with_mirror("y", height, more[0]).alias("y")).select(*keys, "y", "v", with_mirror("x", width, more[1]).alias("x"))
+    tile = [F.expr(f"y div {th}").cast("int").alias("ty"), F.expr(f"x div {tw}").cast("int").alias("tx")]
+    limit = max(1, int(clip * th * tw / 256))
+    counted = filled.groupBy(*keys, *tile, "v").agg(F.count("*").alias("n"))
+    histogram = counted.groupBy(*keys, "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("h"), F.sum(F.greatest(F.col("n") - limit, F.lit(0))).alias("over"))
+    levels = histogram.select(*keys, "ty", "tx", "over", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda u: F.least(F.coalesce(F.try_element_at("h", u), F.lit(0)), F.lit(limit)))).alias("v", "n"))
+    spread = F.col("n") + F.expr("over div 256") + F.when(F.col("v") < F.col("over") % 256, 1).otherwise(0)
+    up = Window.partitionBy(*keys, "ty", "tx").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    curve = F.least(F.greatest(F.sum(spread).over(up) * F.lit(255.0 / (th * tw)), F.lit(0.0)), F.lit(255.0))
+    curves = levels.select(*keys, "ty", "tx", "v", curve.alias("__v"))
+    fy, fx = F.col("y") / F.lit(float(th)) - 0.5, F.col("x") / F.lit(float(tw)) - 0.5
+    y0, x0 = F.floor(fy).cast("int"), F.floor(fx).cast("int")
+    inside = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(tiles - 1))
+    corners = F.posexplode(F.array(*(F.struct(inside(y0 + b).alias("ty"), inside(x0 + a).alias("tx")) for b in (0, 1) for a in (0, 1)))).alias("corner", "s")
+    asked = px.select(*keys, "y", "x", "v", (fx - x0).alias("__ax"), (fy - y0).alias("__ay"), corners).select("*", "s.*").drop("s")
+    return _blend(asked.join(curves, [*keys, "ty", "tx", "v"]), keys)
+
+
+def skew(px: DataFrame, keys: Keys, most: int = 100) -> DataFrame:
+    """keys, skew_angle: the turn in tenths of a degree, to ``most`` of them, that makes upper edges of ink fall into the sharpest rows.
+
+    Every edge pixel votes for the row it falls into at each angle (a Hough transform near the horizontal); an angle's worth is the sum of squares of its rows.  Of
+    equal angles the smallest counts, of two opposite ones the negative; a page with fewer than two edge pixels has 0.
+    """
+    uneven = px.groupBy(*keys).agg((F.min("v") < F.max("v")).alias("__two"))
+    above = F.lag("v").over(_across(keys, "y", "x"))
+    edges = binarize(px, keys).withColumn("__above", F.coalesce(above, F.lit(0))).where("v > 0 and __above = 0").join(uneven.where("__two"), keys)
+    angles = F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("a")
+    votes = edges.select(*keys, "y", "x", angles).select(*keys, "a", F.rint(F.col("y") - F.col("x") * F.tan(F.radians(F.col("a") / 10.0))).alias("at"))
+    rows = votes.groupBy(*keys, "a", "at").agg(F.count("*").alias("n")).groupBy(*keys, "a").agg(F.sum(F.col("n") * F.col("n")).alias("worth"), F.sum("n").alias("n"))
+    best = rows.where("n > 1").groupBy(*keys).agg(F.max_by("a", F.struct(F.col("worth"), -F.abs("a"), -F.col("a"))).alias("a"))
+    return uneven.join(best, keys, "left").select(*keys, (F.coalesce("a", F.lit(0)) / 10.0).alias("skew_angle"))

@@ -474,6 +474,85 @@ def otsu_threshold(spark, sf):
     return raster.otsu(pixels(spark, sf), P)
 
 
+@query(PX + """, r AS (SELECT *, coalesce(lag(v) OVER h, v) AS l, coalesce(lead(v) OVER h, v) AS rr FROM px WINDOW h AS (PARTITION BY page, y ORDER BY x)),
+nine AS (SELECT page, y, x, v, l, rr, lag([l, v, rr]) OVER d AS u, lead([l, v, rr]) OVER d AS w FROM r WINDOW d AS (PARTITION BY page, x ORDER BY y))
+SELECT page, y, x, list_sort(list_concat(list_concat(coalesce(u, [l, v, rr]), [l, v, rr]), coalesce(w, [l, v, rr])))[5]::INT AS v FROM nine""")
+def median_px(spark, sf):
+    return raster.median3(pixels(spark, sf), P).select("page", "y", "x", "v")
+
+
+def blur_sql(size: int, sigma: float) -> str:
+    """``bl``: px blurred by a window of a size, down and then across; beyond an edge as ``raster.convolve`` says."""
+    reach = size // 2
+    place = (lambda e: f"least(({e}) % 14, 14 - ({e}) % 14)") if reach < 8 else (lambda e: f"least(({e}) % 16, 15 - ({e}) % 16)")
+    turn = 14 * 8 if reach < 8 else 16 * 8
+    return PX + f""", wt AS (SELECT i, exp(-((i - {reach}) * (i - {reach})) / (2 * {sigma}::DOUBLE * {sigma})) AS w FROM range({size}) r(i)), ws AS (SELECT i, w / (SELECT sum(w) FROM wt) AS w FROM wt),
+mi AS (SELECT p.n AS p, i, w, ({place(f"p.n + i - {reach} + {turn}")})::INT AS q FROM range(8) p(n), ws),
+dn AS (SELECT page, p::INT AS y, x, sum(w * v) AS v FROM px JOIN mi ON px.y = mi.q GROUP BY ALL),
+bl AS (SELECT page, y, p::INT AS x, least(greatest(round_even(sum(w * v), 0), 0), 255)::INT AS m FROM dn JOIN mi ON dn.x = mi.q GROUP BY ALL)
+"""
+
+
+@query(blur_sql(35, 5.6) + "SELECT page, y, x, CASE WHEN v > m - 11 THEN 255 ELSE 0 END::INT AS v FROM px JOIN bl USING (page, y, x)")
+def adaptive_threshold_px(spark, sf):
+    return raster.adaptive_threshold(pixels(spark, sf), P).select("page", "y", "x", "v")
+
+
+@query(blur_sql(7, 1.0) + "SELECT page, y, x, least(greatest(round_even(2.0::DOUBLE * v - m, 0), 0), 255)::INT AS v FROM px JOIN bl USING (page, y, x)")
+def unsharp_px(spark, sf):
+    return raster.unsharp(pixels(spark, sf), P).select("page", "y", "x", "v")
+
+
+@query(blur_sql(7, 1.4) + "SELECT page, y, x, m AS v FROM bl")
+def gaussian_px(spark, sf):
+    """The blur of seven by seven."""
+    return raster.gaussian(pixels(spark, sf), P, 7).select("page", "y", "x", "v")
+
+
+TURNS = (-7.3, 2.5, 31.0)
+
+
+@query(PX + """, a AS (SELECT unnest([-7.3::DOUBLE, 2.5, 31.0]) AS turn), f AS (SELECT page, turn, y, x, least(greatest(cos(radians(turn)) * (x - 4.0::DOUBLE) - sin(radians(turn)) * (y - 4.0::DOUBLE) + 4, 0), 7) AS fx,
+  least(greatest(sin(radians(turn)) * (x - 4.0::DOUBLE) + cos(radians(turn)) * (y - 4.0::DOUBLE) + 4, 0), 7) AS fy FROM px, a),
+g AS (SELECT *, floor(fx)::INT AS x0, floor(fy)::INT AS y0, fx - floor(fx) AS ax, fy - floor(fy) AS ay FROM f)
+SELECT g.page, turn, g.y, g.x, round_even((a.v * (1 - ax) + b.v * ax) * (1 - ay) + (c.v * (1 - ax) + d.v * ax) * ay, 0)::INT AS v FROM g
+JOIN px a ON a.page = g.page AND a.y = y0 AND a.x = x0 JOIN px b ON b.page = g.page AND b.y = y0 AND b.x = least(x0 + 1, 7)
+JOIN px c ON c.page = g.page AND c.y = least(y0 + 1, 7) AND c.x = x0 JOIN px d ON d.page = g.page AND d.y = least(y0 + 1, 7) AND d.x = least(x0 + 1, 7)""")
+def rotate_px(spark, sf):
+    """Every raster at three angles."""
+    px = pixels(spark, sf)
+    turned = [raster.rotate(px, P, 8, 8, turn).select("page", F.lit(turn).alias("turn"), "y", "x", "v") for turn in TURNS]
+    return turned[0].unionByName(turned[1]).unionByName(turned[2])
+
+
+@query(PX + """, hs AS (SELECT page, y // 3 AS ty, x // 3 AS tx, v, count(*) AS n FROM (SELECT page, x, v, y FROM (SELECT page, x, v, unnest(CASE WHEN y = 6 THEN [6, 8] ELSE [y] END) AS y FROM (SELECT page, y, v, unnest(CASE WHEN x = 6 THEN [6, 8] ELSE [x] END) AS x FROM px))) GROUP BY ALL),
+ov AS (SELECT page, ty, tx, sum(greatest(n - 1, 0)) AS over FROM hs GROUP BY ALL),
+lw AS (SELECT o.page, o.ty, o.tx, u.n::INT AS v, least(coalesce(h.n, 0), 1) + over // 256 + CASE WHEN u.n < over % 256 THEN 1 ELSE 0 END AS n FROM ov o CROSS JOIN range(256) u(n) LEFT JOIN hs h ON h.page = o.page AND h.ty = o.ty AND h.tx = o.tx AND h.v = u.n),
+cu AS (SELECT page, ty, tx, v, least(sum(n) OVER (PARTITION BY page, ty, tx ORDER BY v) * (255.0::DOUBLE / 9), 255) AS c FROM lw),
+q AS (SELECT *, floor(y / 3.0::DOUBLE - 0.5)::INT AS y0, floor(x / 3.0::DOUBLE - 0.5)::INT AS x0 FROM px),
+w AS (SELECT *, y / 3.0::DOUBLE - 0.5 - y0 AS ay, x / 3.0::DOUBLE - 0.5 - x0 AS ax FROM q)
+SELECT w.page, w.y, w.x, least(greatest(round_even((a.c * (1 - ax) + b.c * ax) * (1 - ay) + (c.c * (1 - ax) + d.c * ax) * ay, 0), 0), 255)::INT AS v FROM w
+JOIN cu a ON a.page = w.page AND a.v = w.v AND a.ty = greatest(y0, 0) AND a.tx = greatest(x0, 0) JOIN cu b ON b.page = w.page AND b.v = w.v AND b.ty = greatest(y0, 0) AND b.tx = least(x0 + 1, 2)
+JOIN cu c ON c.page = w.page AND c.v = w.v AND c.ty = least(y0 + 1, 2) AND c.tx = greatest(x0, 0) JOIN cu d ON d.page = w.page AND d.v = w.v AND d.ty = least(y0 + 1, 2) AND d.tx = least(x0 + 1, 2)""")
+def clahe_px(spark, sf):
+    """Three by three tiles of three by three pixels, the last ones mirrored."""
+    return raster.clahe(pixels(spark, sf), P, 8, 8, 2.0, 3).select("page", "y", "x", "v")
+
+
+SKEW = OTSU + """, two AS (SELECT page FROM px GROUP BY page HAVING min(v) < max(v)),
+ed AS (SELECT b.page, y, x FROM (SELECT *, lag(v) OVER (PARTITION BY page, x ORDER BY y) AS up FROM bin) b JOIN two USING (page) WHERE v = 255 AND coalesce(up, 0) = 0),
+vo AS (SELECT page, a, round_even(y - x * tan(radians(a / 10.0::DOUBLE)), 0) AS at, count(*) AS n FROM ed, range(-100, 101) r(a) GROUP BY ALL),
+su AS (SELECT page, a, sum(n * n) AS worth, sum(n) AS m FROM vo GROUP BY ALL),
+be AS (SELECT page, a FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY worth DESC, abs(a), a) AS k FROM su WHERE m > 1) WHERE k = 1)
+SELECT page, (coalesce(a, 0) / 10.0)::DOUBLE AS skew_angle, abs(coalesce(a, 0)) > 5 AS has_skew FROM (SELECT DISTINCT page FROM px) LEFT JOIN be USING (page)"""
+
+
+@query(SKEW)
+def skew_votes(spark, sf):
+    """The skew of every raster by votes as rows."""
+    return raster.skew(pixels(spark, sf), P).select("page", "skew_angle", (F.abs("skew_angle") > 0.5).alias("has_skew"))
+
+
 @query(PX + "SELECT page, round(least(greatest(ln(0.5) / ln(least(greatest(avg(v::DOUBLE) / 255.0, 0.001), 0.999)), 0.6), 1.6), 6) AS gamma FROM px GROUP BY page")
 def auto_gamma(spark, sf):
     return raster.auto_gamma(pixels(spark, sf), P).select("page", F.round("gamma", 6).alias("gamma"))
@@ -715,9 +794,9 @@ def page_quality(spark, sf):
     return m.select("page", "has_noise", "has_blur", "has_colored_bg", *rounded, F.round(F.col("sharpness") * 4096).cast("bigint").alias("sharpness"))
 
 
-@query()
+@query(SKEW)
 def page_skew(spark, sf):
-    """The skew of every raster by our own vote, which no SQL states."""
+    """The skew of every raster by the kernel's vote."""
     return detect.page_metrics(page_images(spark, sf), P).select("page", "skew_angle", "has_skew")
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridleaf.llm.components import components
-from gridleaf.llm.shared import map_column, no_clash, release, rolled, written
+from gridleaf.llm.shared import discard, map_column, no_clash, release, rolled, written
 from gridleaf.llm.simhash import LONG, search, wide_keys
 
 WORDS = 5
@@ -234,15 +234,22 @@ def classes(df: DataFrame, row: str = "row", text: str = "text", longest: int =
     marked = written(map_column(docs, ["row"], "text", "f0 long, f1 long, bands array<long>, digest binary", signatures), "signatures")
     texts = written(marked.groupBy("digest").agg(F.min("row").alias("row"), F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.min("bands").alias("bands")), "texts")
     prints = written(texts.groupBy("f0", "f1").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.min("bands").alias("bands")), "prints")
-    found = search(prints.select("f0", "f1", "bands"), wide_keys, LIMITS, star=True, longest=longest).distinct()
+    found = search(prints.select("f0", "f1", "bands"), wide_keys, LIMITS, star=True, longest=longest)
     ends = [prints.select(F.col("f0").alias(f"{s}0"), F.col("f1").alias(f"{s}1"), F.col("row").alias(s)) for s in "ab"]
-    kin = components(found.join(ends[0], ["a0", "a1"]).join(ends[1], ["b0", "b1"]).select("a", "b"))
-    # Families of fingerprints, and fingerprints of several texts: few rows, so that often a small table is broadcast and no text shuffled.
+    kin = components(found.distinct().join(ends[0], ["a0", "a1"]).join(ends[1], ["b0", "b1"]).select("a", "b"))
+    # Families of fingerprints, and fingerprints of several texts.
     family = prints.join(kin.withColumnRenamed("node", "row"), "row", "left").where("root is not null or n > 1")
     members = texts.join(family.select("f0", "f1", F.coalesce("root", "row").alias("family")), ["f0", "f1"]).select("row", "family")
     members = written(members, "members")
-    sets = written(map_column(docs.join(members, "row"), ["family", "row"], "text", "n long, s array<long>", counted_sets), "sets")
+    for done in (found, kin, prints):
+        discard(done)
+    # Members grow with the corpus, so texts are dealt out by row at every size; only those of families go on.
+    joined = docs.join(members.hint("merge"), "row")
+    sets = written(map_column(joined, ["family", "row"], "text", "n long, s array<long>", counted_sets), "sets")
     linked = written(similar_links(sets, block), "similar")
+    discard(sets)
+    discard(members)
     rooted = components(linked)
+    discard(linked)
     final = texts.join(rooted.withColumnRenamed("node", "row"), "row", "left").select("digest", F.coalesce("root", "row").alias("class"))
     return marked.join(final, "digest").select(F.col("row").alias(row), F.col("class").alias("component_id"))

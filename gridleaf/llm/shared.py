@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +50,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files behind a ``written`` table that nothing will read again."""
+    """Delete the files behind ``written`` tables that nothing will read again; others that ``df`` reads stay."""
     spark = df.sparkSession
-    for file in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    root = urlparse(scratch(spark, "").rpartition("/")[0]).path.rstrip("/")
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        if root and unquote(urlparse(folder).path).startswith(f"{root}/"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def no_clash(keys: Iterable[str], results: Iterable[str]) -> None:

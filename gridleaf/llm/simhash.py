@@ -236,7 +236,7 @@ def hub_edges(columns: Columns, tree: np.ndarray) -> np.ndarray:
 def run_links(key: np.ndarray, columns: Columns, limits: Limits, star: bool = False, owned: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links (positions) among whole runs of equal sorted keys, the lesser fingerprint first, without repeats.
 
-    With ``star`` a run of more close pairs than members gives the edges of its hubs in their place, which need not be close;
+    With ``star`` a run of as many close pairs as members, or more, gives the edges of its hubs in their place, which need not be close: fewer than members;
     with ``owned`` only pairs of odd keys count of which one has the codewords as its own.
     """
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -256,7 +256,7 @@ def run_links(key: np.ndarray, columns: Columns, limits: Limits, star: bool = Fa
     if star:
         a, b = np.concatenate(left), np.concatenate(right)
         run = np.searchsorted(starts, a, "right") - 1
-        dense = np.bincount(run, minlength=len(sizes)) > sizes
+        dense = np.bincount(run, minlength=len(sizes)) >= sizes
         left, right = [a[~dense[run]]], [b[~dense[run]]]
         apart |= dense
     for s, n in zip(starts[apart].tolist(), sizes[apart].tolist(), strict=True):
@@ -264,7 +264,7 @@ def run_links(key: np.ndarray, columns: Columns, limits: Limits, star: bool = Fa
         order = np.lexsort(own[::-1])
         own = tuple(c[order] for c in own)
         asked = own_of(int(key[s]), own[0]) if owned else None
-        pairs = close_pairs(own, limits, np.arange(n) if asked is None else np.flatnonzero(asked), 2 * n if star else 8 * n)
+        pairs = close_pairs(own, limits, np.arange(n) if asked is None else np.flatnonzero(asked), n - 1 if star else 8 * n)
         if pairs is None:
             tree = forest(own, limits)
             pairs = hub_edges(own, tree) if star else tree[:, [1, 2]]

@@ -534,6 +534,17 @@ def test_copies_in_families_of_a_template(spark, variants):
         assert {r["row"]: r["component_id"] for r in again} == classed
 
 
+def test_only_written_tables_are_discarded(spark, sf):
+    from gridleaf.llm.shared import discard, written
+
+    given = spark.read.parquet(f"{sf}/labels.parquet")
+    table = written(given, "thrown")
+    discard(given.unionByName(table))
+    assert given.count() > 0
+    with pytest.raises(Exception, match="(?i)file"):
+        table.count()
+
+
 def test_hub_of_a_dense_run():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 2, dtype=np.uint64)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gridleaf.functions.entities import strip
 from gridleaf.operators.detect import enhance, image_dict, quality
 from gridleaf.schema import IMAGE, METRICS, struct
-from gridleaf.sources import pdf, scans
+from gridleaf.sources import paths, pdf, scans
 from gridleaf.sources.filters import unfilter_rows
 
 DEFAULT_DPI = 300
@@ -97,7 +97,7 @@ class Png:
 
 
 class SimplePdf:
-    """Pages, sizes and text of PDF files, images of scanned pages."""
+    """Pages, sizes and text of PDF files, images of scanned pages and of drawings."""
 
     def __call__(self, content: bytes) -> list[DecodedPage]:
         if b"%PDF" not in content[:1024]:
@@ -116,13 +116,13 @@ class SimplePdf:
     @staticmethod
     def _render(found: pdf.Pdf, page: dict) -> Callable[[int], np.ndarray] | None:
         images = scans.placed_images(found, page)
-        if images is None:
+        if images is None and paths.painted_paths(found, page, 72) is None:
             return None
 
         def draw(dpi: int) -> np.ndarray:
             try:
-                return scans.draw(found, page, images, dpi)
-            except (ValueError, zlib.error) as e:  # fewer or other bytes than the image says
+                return scans.draw(found, page, images, dpi) if images else paths.draw(found, page, paths.painted_paths(found, page, dpi), dpi)
+            except (ValueError, zlib.error, ArithmeticError) as e:  # fewer or other bytes than the image says, numbers out of range
                 raise BadDocument(str(e)) from e
 
         return draw

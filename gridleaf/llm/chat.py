@@ -19,7 +19,7 @@ task; rendering and checking, the costly part, is spread over all tasks.
 
 Null texts and roles are empty.  Null conversation ids form one conversation.  Turns
 with the same number are ordered by role, then text; repeated rows stay repeated.  Texts of any length are
-rendered whole.  An empty table gives an empty one.  Extra columns are not read.
+rendered whole.  An empty table gives an empty one.  Extra columns are not read; a column of conversations or turns named as a result is an error.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridleaf.llm.shared import chunks
+from gridleaf.llm.shared import chunks, no_clash
 
 OPEN, CLOSE, BEGIN, END = "<s>", "</s>", "[INST]", "[/INST]"
 ASSISTANT = "assistant"
@@ -109,6 +109,7 @@ def render(role: str, text: str) -> tuple[str, tuple[int, int]]:
 
 def render_turns(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conversation, turn, rendered, where its text field begins, and the loss span (loss_from, loss_to) in it, null for other roles."""
+    no_clash([conversation, turn], ["rendered", "text_from", "loss_from", "loss_to"])
     schema = T.StructType([df.schema[conversation], df.schema[turn], *T._parse_datatype_string("rendered string, text_from long, loss_from long, loss_to long").fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -128,6 +129,7 @@ def render_turns(df: DataFrame, conversation: str = "conv_id", turn: str = "turn
 
 def read_back(rendered: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Per conversation, from the rendered turns and loss spans alone: counts, digests of turns and of the text under the mask."""
+    no_clash([conversation], ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
     schema = T.StructType([rendered.schema[conversation], *T._parse_datatype_string("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 

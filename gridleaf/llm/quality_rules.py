@@ -26,7 +26,7 @@ Words are ``[^\\x20\\x09-\\x0D]+``; null and empty texts have none and fail the
 rule.  A document with conflicting labels counts as not clean; null labels are
 ignored; of repeated keys one row (the least by its features) counts for the bounds, each is judged on its
 own.  Ties in a setting's gain go to the more lenient one.  Texts of any length are measured whole.  An empty
-table gives an empty one.  Extra columns are not read; a key column named as a feature is an error.
+table gives an empty one.  Extra columns are not read; a key column named as a feature or a result is an error.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridleaf.llm.shared import map_texts, written
+from gridleaf.llm.shared import map_texts, no_clash, written
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -241,6 +241,7 @@ def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
 
 def judge(measured: DataFrame, fitted: Fitted) -> DataFrame:
     """``measured`` with base_failed and kept."""
+    no_clash(measured.columns, ["base_failed", "kept"])
     failed = measured.withColumn("base_failed", base_failed())
     return failed.withColumn("kept", ~F.col("base_failed") & ~fitted.rejected())
 

@@ -34,7 +34,7 @@ Null and empty texts have fingerprint 0, linked like any other.  Null keys keep
 row; the component id is the least non-null key of the component.  Repeated rows are
 exact copies, each with a row of its own.  Ties: of equal counts a bit is not set.  Very
 long texts are hashed whole, shingle hashes summed in parts.  An empty table gives an
-empty one.  Extra columns, whatever their names, are not read.
+empty one.  Extra columns, whatever their names, are not read; a key column named as a result is an error.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridleaf.llm.components import components
-from gridleaf.llm.shared import map_texts, written
+from gridleaf.llm.shared import map_texts, no_clash, written
 
 WORDS = 4
 SEED = 42
@@ -386,6 +386,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fingerprint (16 hexadecimal digits) and component_id (least key reachable over links) of every row."""
+    no_clash([key], ["fingerprint", "component_id"])
     marked = written(fingerprints(df.select(key, text), key, text), "fingerprints")
     least = marked.groupBy("fp").agg(F.min(key).alias("__least"))
     distinct = written(least, "distinct")

@@ -16,7 +16,7 @@ exceptions.  The block starts let a reader open any range of ids by itself.
 Null and empty texts hold the end id alone.  Null keys come first; rows of one key
 are ordered by text, and a key of very many rows is spread over many shards by the beginnings of its texts.
 Repeated rows are kept.  Texts of any length are encoded whole; a frame holds at least one.
-An empty table gives an empty file set.  Extra columns are not read.
+An empty table gives an empty file set.  Extra columns are not read; a key column named as a result is an error.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridleaf.llm import pretoken
-from gridleaf.llm.shared import Memo, chunks
+from gridleaf.llm.shared import Memo, chunks, no_clash
 
 BLOCK = 256
 PERCENTILE = 0.9
@@ -245,6 +245,7 @@ def write(df: DataFrame, folder: str, path: str, end_id: int = 0, key: str = "do
 
 def read(spark: SparkSession, folder: str, key: str = "doc_id", digest_only: bool = False) -> DataFrame:
     """From the files: key, start (ids of all documents before it), n_tokens, ids_crc32 and, unless ``digest_only``, ids."""
+    no_clash([key], ["start", "n_tokens", "ids_crc32", "ids"])
     stored = spark.read.parquet(folder)
     kind = stored.schema["keys"].dataType.elementType
     fields = "shard int, local long, n_tokens long, ids_crc32 long" + ("" if digest_only else ", ids array<long>")

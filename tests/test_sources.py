@@ -142,6 +142,39 @@ def test_store(spark, tmp_path):
     assert again.compact(str(tmp_path / "u"), at(7)).events().count() == 0
 
 
+def test_lookup_reads_its_buckets_and_shuffles_no_document(spark, tmp_path):
+    from gridleaf.plans.store import BUCKETS, bucket_of
+
+    store = ProcessStore(spark, str(tmp_path / "s"), ttl_seconds=100)
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000 + s))
+    rows = spark.range(300).select(F.concat(F.lit("p"), "id").alias("process_id"), F.encode(F.concat(F.lit("%PDF "), "id"), "utf-8").alias("pdf"), F.col("id").cast("string").alias("structure"))
+    store.put(rows, at(0))
+    one = spark.createDataFrame([("p7",), ("p7",), ("nobody",)], "process_id string")
+    found = store.get(one, at(1))
+    assert sorted((r["process_id"], r["structure"], r["pdf"] and bytes(r["pdf"])) for r in found.collect() if r["pdf"]) == [("p7", "7", b"%PDF 7")] * 2 and found.count() == 3
+    assert found.where("pdf is null").first()["process_id"] == "nobody"
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "pdf#" in line and "FileScan" in line]
+    assert scans and all("PartitionFilters: [bucket" in line or "PartitionFilters: [isnotnull(bucket" in line for line in scans)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    # Put and deleted at one instant is deleted; a later put of the same id is there again; two puts of one instant give one row.
+    store.delete(one, at(0))
+    assert store.get(one, at(1)).where("pdf is not null").count() == 0
+    store.put(rows.where("process_id = 'p7'").unionByName(rows.where("process_id = 'p7'")), at(5))
+    assert store.get(one.distinct(), at(6)).where("pdf is not null").count() == 1
+    assert store.get(one.limit(0), at(6)).count() == 0
+    # Bit by bit: some buckets now, the others later; a bucket that becomes empty goes.
+    half = list(range(BUCKETS // 2))
+    small = store.compact(str(tmp_path / "t"), at(6), half)
+    inside = rows.where(bucket_of(F.col("process_id")) < BUCKETS // 2).count()
+    assert small.events().count() == inside
+    whole = store.compact(str(tmp_path / "t"), at(6), list(range(BUCKETS // 2, BUCKETS)))
+    assert whole.events().count() == 300 and whole.get(one, at(6)).where("pdf is not null").count() == 2
+    store.delete(rows.where(bucket_of(F.col("process_id")) < 3), at(7))
+    gone = rows.where(bucket_of(F.col("process_id")) < 3).count()
+    assert store.compact(str(tmp_path / "t"), at(8), [0, 1, 2]).events().count() == 300 - gone
+
+
 def test_streams(spark, sf, tmp_path):
     source = tmp_path / "in"
     events = spark.read.parquet(f"{sf}/events.parquet")

@@ -6,8 +6,10 @@ value (not negative), date.  Money is summed as decimal(18, 2) and given as doub
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from gridleaf.functions.entities import largest_free_space
 from gridleaf.plans.store import ProcessStore, kept
 from gridleaf.schema import ENTRY
 from gridleaf.sources.documents import decode_base64, encode_base64, valid_pdf
+from gridleaf.sources.pdf import Pdf
+from gridleaf.sources.pdf_update import Entry, write_text
 
 DEBIT, CREDIT = "debit", "credit"
 
@@ -102,6 +106,40 @@ def fill(requests: DataFrame, cells: DataFrame) -> DataFrame:
     return joined.withColumn("target", largest_free_space(F.col("bbox"), F.col("blobs"))).drop("bbox", "blobs")
 
 
+def write_entries(documents: DataFrame, filled: DataFrame, dpi: int = 300) -> DataFrame:
+    """process_id, pdf and error: each document with its entries written where ``fill`` found room for them.
+
+    ``documents``: process_id, pdf; ``filled``: process_id, page_num, target (pixels at ``dpi``) and text.  An update is
+    appended, the old bytes stay.  The entries of a document come together in one row; entries without a target or text are
+    left out.  A document that cannot be updated keeps its bytes and has an error; one without entries is as it was.
+    """
+    entry = F.struct("page_num", "target.x_min", "target.y_min", "target.x_max", "target.y_max", "text")
+    asked = filled.where("target is not null and text is not null").groupBy("process_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    rows = documents.select("process_id", "pdf").join(asked, "process_id", "left")
+
+    @F.arrow_udf("pdf binary, error string")
+    def written_into(pdfs: pa.Array, entries: pa.Array) -> pa.Array:
+        return pa.array([_written_into(pdf, held or [], dpi) for pdf, held in zip(pdfs.to_pylist(), entries.to_pylist(), strict=True)], type=pa.struct([("pdf", pa.binary()), ("error", pa.string())]))
+
+    return rows.withColumn("__done", written_into("pdf", "entries")).select("process_id", "__done.pdf", "__done.error")
+
+
+def _written_into(content: bytes | None, entries: list[dict], dpi: int) -> dict:
+    if not content or not entries:
+        return {"pdf": content, "error": None}
+    try:
+        pdf = Pdf(content)
+        boxes = [pdf.box(p) for p in pdf.pages()]
+        scale, placed = 72 / dpi, []
+        for e in entries:
+            page = e["page_num"] or 0
+            left, _, _, top = boxes[page] if 0 <= page < len(boxes) else (0.0, 0.0, 0.0, 0.0)
+            placed.append(Entry(page, left + e["x_min"] * scale, top - e["y_max"] * scale, (e["x_max"] - e["x_min"]) * scale, (e["y_max"] - e["y_min"]) * scale, e["text"]))
+        return {"pdf": write_text(content, placed), "error": None}
+    except (ValueError, zlib.error, TypeError, AttributeError, LookupError, ArithmeticError) as e:
+        return {"pdf": content, "error": str(e) or type(e).__name__}
+
+
 def answer(documents: DataFrame, content: str = "pdf") -> DataFrame:
     """documents with ``document``: their bytes as base64."""
     return documents.withColumn("document", encode_base64(F.col(content)))

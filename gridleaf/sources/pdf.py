@@ -224,6 +224,7 @@ class Entry:
     offset: int | None = None
     stream: int | None = None
     place: int = 0
+    generation: int = 0
 
 
 class Index:
@@ -242,7 +243,10 @@ class Index:
             pass
         if last is None:
             raise Unreadable("no startxref")
-        next_one, seen = int(last[1]), set()
+        #: The place of the last section, and whether it is a table.
+        self.last = next_one = int(last[1])
+        self.table = content.startswith(b"xref", _BLANK.match(content, self.base + next_one).end())
+        seen: set[int] = set()
         while next_one is not None:
             if next_one in seen:
                 raise Unreadable("sections in a circle")
@@ -281,7 +285,7 @@ class Index:
             for number in range(first, first + n):
                 if not (line := row.match(self.content, at)):
                     raise Unreadable("a cut-off cross-reference table")
-                entries[number] = Entry(offset=int(line[1])) if line[3] == b"n" else Entry()
+                entries[number] = Entry(offset=int(line[1]), generation=int(line[2])) if line[3] == b"n" else Entry()
                 at = line.end()
         at = _BLANK.match(self.content, at).end()
         trailer = value(self.content, at + 7)[0] if self.content.startswith(b"trailer", at) else None
@@ -305,7 +309,7 @@ class Index:
                 if at > len(data):
                     raise Unreadable("a cut-off cross-reference stream")
                 kind, a, b = fields
-                entries[number] = Entry(offset=a) if kind == 1 else Entry(stream=a, place=b) if kind == 2 else Entry()
+                entries[number] = Entry(offset=a, generation=b) if kind == 1 else Entry(stream=a, place=b) if kind == 2 else Entry()
         return entries
 
 
@@ -317,6 +321,8 @@ class Pdf:
         self.objects: dict[int, object] = {}
         self.index: Index | None = None
         self._packed: dict[int, list[tuple[int, object]]] = {}
+        #: Numbers of the dictionaries that are objects of their own, by identity.
+        self.number_of: dict[int, int] = {}
         try:
             self.index = Index(content)
             if "Encrypt" not in self.index.trailer and not isinstance(self._root(), dict):
@@ -370,6 +376,8 @@ class Pdf:
             held = self._packed[entry.stream]
             found = held[entry.place][1] if entry.place < len(held) and held[entry.place][0] == number else dict(held).get(number)
         self.objects[number] = found
+        if isinstance(found, dict):
+            self.number_of[id(found)] = number
         return found
 
     def of(self, item: object) -> object:

@@ -187,3 +187,45 @@ def lzw_encoded(data, early):
     out += [(table[held], min(width, 12)), (257, min(width, 12))]
     bits = "".join(format(c, f"0{w}b") for c, w in out)
     return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8))
+
+
+def filled_file(kind):
+    file = File()
+    resources = BASE | {3: b"<< /Type /Page /Parent 2 0 R /Contents [4 0 R 6 0 R] /Resources << /Font << /F1 9 0 R /Own0 9 0 R >> >> >>", 9: b"<< /Type /Font /Subtype /Type1 /BaseFont /Times-Roman >>"}
+    return file.table(resources).out if kind == "table" else (file.stream({4: BASE[4], 6: BASE[6]}, {n: b for n, b in resources.items() if n not in (4, 6)}), file.out)[1]
+
+
+@pytest.mark.parametrize("before", [b"", b"junk before\n"])
+@pytest.mark.parametrize("kind", ["table", "stream"])
+def test_text_is_appended_as_an_update(kind, before):
+    from gridleaf.sources.pdf_update import Entry, write_text
+
+    old = before + filled_file(kind)
+    assert write_text(old, []) == old
+    new = write_text(old, [Entry(0, 10, 20, 50, 12, "1 000,50 (net) \\"), Entry(0, 10, 40, 50, 12, "Акт № 7 漢"), Entry(1, 0, 0, 9, 9, "é")])
+    assert new.startswith(old) and Pdf(new).index is not None
+    assert texts(new) == ["one\ntwo\n1 000,50 (net) \\\nАкт № 7 漢", "two\né"]
+    again = write_text(new, [Entry(1, 5, 5, 40, 10, "second update")])
+    assert again.startswith(new) and texts(again) == [texts(new)[0], "two\né\nsecond update"]
+    assert texts(again[: len(old)]) == ["one\ntwo", "two"]
+    broken = again.replace(b"startxref", b"startxxxx")  # the last versions are found by scanning as well
+    assert texts(broken) == texts(again) or kind == "stream"
+    with pytest.raises(filters.Unreadable):
+        write_text(old, [Entry(7, 0, 0, 9, 9, "no such page")])
+    with pytest.raises(filters.Unreadable):
+        write_text(broken, [Entry(0, 0, 0, 9, 9, "no index")])
+
+
+def test_entries_of_acts_are_written(spark):
+    from gridleaf.plans import acts
+
+    good = filled_file("table")
+    documents = spark.createDataFrame([("a", good), ("b", good), ("c", b"%PDF nothing"), ("d", None), ("e", good)], "process_id string, pdf binary")
+    box = lambda y: (10.0, float(y), 200.0, y + 40.0)
+    rows = [("a", 0, box(10), "12,50"), ("a", None, box(90), "13,00"), ("a", 1, box(10), "Итого"), ("a", 0, None, "no room"), ("a", 0, box(10), None), ("c", 0, box(0), "x"), ("e", 5, box(0), "x"), ("nobody", 0, box(0), "x")]
+    filled = spark.createDataFrame(rows, "process_id string, page_num int, target struct<x_min: double, y_min: double, x_max: double, y_max: double>, text string")
+    found = {r["process_id"]: r for r in acts.write_entries(documents, filled).collect()}
+    assert set(found) == set("abcde")
+    assert sorted(texts(bytes(found["a"]["pdf"]))[0].split("\n")) == ["12,50", "13,00", "one", "two"] and texts(bytes(found["a"]["pdf"]))[1] == "two\nИтого"
+    assert bytes(found["b"]["pdf"]) == good and found["b"]["error"] is None and found["d"]["pdf"] is None
+    assert found["c"]["error"] and bytes(found["c"]["pdf"]) == b"%PDF nothing" and "page" in found["e"]["error"] and bytes(found["e"]["pdf"]) == good

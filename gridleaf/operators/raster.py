@@ -163,16 +163,22 @@ def combine_masks(a: DataFrame, b: DataFrame, keys: Keys) -> DataFrame:
 
 
 def erase_boxes(px: DataFrame, boxes: DataFrame, keys: Keys, padding: int = 5) -> DataFrame:
-    """px with 0 inside every padded box (``bbox``) of its page, corners included."""
+    """px with 0 inside every padded box (``bbox``) of its page, corners included.
+
+    A box is two marks in each row it covers, where it begins and after its end; a running sum over the row
+    tells how many boxes a pixel is in.  No pixel meets a box, so pages of many boxes cost no more than their rows.
+    """
     t = [F.col(f"bbox.{s}") for s in ("x_min", "y_min", "x_max", "y_max")]
     rects = boxes.select(*keys, *((c + d).cast("int").alias(n) for c, d, n in zip(t, (-padding, -padding, padding, padding), ("x0", "y0", "x1", "y1"), strict=True)))
-    p, r = px.alias("p"), rects.alias("r")
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(f"p.{k}") == F.col(f"r.{k}"))
-    inside = same & F.expr("p.x between r.x0 and r.x1 and p.y between r.y0 and r.y1")
-    hit = p.join(r, inside, "left_semi").select(*keys, "y", "x").withColumn("__hit", F.lit(True))
-    return px.join(hit, [*keys, "y", "x"], "left").withColumn("v", F.when(F.col("__hit"), 0).otherwise(F.col("v"))).drop("__hit")
+    extent = px.groupBy(*keys).agg(F.min("y").alias("__low"), F.max("y").alias("__high"))
+    first, last = F.greatest("y0", "__low"), F.least("y1", "__high")
+    rows = rects.join(extent, keys).where((first <= last) & (F.col("x0") <= F.col("x1"))).select(*keys, "x0", "x1", F.explode(F.sequence(first, last)).alias("y"))
+    ends = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("d")))).alias("e")
+    marks = rows.select(*keys, "y", ends).groupBy(*keys, "y", F.col("e.x").alias("x")).agg(F.sum("e.d").alias("__d"))
+    both = px.withColumn("__d", F.lit(0).cast("long")).unionByName(marks.withColumn("__mark", F.lit(True)), allowMissingColumns=True)
+    inside = F.sum("__d").over(Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(Window.unboundedPreceding, 0))
+    summed = both.withColumn("__in", inside).where("__mark is null")
+    return summed.withColumn("v", F.when(F.col("__in") > 0, 0).otherwise(F.col("v"))).select(*px.columns)
 
 
 def remove_lines(px: DataFrame, lines: DataFrame, keys: Keys, padding: int = 2, fill: int = 255) -> DataFrame:

@@ -27,11 +27,17 @@ def covered(cells: DataFrame, axis: str, include_merged: bool, size: str) -> Dat
     return cells.where(F.col(axis) <= last).withColumn("line", F.explode(F.sequence(F.col(axis), last)))
 
 
-def lines(cells: DataFrame, tables: DataFrame, keys: Keys, axis: str = "row", include_merged: bool = False, order: str = "ord") -> DataFrame:
-    """keys, line, cells: for every line of a table, empty ones too, the cells listed there in order."""
+def lines(cells: DataFrame, tables: DataFrame, keys: Keys, axis: str = "row", include_merged: bool = False, order: str = "ord", strict: bool = False) -> DataFrame:
+    """keys, line, cells: for every line of a table, empty ones too, the cells listed there in order.
+
+    A cell that begins outside its table is in no line; ``strict`` makes it an error that ends the job.
+    """
     size = "num_rows" if axis == "row" else "num_cols"
     every = tables.where(F.col(size) > 0).select(*keys, F.explode(F.sequence(F.lit(0), F.col(size) - 1)).alias("line"))
     sized = cells.join(tables.select(*keys, size), keys)
+    if strict:
+        outside = (F.col(axis) < 0) | (F.col(axis) >= F.col(size))
+        sized = sized.withColumn(axis, F.when(outside, F.raise_error(F.concat(F.lit(f"{axis} "), F.col(axis).cast("string"), F.lit(" is out of range")))).otherwise(F.col(axis)))
     listed = covered(sized, axis, include_merged, size).groupBy(*keys, "line").agg(F.array_sort(F.collect_list(F.struct(order, "row", "col"))).alias("cells"))
     return every.join(listed, [*keys, "line"], "left").withColumn("cells", F.coalesce("cells", F.array().cast(listed.schema["cells"].dataType)))
 

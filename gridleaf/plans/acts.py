@@ -40,9 +40,23 @@ def checked_entries(ledger: DataFrame) -> DataFrame:
 
 
 def number(text: Column) -> Column:
-    """A money amount as documents write it: blanks between thousands, comma or point before the cents."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"[\s ]", ""), ",", ".")
-    return F.when(plain.rlike(r"^-?\d+(\.\d+)?$"), plain.cast("double"))
+    """A money amount as documents write it: blanks, points or commas between thousands, comma or point before the cents; null for anything else.
+
+    Of two kinds of marks the last one stands before the cents; one mark alone does so too, and a mark
+    that comes more than once parts thousands.
+    """
+    plain = F.regexp_replace(text, r"[\s\u00a0\u202f']", "")
+    parted = plain.rlike(r"^-?\d{1,3}(,\d{3})+\.\d+$|^-?\d{1,3}(,\d{3}){2,}$")
+    pointed = plain.rlike(r"^-?\d{1,3}(\.\d{3})+,\d+$|^-?\d{1,3}(\.\d{3}){2,}$")
+    bare = F.when(parted, F.regexp_replace(plain, ",", "")).when(pointed, F.regexp_replace(F.regexp_replace(plain, r"\.", ""), ",", ".")).otherwise(F.regexp_replace(plain, ",", "."))
+    return F.when(bare.rlike(r"^-?\d+(\.\d+)?$"), bare.cast("double"))
+
+
+def unreadable_amounts(cells: DataFrame, keys: list[str], debit_col: int = 1, credit_col: int = 2) -> DataFrame:
+    """keys, table_id, row, side, value and error: amounts with a figure in them that ``number`` does not read, so that no entry vanishes unseen."""
+    side = F.when(F.col("col") == debit_col, DEBIT).when(F.col("col") == credit_col, CREDIT)
+    unread = F.col("value").rlike(r"\d") & number(F.col("value")).isNull()
+    return cells.withColumn("side", side).where(F.col("side").isNotNull() & unread).select(*keys, "table_id", "row", "side", "value", F.lit("not an amount").alias("error"))
 
 
 def ledger_from_cells(cells: DataFrame, keys: list[str], record_col: int = 0, debit_col: int = 1, credit_col: int = 2) -> DataFrame:

@@ -4,7 +4,7 @@ Texts are first brought together in families, whose members are then compared by
 
 * Each text has two 64-bit fingerprints: of its set of words, which a changed word hardly
   moves, and of its set of shingles.  The Golay keys are made of the first
-  (``simhash.wide_keys``); eight more keys are made of two least shingles each, by 16 hash functions: at 0.8 all of them differ for 3 pairs in 10,000.
+  (``simhash.near_keys``); twelve more keys are made of two least shingles each, by 24 hash functions: at 0.8 all of them differ for 5 pairs in a million.
   Texts that share a key are kin if they differ in at most ``LIMITS`` bits in the two, and a family is what kin of kin reach.  The search gives as many edges as
   join a family, not all pairs of kin.
 * Each distinct text of a family has its shingle set sent to its family once.  A family is compared by one task at a time if its
@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 
 from gridleaf.llm.components import components
 from gridleaf.llm.shared import discard, map_column, no_clash, release, rolled, written
-from gridleaf.llm.simhash import LONG, search, wide_keys
+from gridleaf.llm.simhash import LONG, near_keys, search
 
 WORDS = 5
 SHARE = 0.8
 #: Most differing bits of the fingerprints of words and of shingles.
 LIMITS = (16, 18)
 #: Keys of least shingles a text has, and the hash functions of each.
-BANDS = (8, 2)
+BANDS = (12, 2)
 #: Shingles (64 a set at least) of one block of a family that a task holds.
 BLOCK = 2_000_000
 
@@ -234,7 +234,7 @@ def classes(df: DataFrame, row: str = "row", text: str = "text", longest: int =
     marked = written(map_column(docs, ["row"], "text", "f0 long, f1 long, bands array<long>, digest binary", signatures), "signatures")
     texts = written(marked.groupBy("digest").agg(F.min("row").alias("row"), F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.min("bands").alias("bands")), "texts")
     prints = written(texts.groupBy("f0", "f1").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.min("bands").alias("bands")), "prints")
-    found = search(prints.select("f0", "f1", "bands"), wide_keys, LIMITS, star=True, longest=longest)
+    found = search(prints.select("f0", "f1", "bands"), near_keys, LIMITS, star=True, longest=longest)
     ends = [prints.select(F.col("f0").alias(f"{s}0"), F.col("f1").alias(f"{s}1"), F.col("row").alias(s)) for s in "ab"]
     kin = components(found.distinct().join(ends[0], ["a0", "a1"]).join(ends[1], ["b0", "b1"]).select("a", "b"))
     # Families of fingerprints, and fingerprints of several texts.

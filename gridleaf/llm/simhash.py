@@ -20,7 +20,8 @@ and for each pair the two codewords, once as its own and once with all near ones
 are compared, on one path for every size of input.
 
 ``wide_keys`` are, for each pair of segments, all near codewords of both: sure to meet
-up to five bits, where two segments have two each at most, and mostly up to eight.
+up to five bits, where two segments have two each at most, and mostly up to eight.  ``near_keys`` are those
+of them that hold an own codeword, a third as many, sure up to four bits.
 
 Only distinct fingerprints are compared, so exact copies cost nothing.  The members
 of a key are streamed in key order; short runs are compared by sliding the run over
@@ -173,6 +174,15 @@ def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _distinct([(tag << 40) | ((around[i][:, :, None] << 12) | around[j][:, None, :]).reshape(n, 36) for tag, (i, j) in enumerate(((0, 1), (0, 2), (1, 2)))])
 
 
+def near_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of segments the own codeword of either with all near ones of the other: sure to meet up to four bits, as ``keys`` do."""
+    around, index, n = [near(p) for p in _parts(fps)], golay(), len(fps)
+    own, found = [index[p].astype(np.int64)[:, None] for p in _parts(fps)], []
+    for tag, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+        found += [(tag << 40) | (np.broadcast_to(own[i], (n, 6)) << 12) | around[j], (tag << 40) | (around[i] << 12) | own[j]]
+    return _distinct(found)
+
+
 Columns = tuple[np.ndarray, ...]
 Limits = tuple[int, ...]
 

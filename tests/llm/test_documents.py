@@ -333,7 +333,7 @@ def test_fingerprint_by_hand():
         assert simhash.fingerprint(t) == fingerprint_by_hand(t)
 
 
-@pytest.mark.parametrize(("keys_of", "most"), [(simhash.keys, 4), (simhash.wide_keys, 5)])
+@pytest.mark.parametrize(("keys_of", "most"), [(simhash.keys, 4), (simhash.wide_keys, 5), (simhash.near_keys, 4)])
 def test_keys_meet_within_their_bits(keys_of, most):
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 2**63, 400, dtype=np.uint64)
